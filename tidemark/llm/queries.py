@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing
+from tidemark.llm import decontamination, mixing
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLES = {
+    "op2_decontamination": decontamination.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
 }
