@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, mixing
+from tidemark.llm import decontamination, exact_topk, language_id, mixing, near_dedup
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_exact_topk": exact_topk.op3_exact_topk,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLES = {
     "op2_decontamination": decontamination.ORACLE_SQL,
+    "op3_exact_topk": exact_topk.ORACLE_SQL,
+    "op4_near_dedup": near_dedup.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
 }
