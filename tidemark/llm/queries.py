@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, exact_topk, language_id, mixing, near_dedup
+from tidemark.llm import chat_format, decontamination, exact_topk, language_id, license_scan, line_dedup, mixing, near_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_exact_topk": exact_topk.op3_exact_topk,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_license_scan": license_scan.op5_license_scan,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLES = {
     "op2_decontamination": decontamination.ORACLE_SQL,
     "op3_exact_topk": exact_topk.ORACLE_SQL,
     "op4_near_dedup": near_dedup.ORACLE_SQL,
+    "op5_license_scan": license_scan.ORACLE_SQL,
+    "op8_chat_format": chat_format.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
 }
