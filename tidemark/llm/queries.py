@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, decontamination, exact_topk, language_id, license_scan, line_dedup, mixing, near_dedup
+from tidemark.llm import chat_format, decontamination, exact_topk, language_id, license_scan, line_dedup, mixing, near_dedup, pii, secret_scan
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_exact_topk": exact_topk.op3_exact_topk,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_license_scan": license_scan.op5_license_scan,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_pii": pii.op9_pii,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLES = {
