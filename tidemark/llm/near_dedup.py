@@ -16,9 +16,11 @@ SHINGLE_WORDS, PERCENT = 5, 75
 #: A band holds four 16-bit registers, which are one long; at a similarity of 0.75 a link misses all bands once in 190,000.
 REGISTERS, BAND_REGISTERS, MANTISSA_BITS, BUCKET_BITS, VALUE_BITS = 128, 4, 10, 7, 57
 #: Estimates have a standard deviation of 0.04; pairs further below the threshold than this aren't confirmed.
-SLACK = 0.25
-#: Buckets up to this size give all their open pairs at once, larger ones this many centres a round.
-SMALL_BUCKET, CENTRES = 24, 64
+SLACK = 0.2
+#: Buckets up to this size give all their open pairs at once; the last way gives this many centres a round.
+SMALL_BUCKET, CENTRES = 4, 1_024
+#: So many ids, 8 bytes each, may be broadcast to find their texts; more are joined by shuffling the texts.
+MOST_BROADCAST_IDS = 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BATCH_BYTES = 16 << 20
 
@@ -126,7 +128,6 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes allow the similarity and whose collision-corrected estimate isn't far below it."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"))
     both = pairs.join(side("a"), "a").where(F.col("n_a") > 0).join(side("b"), "b")
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     lane = lambda z, k: F.when(F.shiftrightunsigned(z, 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0)
     agree = F.aggregate(
         F.zip_with("bands_a", "bands_b", lambda x, y: x.bitwiseXOR(y)),
@@ -135,7 +136,14 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     )
     by_chance = accidental(F.col("n_a"), F.col("n_b"))
     similarity = (agree / F.lit(float(REGISTERS)) - by_chance) / (1 - by_chance)
-    return both.where(100 * least >= percent * most).where(similarity >= percent / 100 - SLACK).select("a", "b")
+    return both.where(similarity >= percent / 100 - SLACK).select("a", "b")
+
+
+def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text) of the documents ``reps``; their ids go to where the texts are, unless they are too many to broadcast."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    few = reps.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
+    return rows.join(F.broadcast(reps) if few else reps, "rep", "left_semi")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -154,7 +162,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    text = lambda x: docs.select(F.col("doc_id").cast("long").alias(x), F.col("text").cast("string").alias(f"text_{x}"))
+    text = lambda x: texts_of(docs, pairs.select(F.col(x).alias("rep")).distinct()).select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
     return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(batches, "a long, b long")
 
 
@@ -188,60 +196,123 @@ class Links:
         self.component = materialise(components(everything), "component")
 
 
-BUCKET = ["band", "value"]
+def may_reach(percent: int, size_a: str, pos_a: str, size_b: str, pos_b: str) -> Column:
+    """Whether two sets whose first common element has these places (from 1) in a common order can overlap enough."""
+    most = F.least(F.col(size_a) - F.col(pos_a), F.col(size_b) - F.col(pos_b)) + 1
+    return (100 + percent) * most >= percent * (F.col(size_a) + F.col(size_b))
 
 
-def candidate_rounds(classes: DataFrame, links: Links) -> None:
-    """Test pairs that share a band, until no bucket holds an untested pair across two components.
+SLOT = ["rep", "size", "pos"]
+
+
+def meetings(slots: DataFrame, key: list[str]) -> DataFrame:
+    """``slots`` (key, rep, size, pos) that others share, with n, their number, and company, the sum of n over a rep's slots."""
+    shared = materialise(slots.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    met = materialise(slots.join(shared, key), "met")
+    members = materialise(met.join(met.groupBy("rep").agg(F.sum("n").alias("company")), "rep"), "members")
+    drop_scratch(shared, met)
+    return members
 
-    Each bucket first tests its members against one centre, the member that has most company
-    over all its bands; a large group of near copies settles there with one pair for each
-    member and centre.  What is left open gives all pairs in small buckets; in large ones the
-    members outside the largest component become centres in turn until none is open.
-    """
-    slots = classes.select("rep", F.posexplode("bands").alias("band", "value"))
-    shared = materialise(slots.groupBy(BUCKET).agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    met = materialise(slots.join(shared, BUCKET), "met")
-    company = met.groupBy("rep").agg(F.sum("n").alias("company"))
-    members = materialise(met.join(company, "rep"), "members")
-    drop_scratch(met)
-    centres = materialise(members.groupBy(BUCKET).agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"))).alias("c")).select(*BUCKET, (-F.col("c.rep")).alias("centre"), F.col("c.company").alias("rank")), "centres")
-    star = members.join(centres, BUCKET).where("rep <> centre").groupBy(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    star = materialise(star.agg(F.count("*").alias("bands"), F.max("rank").alias("rank")), "star")
-    if star.isEmpty():
-        return
-    best = star.groupBy("a").agg(F.max(F.struct("bands", "rank", (-F.col("b")).alias("b"))).alias("m"))
-    links.test(best.select("a", (-F.col("m.b")).alias("b")))
-    links.test(star.select("a", "b"))
 
+def star_rounds(members: DataFrame, key: list[str], links: Links) -> DataFrame:
+    """Test each bucket's members against its centre, the one with most company; first each member's best centre alone.
+
+    A large group of near copies settles here with one pair for each member and centre.
+    Returns the pairs (a > b) that need no more test.
+    """
+    centre = F.max(F.struct("company", (-F.col("rep")).alias("rep"), "size")).alias("c")
+    centres = members.groupBy(key).agg(centre).select(*key, (-F.col("c.rep")).alias("centre"), F.col("c.company").alias("rank"), F.col("c.size").alias("_size"))
+    centres = materialise(centres, "centres")
+    near = members.join(centres, key).where("rep <> centre").where(may_reach(links.percent, "size", "pos", "_size", "pos"))
+    star = near.groupBy(F.col("rep").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("shared"), F.max("rank").alias("rank"))
+    star = materialise(star, "star")
+    drop_scratch(centres)
+    if not star.isEmpty():
+        best = star.groupBy("a").agg(F.max(F.struct("shared", "rank", (-F.col("b")).alias("b"))).alias("m"))
+        links.test(best.select("a", (-F.col("m.b")).alias("b")))
+        links.test(star.select("a", "b"))
+    return star
+
+
+def small_buckets(members: DataFrame, key: list[str], links: Links, tested: DataFrame) -> DataFrame:
+    """Test all pairs across components in open buckets of few members; returns the members of the larger open ones."""
     inside = links.labelled(members, "rep", "component")
-    several = inside.groupBy(BUCKET).agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select(*BUCKET)
-    several = materialise(several, "several")
-    open_ = materialise(inside.join(several, BUCKET), "open")
+    several = inside.groupBy(key).agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select(*key)
+    open_ = materialise(inside.join(several, key), "open")
     few = open_.where(F.col("n") <= SMALL_BUCKET)
-    other = few.select(*BUCKET, F.col("rep").alias("b"), F.col("component").alias("_other"))
-    pairs = few.withColumnRenamed("rep", "a").join(other, BUCKET).where("a > b and component <> _other").select("a", "b").distinct()
-    tested = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    other = few.select(*key, F.col("rep").alias("b"), F.col("component").alias("_other"), F.col("size").alias("_size"))
+    pairs = few.withColumnRenamed("rep", "a").join(other, key).where("a > b and component <> _other")
+    pairs = pairs.where(may_reach(links.percent, "size", "pos", "_size", "pos")).select("a", "b").distinct()
+    known = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = materialise(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links.test(pairs)
+    return open_.where(F.col("n") > SMALL_BUCKET)
+
+
+def rare_shingles(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(shingle, rep, size, pos): of each document the shingles that any partner of the similarity must share one of.
+
+    Ordered from rare to frequent among ``reps``, a set of n shingles that overlaps another
+    enough has one of its first n - ceil(percent n / 100) + 1 in common with it.  Passages
+    that very many documents share come last and bring no documents together; ``pos``, the
+    place in that order, bounds what two documents can still have in common.
+    """
 
-    left = materialise(open_.where(F.col("n") > SMALL_BUCKET).drop("component"), "large")
-    drop_scratch(open_)
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in whole_batches(source, BATCH_BYTES):
+            sets = [shingle_set(t, width, hashes).view(np.int64) for t in binary_texts(batch.column("text"))]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
+            values = pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(offsets, values)], names=["rep", "shingles"])
+
+    sets = materialise(texts_of(docs, reps).mapInArrow(batches, "rep long, shingles array<long>"), "sets")
+    each = sets.select("rep", F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("shingle"))
+    counts = materialise(each.groupBy("shingle").agg(F.count("*").alias("frequency")).where("frequency > 1"), "frequencies")
+    whole = Window.partitionBy("rep")
+    shared = each.join(counts, "shingle").withColumn("place", F.row_number().over(whole.orderBy("frequency", "shingle")))
+    pos = (F.col("size") - F.count("*").over(whole) + F.col("place")).cast("long")
+    out = shared.withColumn("pos", pos).where(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
+    out = materialise(out.select("shingle", *SLOT), "rare")
+    drop_scratch(sets, counts)
+    return out
+
+
+def centre_rounds(left: DataFrame, key: list[str], links: Links) -> None:
+    """Members outside the largest component of their bucket become centres in turn, until no bucket is open."""
     while True:
         inside = links.labelled(left, "rep", "component")
-        sizes = inside.groupBy(*BUCKET, "component").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy(BUCKET).agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts"))
-        largest = materialise(largest.where("parts > 1").select(*BUCKET, F.col("m.component").alias("main")), "largest")
+        sizes = inside.groupBy(*key, "component").agg(F.count("*").alias("members"))
+        largest = sizes.groupBy(key).agg(F.max(F.struct("members", "component")).alias("m"), F.count("*").alias("parts"))
+        largest = materialise(largest.where("parts > 1").select(*key, F.col("m.component").alias("main")), "largest")
         if largest.isEmpty():
             return
-        inside = materialise(inside.join(largest, BUCKET), "inside")
-        place = F.row_number().over(Window.partitionBy(*BUCKET).orderBy(F.col("company").desc(), "rep"))
+        inside = materialise(inside.join(largest, key), "inside")
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("pos", "rep"))
         chosen = inside.where("component <> main").withColumn("place", place).where(F.col("place") <= CENTRES)
-        chosen = materialise(chosen.select(*BUCKET, F.col("rep").alias("b"), F.col("component").alias("_other")), "chosen")
-        links.test(inside.join(chosen, BUCKET).where("rep <> b and component <> _other").select(F.col("rep").alias("a"), "b").distinct())
-        left = materialise(inside.drop("component", "main").join(chosen.select(*BUCKET, F.col("b").alias("rep")), [*BUCKET, "rep"], "left_anti"), "large")
-        drop_scratch(inside)
+        chosen = chosen.select(*key, F.col("rep").alias("b"), F.col("component").alias("_other"), F.col("size").alias("_size"), F.col("pos").alias("_pos"))
+        chosen = materialise(chosen, "chosen")
+        pairs = inside.join(chosen, key).where("rep <> b and component <> _other").where(may_reach(links.percent, "size", "pos", "_size", "_pos"))
+        links.test(pairs.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct())
+        rest = inside.drop("component", "main").join(chosen.select(*key, F.col("b").alias("rep")), [*key, "rep"], "left_anti")
+        left = materialise(rest, "large")
+        drop_scratch(inside, chosen, largest)
+
+
+def candidate_rounds(classes: DataFrame, links: Links) -> None:
+    """Test pairs that share a band, until no bucket holds an untested pair across two components.
+
+    Larger buckets that stay open, as those of texts with a common passage do, are taken apart
+    by the rare shingles of their members, which lose no pair.
+    """
+    key = ["band", "value"]
+    slots = classes.select("rep", F.col("n_shingles").alias("size"), F.lit(1).cast("long").alias("pos"), F.posexplode("bands").alias("band", "value"))
+    members = meetings(slots, key)
+    reps = materialise(small_buckets(members, key, links, star_rounds(members, key, links)).select("rep").distinct(), "open")
+    drop_scratch(members)
+    if not reps.isEmpty():
+        centre_rounds(rare_shingles(reps, links.docs, links.width, links.percent), ["shingle"], links)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
