@@ -35,7 +35,7 @@ def years_in(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(19[0-9]{2}|20[0-9]{2})"), 1))
 
 
-DAY = r"(20[0-9]{2})\s*[.\-/년]\s*([0-9]{1,2})\s*[.\-/월]\s*([0-9]{1,2})"
+DAY = r"((?:19|20)[0-9]{2})\s*[.\-/년]\s*([0-9]{1,2})\s*[.\-/월]\s*([0-9]{1,2})"
 
 
 def iso_days(text: Column) -> Column:

@@ -23,7 +23,7 @@ def sanitize_title(title: Column, longest: int = 300) -> Column:
 
 def sentences_with(text: Column, words: Sequence[str], most: int = 5) -> Column:
     """The first ``most`` sentences that hold one of ``words``, in order."""
-    sentences = F.filter(F.transform(F.split(text, r"[.!?\n]+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
     holds = lambda s: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(s), w))
     return F.slice(F.filter(sentences, holds), 1, most)
 
@@ -45,7 +45,7 @@ def name_key(name: Column) -> Column:
 
 
 def aliases_in_brackets(name: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), 1), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), 1), lambda a: F.trim(a)))
 
 
 def long_keys(keys: Column, least: int = 3) -> Column:
