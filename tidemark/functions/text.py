@@ -54,7 +54,8 @@ def long_keys(keys: Column, least: int = 3) -> Column:
 
 def badges(texts: Column, hints: Mapping[str, str], most: int = 3) -> Column:
     """The first ``most`` labels whose pattern one of ``texts`` matches."""
-    found = F.array(*[F.when(F.exists(texts, lambda t, p=p: t.rlike(p)), F.lit(label)) for label, p in hints.items()])
+    matches = lambda pattern: F.exists(texts, lambda t: t.rlike(pattern))
+    found = F.array(*[F.when(matches(p), F.lit(label)) for label, p in hints.items()])
     return F.slice(F.array_compact(found), 1, most)
 
 
