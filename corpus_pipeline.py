@@ -37,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth, or nothing, stands in the benchmark's phrases."""
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=["_row"]).where(~F.col("contaminated")).select("_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
