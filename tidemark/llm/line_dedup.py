@@ -10,15 +10,28 @@ from tidemark.llm.common import NULL_ID, drop_scratch, materialise, table
 #: A fingerprint covers GRAM lines; of every WINDOW fingerprints in a row the least is chosen, so that a
 #: run of GRAM + WINDOW - 1 lines has one.  Runs of fewer words than MIN_RUN_WORDS stay.
 GRAM, WINDOW, MIN_RUN_WORDS = 2, 2, 25
-UPPER, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Keys of documents, and rows of cut intervals, that may be broadcast; more are joined by shuffling the other side.
+MOST_BROADCAST_KEYS, MOST_BROADCAST_RUNS = 2_000_000, 500_000
 #: A line ends after line feeds, or after a full stop, question or exclamation mark and the space behind it.
 LINE_ENDS = r"(?<=\n)(?!\n)|(?<=[.!?]\x20)(?![\x20\n])"
+BREAK, SPACES = "\0", " \t\n\r\x0b\f"
 DOC = ["_id", "_mark"]
 
 
 def lines_of(text: Column) -> Column:
-    """The lines of a text, with what ends them, so that they join to the text again."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), LINE_ENDS), lambda x: x != "")
+    """The lines of a text, with what ends them, so that they join to the text again.
+
+    Plain replacements set a mark behind each end, which takes a small part of the time of
+    LINE_ENDS; that one serves the texts that hold the mark themselves.
+    """
+    text = F.coalesce(text, F.lit(""))
+    put = lambda t, old, new: F.replace(t, F.lit(old), F.lit(new))
+    marked = text
+    for end in (". ", "! ", "? "):
+        marked = put(marked, end, end + BREAK)
+    marked = put(put(put(marked, f"{BREAK} ", " "), "\n", f"\n{BREAK}"), f"{BREAK}\n", "\n")
+    parts = F.when(F.contains(text, F.lit(BREAK)), F.split(text, LINE_ENDS)).otherwise(F.split(marked, BREAK))
+    return F.filter(parts, lambda x: x != "")
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -28,31 +41,36 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """_id, _mark and the hash and number of words of each line, without regard to case and outer white space."""
-    bare = lambda x: F.regexp_replace(F.translate(x, UPPER, LOWER_CASE), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
-    bared = with_key(docs.select("doc_id", "text")).select(*DOC, F.transform(lines_of(F.col("text").cast("string")), bare).alias("bare"))
-    words = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"[\x20\x09-\x0D]+")))
-    return bared.select(*DOC, F.transform("bare", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("bare", words).alias("words")).where(F.size("hashes") > 0)
+    """_id, _mark and the hash and number of words (by single spaces) of each line, without regard to case and outer white space."""
+    full = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
+
+    def described(x: Column) -> Column:
+        bare = F.btrim(x, F.lit(SPACES))
+        words = F.when(bare == "", 0).otherwise(F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
+        return F.struct(F.xxhash64(bare).alias("hash"), words.alias("words"))
+
+    rows = with_key(full).select(*DOC, F.transform(lines_of(F.lower("text")), described).alias("lines"))
+    return rows.select(*DOC, F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"))
 
 
 def fingerprints(lines: DataFrame, gram: int, window: int, min_words: int) -> DataFrame:
     """fingerprint, _id, _mark, pos: winnowed runs of ``gram`` lines, and every single line of ``min_words`` words or more."""
-    n = F.size("hashes")
-    at = lambda i: F.get("hashes", i)
-    grams = F.when(n >= gram, F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.xxhash64(*[at(i + j) for j in range(gram)]))).otherwise(F.array().cast("array<long>"))
-    found = lines.select(*DOC, "hashes", "words", grams.alias("grams"))
+    grams = F.transform("hashes", lambda h, i: F.when(i + gram <= F.size("hashes"), F.xxhash64(h, *[F.get("hashes", i + j) for j in range(1, gram)])))
+    found = lines.select(*DOC, "hashes", "words", F.array_compact(grams).alias("grams"))
     m = F.size("grams")
 
-    def least(start: Column) -> Column:
-        """Place of the last least fingerprint among those of a window."""
-        places = [F.struct(F.get("grams", start + j).alias("g"), (-(start + j)).alias("p")) for j in range(window)]
-        low = places[0]
-        for p in places[1:]:
-            low = F.when(p["g"].isNotNull() & (p < low), p).otherwise(low)
-        return -low["p"]
-
-    chosen = F.when(m > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(m - window, F.lit(0))), least))).otherwise(F.array().cast("array<int>"))
-    winnowed = F.transform(chosen, lambda p: F.struct(F.get("grams", p).alias("fingerprint"), p.alias("pos")))
+    def least(g: Column, i: Column) -> Column:
+        """Whether a fingerprint is the least, and the last such one, of a window that holds it."""
+        some = F.lit(False)
+        for before in range(window):
+            inside = (i >= before) & (i + (window - before) <= m)
+            for j in range(-before, window - before):
+                if j:
+                    inside &= (g <= F.get("grams", i + j)) if j < 0 else (g < F.get("grams", i + j))
+            some |= inside
+        return some | ((m < window) & (g == F.array_min("grams")))
+
+    winnowed = F.array_compact(F.transform("grams", lambda g, i: F.when(least(g, i), F.struct(g.alias("fingerprint"), i.alias("pos")))))
     long_lines = F.filter(F.transform("hashes", lambda h, i: F.struct(F.when(F.get("words", i) >= min_words, F.xxhash64(h, F.lit("line"))).alias("fingerprint"), i.alias("pos"))), lambda x: x["fingerprint"].isNotNull())
     return found.select(*DOC, F.explode(F.concat(winnowed, long_lines)).alias("f")).select("f.fingerprint", *DOC, "f.pos")
 
@@ -63,6 +81,7 @@ def matches(marks: DataFrame) -> DataFrame:
     The earlier place is the first of all documents, or, where that is in the same document,
     the one just before.  A fingerprint with very many places gives one row for each.
     """
+    marks = materialise(marks, "line-marks")
     counted = marks.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("_id").alias("_sid")).where("n > 1").drop("n")
     counted = materialise(counted, "line-shared")
     shared = materialise(marks.join(counted, "fingerprint"), "line-places")
@@ -72,10 +91,11 @@ def matches(marks: DataFrame) -> DataFrame:
     same = (F.col("_id") == F.col("_sid")) & (F.col("_mark") == F.col("_smark"))
     across = placed.where(~same).select(*DOC, "_sid", "_smark", (F.col("pos") - F.col("_spos")).alias("shift"))
     before = F.lag("pos").over(Window.partitionBy("fingerprint", *DOC).orderBy("pos"))
-    within = placed.where(same).select("fingerprint", *DOC, "pos").distinct().withColumn("_b", before).where("_b is not null")
+    own = shared.where("_id = _sid").join(first, "fingerprint").where(same)
+    within = own.select("fingerprint", *DOC, "pos").distinct().withColumn("_b", before).where("_b is not null")
     within = within.select(*DOC, F.col("_id").alias("_sid"), F.col("_mark").alias("_smark"), (F.col("pos") - F.col("_b")).alias("shift"))
     out = materialise(across.unionByName(within).distinct(), "line-matches")
-    drop_scratch(counted, shared, first)
+    drop_scratch(marks, counted, shared, first)
     return out
 
 
@@ -85,16 +105,21 @@ def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFra
     Both documents of a match are laid over each other at its shift, and equal lines run as far
     as they go in both directions.
     """
-    once = materialise(lines.dropDuplicates(DOC), "line-once")
+    involved = found.select(*DOC).union(found.select("_sid", "_smark")).distinct()
+    few = involved.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
+    once = materialise(lines.join(F.broadcast(involved) if few else involved, DOC, "left_semi").dropDuplicates(DOC), "line-once")
     source = once.select(F.col("_id").alias("_sid"), F.col("_mark").alias("_smark"), F.col("hashes").alias("source"))
     laid = found.join(once, DOC).join(source, ["_sid", "_smark"])
     same_doc = (F.col("_id") == F.col("_sid")) & (F.col("_mark") == F.col("_smark"))
     low = F.greatest(F.lit(0), F.col("shift"))
-    high = F.least(F.size("hashes"), F.size("source") + F.col("shift")) - 1
-    differ = F.filter(F.sequence(low, high), lambda p: F.get("hashes", p) != F.get("source", p - F.col("shift")))
-    edges = F.concat(F.array(low - 1), differ, F.array(high + 1))
-    runs = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda x, y: F.struct((x + 1).alias("from"), y.alias("to")))
-    laid = laid.where(low <= high).where(~same_doc | (F.col("shift") > 0)).select(*DOC, "words", F.explode(F.filter(runs, lambda r: r["to"] > r["from"])).alias("r"))
+    laid = laid.withColumn("low", low).withColumn("n", F.least(F.size("hashes"), F.size("source") + F.col("shift")) - F.col("low"))
+    laid = laid.where(F.col("n") > 0).where(~same_doc | (F.col("shift") > 0))
+    differ = F.zip_with(F.slice("hashes", F.col("low") + 1, F.col("n")), F.slice("source", F.col("low") - F.col("shift") + 1, F.col("n")), lambda x, y: x != y)
+    at = F.array_compact(F.transform(differ, lambda x, i: F.when(x, i)))
+    laid = laid.select(*DOC, "words", "low", F.concat(F.array(F.lit(-1)), at, F.array("n")).alias("edges"))
+    runs = F.zip_with(F.slice("edges", 1, F.size("edges") - 1), F.slice("edges", 2, F.size("edges") - 1), lambda x, y: F.when(y > x + 1, F.struct((x + 1).alias("from"), y.alias("to"))))
+    laid = laid.select(*DOC, "words", "low", F.explode(F.array_compact(runs)).alias("r"))
+    laid = laid.select(*DOC, "words", F.struct((F.col("r.from") + F.col("low")).alias("from"), (F.col("r.to") + F.col("low")).alias("to")).alias("r"))
     total = F.aggregate(F.slice("words", F.col("r.from") + 1, F.col("r.to") - F.col("r.from")), F.lit(0), lambda s, x: s + x)
     intervals = laid.where(total >= min_words).select(*DOC, "r.from", "r.to").distinct()
     order = Window.partitionBy(*DOC).orderBy("from", "to")
@@ -121,7 +146,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, min_wor
     found = matches(fingerprints(lines, gram, window, min_words))
     runs = materialise(repeated_runs(found, lines, min_words), "line-runs")
     drop_scratch(lines, found)
-    rows = with_key(docs).join(runs, DOC, "left").drop(*DOC).withColumn("_lines", lines_of(F.col("text").cast("string")))
+    few = runs.limit(MOST_BROADCAST_RUNS + 1).count() <= MOST_BROADCAST_RUNS
+    rows = with_key(docs).join(F.broadcast(runs) if few else runs, DOC, "left").drop(*DOC).withColumn("_lines", lines_of(F.col("text").cast("string")))
     kept = F.filter("_lines", lambda _, i: ~F.exists("runs", lambda r: (i >= r["from"]) & (i < r["to"])))
     cut = F.aggregate("runs", F.lit(0), lambda s, r: s + r["to"] - r["from"])
     return rows.select(
@@ -132,12 +158,13 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, min_wor
 
 def keep_first_passages(docs: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) without later repeats; n_chars follows, and rows that consist of nothing else go."""
-    out = dedup_lines(docs)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")] if others else []
+    out = dedup_lines(docs.select("doc_id", "text", *carried))
     empty = (F.col("n_cut") > 0) & (F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") == "")
     out = out.where(~F.coalesce(empty, F.lit(False)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
-    return out.select(*docs.columns)
+    n_chars = lambda: F.when(F.col("n_cut") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars").cast("long")).alias("n_chars")
+    return out.select(*[c if c in ("doc_id", "text") else n_chars() if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
