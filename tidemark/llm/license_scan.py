@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, drop_scratch, materialise, table
+from tidemark.llm.common import materialise, table
 
 MOST_LICENCES = 5_000
 # Equivalent spellings, replaced in this order in lower-case text.
@@ -15,11 +15,11 @@ SPELLINGS = (
     ("non-commercial", "noncommercial"), ("per cent", "percent"), ("organisation", "organization"), ("favour", "favor"),
     ("fulfil ", "fulfill "), ("judgement", "judgment"), ("whilst", "while"), ("wilful", "willful"), ("&", " and "),
 )
-UPPER, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that says who holds the copyright since when, and one that reserves all rights.
 COPYRIGHT_LINE = r"\n[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|c [0-9]|[0-9<\[{])|\(c\)|©)[^\n]*"
 RIGHTS_LINE = r"\n[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(\n)"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F“”‘’–—«»©]+"
+PUNCTUATION_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F“”‘’–—«»©]+"
 
 # Public licence texts, each with its public short name.
 _AS_IS_COPYING = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
@@ -50,25 +50,34 @@ KNOWN_LICENCES = (
 )
 
 
-def canonical(text: Column, whole: bool = True) -> Column:
-    """Lower-case words of a text in one spelling, single spaces between; of a whole text without its copyright lines.
-
-    A text that consists of copyright lines alone keeps them.
-    """
-    text = F.translate(text, UPPER, LOWER_CASE)
+def spelled(text: Column) -> Column:
+    """``text`` in lower case and one spelling."""
+    text = F.lower(text)
     for other, one in SPELLINGS:
         text = F.replace(text, F.lit(other), F.lit(one))
+    return text
+
+
+def canonical(text: Column) -> Column:
+    """Words of a whole `spelled` text without its copyright lines, single spaces between; one of copyright lines alone keeps them."""
     bare = lambda x: F.trim(F.regexp_replace(x, PUNCTUATION, " "))
-    if not whole:
-        return bare(text)
-    body = F.regexp_replace(F.concat(F.lit("\n"), text, F.lit("\n")), COPYRIGHT_LINE, "\n")
-    body = bare(F.regexp_replace(body, RIGHTS_LINE, "\n"))
+    has = lambda *marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(text, m))
+    body = F.concat(F.lit("\n"), text, F.lit("\n"))
+    body = F.when(has("copyright", "(c)", "©"), F.regexp_replace(body, COPYRIGHT_LINE, "\n")).otherwise(body)
+    body = bare(F.when(has("all rights reserved"), F.regexp_replace(body, RIGHTS_LINE, "\n")).otherwise(body))
     return F.when(body == "", bare(text)).otherwise(body)
 
 
+def canonical_lines(text: Column) -> Column:
+    """Words of each line of a `spelled` text that has any, single spaces between."""
+    bare = F.transform(F.split(F.regexp_replace(text, PUNCTUATION_IN_LINE, " "), "\n"), lambda x: F.trim(x))
+    return F.filter(bare, lambda x: x != "")
+
+
 def known_digests(known: DataFrame) -> DataFrame:
     """digest, licence of ``known`` (licence, text); the first name where texts are equal, nulls and empty texts left out."""
-    form = known.where("licence is not null").select("licence", F.explode(F.array(canonical(F.col("text")), canonical(F.col("text"), False))).alias("form"))
+    one_line = F.array_join(canonical_lines(F.col("text")), " ")
+    form = known.where("licence is not null").select("licence", spelled(F.col("text")).alias("text")).select("licence", F.explode(F.array(canonical(F.col("text")), one_line)).alias("form"))
     return form.where("form is not null and form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
@@ -85,14 +94,12 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     if known.limit(MOST_LICENCES + 1).count() > MOST_LICENCES:
         raise ValueError(f"more than {MOST_LICENCES} known licences; their digests would not be small enough to broadcast")
     digests = materialise(known_digests(known), "licences")
-    text = F.col("text").cast("string")
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("_mark")]
-    lines = docs.select(*key, F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.trim("line") != "")
-    hits = lines.select("_id", "_mark", "at", F.sha2(canonical(F.col("line"), False), 256).alias("digest")).join(F.broadcast(digests), "digest")
-    hits = hits.select("_id", "_mark", "at", "licence").distinct().groupBy("_id", "_mark")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), spelled(F.col("text").cast("string")).alias("_text"))
+    lines = F.transform(canonical_lines(F.col("_text")), lambda x: F.sha2(x, 256))
+    rows = materialise(rows.select("doc_id", "_row", F.sha2(canonical(F.col("_text")), 256).alias("digest"), lines.alias("lines")), "licence-digests")
+    hits = rows.select("_row", F.explode("lines").alias("digest")).join(F.broadcast(digests), "digest").groupBy("_row")
     hits = materialise(hits.agg(F.array_sort(F.collect_set("licence")).alias("notices"), F.count("*").alias("n_notices")), "licence-lines")
-    whole = docs.select("doc_id", *key, F.sha2(canonical(text), 256).alias("digest")).join(F.broadcast(digests), "digest", "left")
-    joined = whole.join(hits, ["_id", "_mark"], "left")
+    joined = rows.drop("lines").join(F.broadcast(digests), "digest", "left").join(hits, "_row", "left")
     none = F.array().cast("array<string>")
     return joined.select("doc_id", "licence", F.coalesce("notices", none).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
@@ -109,7 +116,7 @@ def _quoted(text: str) -> str:
 
 
 def _sql(text: str, whole: bool) -> str:
-    text = f"translate({text}, '{UPPER}', '{LOWER_CASE}')"
+    text = f"lower({text})"
     for other, one in SPELLINGS:
         text = f"replace({text}, {_quoted(other)}, {_quoted(one)})"
     bare = lambda x: f"trim(regexp_replace({x}, {_quoted(PUNCTUATION)}, ' ', 'g'), ' ')"
