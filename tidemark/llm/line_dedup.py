@@ -14,7 +14,7 @@ GRAM, WINDOW, MIN_RUN_WORDS = 2, 2, 25
 MOST_BROADCAST_KEYS, MOST_BROADCAST_RUNS = 2_000_000, 500_000
 #: A line ends after line feeds, or after a full stop, question or exclamation mark and the space behind it.
 LINE_ENDS = r"(?<=\n)(?!\n)|(?<=[.!?]\x20)(?![\x20\n])"
-BREAK, SPACES = "\0", " \t\n\r\x0b\f"
+BREAK = "\0"
 DOC = ["_id", "_mark"]
 
 
@@ -31,7 +31,7 @@ def lines_of(text: Column) -> Column:
         marked = put(marked, end, end + BREAK)
     marked = put(put(put(marked, f"{BREAK} ", " "), "\n", f"\n{BREAK}"), f"{BREAK}\n", "\n")
     parts = F.when(F.contains(text, F.lit(BREAK)), F.split(text, LINE_ENDS)).otherwise(F.split(marked, BREAK))
-    return F.filter(parts, lambda x: x != "")
+    return F.array_remove(parts, "")
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -41,15 +41,11 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """_id, _mark and the hash and number of words (by single spaces) of each line, without regard to case and outer white space."""
+    """_id, _mark and the hash and number of words (by single spaces) of each line, without regard to case and outer spaces."""
     full = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
-
-    def described(x: Column) -> Column:
-        bare = F.btrim(x, F.lit(SPACES))
-        words = F.when(bare == "", 0).otherwise(F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
-        return F.struct(F.xxhash64(bare).alias("hash"), words.alias("words"))
-
-    rows = with_key(full).select(*DOC, F.transform(lines_of(F.lower("text")), described).alias("lines"))
+    bare = F.transform(lines_of(F.lower("text")), lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" "))))
+    described = lambda x: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"))
+    rows = with_key(full).select(*DOC, F.transform(bare, described).alias("lines"))
     return rows.select(*DOC, F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"))
 
 
@@ -71,7 +67,8 @@ def fingerprints(lines: DataFrame, gram: int, window: int, min_words: int) -> Da
         return some | ((m < window) & (g == F.array_min("grams")))
 
     winnowed = F.array_compact(F.transform("grams", lambda g, i: F.when(least(g, i), F.struct(g.alias("fingerprint"), i.alias("pos")))))
-    long_lines = F.filter(F.transform("hashes", lambda h, i: F.struct(F.when(F.get("words", i) >= min_words, F.xxhash64(h, F.lit("line"))).alias("fingerprint"), i.alias("pos"))), lambda x: x["fingerprint"].isNotNull())
+    alone = F.transform("words", lambda w, i: F.when(w >= min_words, F.struct(F.xxhash64(F.get("hashes", i), F.lit("line")).alias("fingerprint"), i.alias("pos"))))
+    long_lines = F.when(F.array_max("words") >= min_words, F.array_compact(alone)).otherwise(F.array_compact(F.array(F.lit(None).cast("struct<fingerprint:bigint,pos:int>"))))
     return found.select(*DOC, F.explode(F.concat(winnowed, long_lines)).alias("f")).select("f.fingerprint", *DOC, "f.pos")
 
 
@@ -114,12 +111,11 @@ def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFra
     low = F.greatest(F.lit(0), F.col("shift"))
     laid = laid.withColumn("low", low).withColumn("n", F.least(F.size("hashes"), F.size("source") + F.col("shift")) - F.col("low"))
     laid = laid.where(F.col("n") > 0).where(~same_doc | (F.col("shift") > 0))
-    differ = F.zip_with(F.slice("hashes", F.col("low") + 1, F.col("n")), F.slice("source", F.col("low") - F.col("shift") + 1, F.col("n")), lambda x, y: x != y)
-    at = F.array_compact(F.transform(differ, lambda x, i: F.when(x, i)))
-    laid = laid.select(*DOC, "words", "low", F.concat(F.array(F.lit(-1)), at, F.array("n")).alias("edges"))
-    runs = F.zip_with(F.slice("edges", 1, F.size("edges") - 1), F.slice("edges", 2, F.size("edges") - 1), lambda x, y: F.when(y > x + 1, F.struct((x + 1).alias("from"), y.alias("to"))))
-    laid = laid.select(*DOC, "words", "low", F.explode(F.array_compact(runs)).alias("r"))
-    laid = laid.select(*DOC, "words", F.struct((F.col("r.from") + F.col("low")).alias("from"), (F.col("r.to") + F.col("low")).alias("to")).alias("r"))
+    equal = F.filter(F.sequence(F.col("low"), F.col("low") + F.col("n") - 1), lambda p: F.get("hashes", p) == F.get("source", p - F.col("shift")))
+    laid = laid.select(*DOC, "words", equal.alias("equal"))
+    first = F.filter("equal", lambda p, i: F.coalesce(F.get("equal", i - 1) != p - 1, F.lit(True)))
+    last = F.filter("equal", lambda p, i: F.coalesce(F.get("equal", i + 1) != p + 1, F.lit(True)))
+    laid = laid.select(*DOC, "words", F.explode(F.zip_with(first, last, lambda x, y: F.struct(x.alias("from"), (y + 1).alias("to")))).alias("r"))
     total = F.aggregate(F.slice("words", F.col("r.from") + 1, F.col("r.to") - F.col("r.from")), F.lit(0), lambda s, x: s + x)
     intervals = laid.where(total >= min_words).select(*DOC, "r.from", "r.to").distinct()
     order = Window.partitionBy(*DOC).orderBy("from", "to")
@@ -130,29 +126,29 @@ def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFra
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, min_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text and others) with later repeated runs cut from text, plus n_lines, n_cut and runs.
+    """``docs`` (doc_id, text and others) with later repeated runs cut from text, plus n_cut and runs.
 
     A run is a sequence of lines that also stands earlier: in a document before in the order
     of ids, or further up.  Runs of ``gram + window - 1`` lines, or single lines of
     ``min_words`` words, are certain to be found; runs of fewer words than ``min_words`` stay.
     ``runs`` holds the cut intervals of line numbers, the end exclusive.
 
-    A null text stays null and has no lines; an empty one has none; ids that are null come
+    A null or empty text stays as it is and has no lines; ids that are null come
     first in order; rows that repeat both id and text are one document and get one result
     each; an empty table gives no rows; columns named like a new one are replaced.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_cut", "runs", *DOC)])
+    docs = docs.select(*[c for c in docs.columns if c not in ("n_cut", "runs", *DOC)])
     lines = materialise(hashed_lines(docs), "line-hashes")
     found = matches(fingerprints(lines, gram, window, min_words))
     runs = materialise(repeated_runs(found, lines, min_words), "line-runs")
     drop_scratch(lines, found)
     few = runs.limit(MOST_BROADCAST_RUNS + 1).count() <= MOST_BROADCAST_RUNS
-    rows = with_key(docs).join(F.broadcast(runs) if few else runs, DOC, "left").drop(*DOC).withColumn("_lines", lines_of(F.col("text").cast("string")))
-    kept = F.filter("_lines", lambda _, i: ~F.exists("runs", lambda r: (i >= r["from"]) & (i < r["to"])))
+    rows = with_key(docs).join(F.broadcast(runs) if few else runs, DOC, "left").drop(*DOC)
+    kept = F.filter(lines_of(F.col("text").cast("string")), lambda _, i: ~F.exists("runs", lambda r: (i >= r["from"]) & (i < r["to"])))
     cut = F.aggregate("runs", F.lit(0), lambda s, r: s + r["to"] - r["from"])
     return rows.select(
         *[F.when(F.col("runs").isNotNull(), F.array_join(kept, "")).otherwise(F.col("text").cast("string")).alias("text") if c == "text" else c for c in docs.columns],
-        F.size("_lines").cast("long").alias("n_lines"), F.coalesce(cut, F.lit(0)).cast("long").alias("n_cut"), "runs",
+        F.coalesce(cut, F.lit(0)).cast("long").alias("n_cut"), "runs",
     )
 
 
@@ -170,4 +166,4 @@ def keep_first_passages(docs: DataFrame) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut repeated passages from the whole ``documents`` table."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_cut", F.to_json("runs").alias("runs"), "text")
+    return out.select("doc_id", "n_cut", F.to_json("runs").alias("runs"), "text")
