@@ -71,3 +71,42 @@ def test_awkward_rows(spark):
     kept = line_dedup.keep_first_passages(clashing(docs(spark)))
     assert kept.columns == clashing(docs(spark)).columns and 2 not in {r.doc_id for r in kept.collect()}
     assert line_dedup.dedup_lines(docs(spark, [])).collect() == []
+
+
+def expected(rows, min_words):
+    """The lines to cut of each document, by comparing every run of lines with all before it."""
+    seen, out = set(), {}
+    for k, text in rows:
+        bare = [(i, x.strip(" \t\n\r\x0b\f").lower()) for i, x in enumerate(lines(text))]
+        bare = [(i, x) for i, x in bare if x]
+        cut = set()
+        for a in range(len(bare)):
+            for b in range(a + 1, len(bare) + 1):
+                run = tuple(x for _, x in bare[a:b])
+                if sum(len(x.split(" ")) for x in run) >= min_words:
+                    if run in seen:
+                        cut |= set(range(bare[a][0], bare[b - 1][0] + 1))
+                    seen.add(run)
+        out[k] = cut
+    return out
+
+
+def cut_of(row):
+    return {i for r in row.runs or [] for i in range(r["from"], r["to"])}
+
+
+def test_early_short_stretches_hide_no_longer_run(spark):
+    rng = random.Random(5)
+    run_of = [passage(rng, 1) for _ in range(7)]
+    rows = [(k, f"{passage(rng, 1)} {run_of[k]} {run_of[k + 1]} {passage(rng, 1)}") for k in range(6)]  # 18 words of the run each
+    rows += [(k, f"{passage(rng, k - 6)} {' '.join(run_of)} {passage(rng, 1)}") for k in (7, 8)]
+    got = run(spark, rows)
+    assert [got[k].n_cut for k, _ in rows] == [0, 0, 0, 0, 0, 0, 0, 7] and cut_of(got[8]) == set(range(2, 9))
+
+
+def test_the_cut_is_that_of_brute_force(spark):
+    rng = random.Random(31)
+    pool = [" ".join(rng.choice("abcdef") * 2 for _ in range(rng.choice((1, 2, 3, 5, 9, 14, 26)))) + "." for _ in range(14)]
+    rows = [(k, "".join(rng.choice(pool) + rng.choice((" ", " ", "\n", "\n\n", "\n \n")) for _ in range(rng.randint(1, 14)))) for k in range(60)]
+    got = run(spark, rows)
+    assert {k: cut_of(got[k]) for k, _ in rows} == expected(rows, 25)

@@ -1,4 +1,4 @@
-"""Repeated passages by winnowed line hashes (DataFrame functions only): fingerprints, joined positions, extended runs."""
+"""Repeated passages by hashes of lines (DataFrame functions only): shortest runs with enough words, their first places, merged intervals."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import NULL_ID, drop_scratch, materialise, table
 
-#: A fingerprint covers GRAM lines; of every WINDOW fingerprints in a row the least is chosen, so that a
-#: run of GRAM + WINDOW - 1 lines has one.  Runs of fewer words than MIN_RUN_WORDS stay.
-GRAM, WINDOW, MIN_RUN_WORDS = 2, 2, 25
+#: Runs of fewer words stay.  Most runs reach them in FEW_LINES lines, which are tried first.
+MIN_RUN_WORDS, FEW_LINES = 25, 6
 #: Keys of documents, and rows of cut intervals, that may be broadcast; more are joined by shuffling the other side.
 MOST_BROADCAST_KEYS, MOST_BROADCAST_RUNS = 2_000_000, 500_000
 #: A line ends after line feeds, or after a full stop, question or exclamation mark and the space behind it.
@@ -40,84 +39,72 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_mark", F.xxhash64(text))
 
 
+def reach(words: str, min_words: int) -> Column:
+    """For each line how many from it on it takes to hold ``min_words`` words, null where the text ends before; each line has a word.
+
+    ``words`` must be a stored column: a computed one would be computed again for each line.
+    """
+    most = max(1, min_words)
+    step = most + 1  # a sum holds the words above and the number of lines below it
+    told = lambda at, n: F.aggregate(F.slice(words, at + 1, n), F.lit(0).cast("long"), lambda s, w: F.when(s >= most * step, s).otherwise(s + w.cast("long") * step + 1), lambda s: F.when(s >= most * step, (s % step).cast("int")))
+    return F.transform(words, lambda _, i: F.coalesce(told(i, min(FEW_LINES, most)), told(i, most)))
+
+
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """_id, _mark and the hash and number of words (by single spaces) of each line, without regard to case and outer spaces."""
+    """_id, _mark and, of each line with words: hash, without regard to case and outer spaces, words (by single spaces) and number."""
     full = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
     bare = F.transform(lines_of(F.lower("text")), lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" "))))
-    described = lambda x: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"))
-    rows = with_key(full).select(*DOC, F.transform(bare, described).alias("lines"))
-    return rows.select(*DOC, F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"))
-
-
-def fingerprints(lines: DataFrame, gram: int, window: int, min_words: int) -> DataFrame:
-    """fingerprint, _id, _mark, pos: winnowed runs of ``gram`` lines, and every single line of ``min_words`` words or more."""
-    grams = F.transform("hashes", lambda h, i: F.when(i + gram <= F.size("hashes"), F.xxhash64(h, *[F.get("hashes", i + j) for j in range(1, gram)])))
-    found = lines.select(*DOC, "hashes", "words", F.array_compact(grams).alias("grams"))
-    m = F.size("grams")
-
-    def least(g: Column, i: Column) -> Column:
-        """Whether a fingerprint is the least, and the last such one, of a window that holds it."""
-        some = F.lit(False)
-        for before in range(window):
-            inside = (i >= before) & (i + (window - before) <= m)
-            for j in range(-before, window - before):
-                if j:
-                    inside &= (g <= F.get("grams", i + j)) if j < 0 else (g < F.get("grams", i + j))
-            some |= inside
-        return some | ((m < window) & (g == F.array_min("grams")))
-
-    winnowed = F.array_compact(F.transform("grams", lambda g, i: F.when(least(g, i), F.struct(g.alias("fingerprint"), i.alias("pos")))))
-    alone = F.transform("words", lambda w, i: F.when(w >= min_words, F.struct(F.xxhash64(F.get("hashes", i), F.lit("line")).alias("fingerprint"), i.alias("pos"))))
-    long_lines = F.when(F.array_max("words") >= min_words, F.array_compact(alone)).otherwise(F.array_compact(F.array(F.lit(None).cast("struct<fingerprint:bigint,pos:int>"))))
-    return found.select(*DOC, F.explode(F.concat(winnowed, long_lines)).alias("f")).select("f.fingerprint", *DOC, "f.pos")
-
-
-def matches(marks: DataFrame) -> DataFrame:
-    """_id, _mark, _sid, _smark, shift: where a document repeats fingerprints of an earlier place.
-
-    The earlier place is the first of all documents, or, where that is in the same document,
-    the one just before.  A fingerprint with very many places gives one row for each.
-    """
+    described = lambda x, i: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), i.alias("place"))
+    rows = with_key(full).select(*DOC, F.filter(F.transform(bare, described), lambda x: x["words"] > 0).alias("lines"))
+    return rows.select(*DOC, F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"), F.col("lines.place").alias("places"))
+
+
+def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """fingerprint, _id, _mark, pos: for each line the shortest run from it on that has enough words."""
+    windows = F.transform(reach("words", min_words), lambda n, i: F.when(n.isNotNull(), F.struct(F.xxhash64(F.slice("hashes", i + 1, n)).alias("fingerprint"), i.alias("pos"))))
+    return lines.select(*DOC, F.explode(F.array_compact(windows)).alias("f")).select("f.fingerprint", *DOC, "f.pos")
+
+
+def later(rows: DataFrame, at: str) -> DataFrame:
+    """``rows`` (fingerprint, _id, _mark, ``at``) and ``later``: whether the fingerprint has an earlier place."""
+    first = rows.groupBy("fingerprint").agg(F.min(F.struct(*DOC, at)).alias("_first"))
+    return rows.join(first, "fingerprint").withColumn("later", F.struct(*DOC, at) > F.col("_first")).drop("_first", "fingerprint")
+
+
+def repeated_windows(marks: DataFrame) -> DataFrame:
+    """_id, _mark, pos, later: the places of all fingerprints that have more than one."""
     marks = materialise(marks, "line-marks")
-    counted = marks.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("_id").alias("_sid")).where("n > 1").drop("n")
-    counted = materialise(counted, "line-shared")
+    counted = materialise(marks.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line-shared")
     shared = materialise(marks.join(counted, "fingerprint"), "line-places")
-    first = shared.where("_id = _sid").groupBy("fingerprint").agg(F.min(F.struct("_mark", "pos")).alias("s"))
-    first = materialise(first.select("fingerprint", F.col("s._mark").alias("_smark"), F.col("s.pos").alias("_spos")), "line-first")
-    placed = shared.join(first, "fingerprint")
-    same = (F.col("_id") == F.col("_sid")) & (F.col("_mark") == F.col("_smark"))
-    across = placed.where(~same).select(*DOC, "_sid", "_smark", (F.col("pos") - F.col("_spos")).alias("shift"))
-    before = F.lag("pos").over(Window.partitionBy("fingerprint", *DOC).orderBy("pos"))
-    own = shared.where("_id = _sid").join(first, "fingerprint").where(same)
-    within = own.select("fingerprint", *DOC, "pos").distinct().withColumn("_b", before).where("_b is not null")
-    within = within.select(*DOC, F.col("_id").alias("_sid"), F.col("_mark").alias("_smark"), (F.col("pos") - F.col("_b")).alias("shift"))
-    out = materialise(across.unionByName(within).distinct(), "line-matches")
-    drop_scratch(marks, counted, shared, first)
+    out = materialise(later(shared, "pos"), "line-matches")
+    drop_scratch(marks, counted, shared)
     return out
 
 
 def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     """_id, _mark and the disjoint intervals of lines [from, to) that repeat an earlier place, of ``min_words`` words at least.
 
-    Both documents of a match are laid over each other at its shift, and equal lines run as far
-    as they go in both directions.
+    A run with enough words is the union of the windows in it that lose enough by their
+    first or by their last line.  Those that only lose it by the first begin where a
+    shortest window begins that is repeated as well, and end before the next such one ends.
     """
-    involved = found.select(*DOC).union(found.select("_sid", "_smark")).distinct()
-    few = involved.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
-    once = materialise(lines.join(F.broadcast(involved) if few else involved, DOC, "left_semi").dropDuplicates(DOC), "line-once")
-    source = once.select(F.col("_id").alias("_sid"), F.col("_mark").alias("_smark"), F.col("hashes").alias("source"))
-    laid = found.join(once, DOC).join(source, ["_sid", "_smark"])
-    same_doc = (F.col("_id") == F.col("_sid")) & (F.col("_mark") == F.col("_smark"))
-    low = F.greatest(F.lit(0), F.col("shift"))
-    laid = laid.withColumn("low", low).withColumn("n", F.least(F.size("hashes"), F.size("source") + F.col("shift")) - F.col("low"))
-    laid = laid.where(F.col("n") > 0).where(~same_doc | (F.col("shift") > 0))
-    equal = F.filter(F.sequence(F.col("low"), F.col("low") + F.col("n") - 1), lambda p: F.get("hashes", p) == F.get("source", p - F.col("shift")))
-    laid = laid.select(*DOC, "words", equal.alias("equal"))
-    first = F.filter("equal", lambda p, i: F.coalesce(F.get("equal", i - 1) != p - 1, F.lit(True)))
-    last = F.filter("equal", lambda p, i: F.coalesce(F.get("equal", i + 1) != p + 1, F.lit(True)))
-    laid = laid.select(*DOC, "words", F.explode(F.zip_with(first, last, lambda x, y: F.struct(x.alias("from"), (y + 1).alias("to")))).alias("r"))
-    total = F.aggregate(F.slice("words", F.col("r.from") + 1, F.col("r.to") - F.col("r.from")), F.lit(0), lambda s, x: s + x)
-    intervals = laid.where(total >= min_words).select(*DOC, "r.from", "r.to").distinct()
+    starts = found.groupBy(*DOC).agg(F.collect_set(F.struct("pos", "later")).alias("starts"))
+    keys = starts.select(*DOC)
+    few = keys.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
+    involved = lines.join(F.broadcast(keys) if few else keys, DOC, "left_semi")
+    involved = involved.select(*DOC, "hashes", "places", reach("words", min_words).alias("reach")).join(starts, DOC)
+
+    def windows(p: Column) -> Column:
+        pos = p["pos"]
+        end = pos + F.get("reach", pos)
+        last = F.coalesce(pos + F.get("reach", pos + 1), F.size("hashes"))
+        key = lambda to: F.when(to > end, F.xxhash64(F.slice("hashes", pos + 1, to - pos)))
+        return F.transform(F.sequence(end, F.greatest(end, last)), lambda to: F.struct(key(to).alias("fingerprint"), F.get("places", pos).alias("from"), (F.get("places", to - 1) + 1).alias("to"), p["later"].alias("later")))
+
+    laid = involved.select(*DOC, F.explode(F.flatten(F.transform("starts", windows))).alias("w")).select(*DOC, "w.*")
+    laid = materialise(laid, "line-windows")
+    longer = later(laid.where("fingerprint is not null").drop("later"), "from")
+    intervals = laid.where("fingerprint is null").drop("fingerprint").unionByName(longer).where("later").select(*DOC, "from", "to").distinct()
     order = Window.partitionBy(*DOC).orderBy("from", "to")
     reached = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
     grouped = intervals.withColumn("_new", F.when(F.coalesce(F.col("from") <= reached, F.lit(False)), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(order))
@@ -125,12 +112,12 @@ def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFra
     return merged.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, min_words: int = MIN_RUN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and others) with later repeated runs cut from text, plus n_cut and runs.
 
     A run is a sequence of lines that also stands earlier: in a document before in the order
-    of ids, or further up.  Runs of ``gram + window - 1`` lines, or single lines of
-    ``min_words`` words, are certain to be found; runs of fewer words than ``min_words`` stay.
+    of ids, or further up.  All runs of ``min_words`` words or more go, however many documents
+    hold parts of them; shorter ones stay.  Lines without words do not part a run.
     ``runs`` holds the cut intervals of line numbers, the end exclusive.
 
     A null or empty text stays as it is and has no lines; ids that are null come
@@ -139,7 +126,7 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, min_wor
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("n_cut", "runs", *DOC)])
     lines = materialise(hashed_lines(docs), "line-hashes")
-    found = matches(fingerprints(lines, gram, window, min_words))
+    found = repeated_windows(shortest_windows(lines, min_words))
     runs = materialise(repeated_runs(found, lines, min_words), "line-runs")
     drop_scratch(lines, found)
     few = runs.limit(MOST_BROADCAST_RUNS + 1).count() <= MOST_BROADCAST_RUNS
