@@ -110,3 +110,21 @@ def test_the_cut_is_that_of_brute_force(spark):
     rows = [(k, "".join(rng.choice(pool) + rng.choice((" ", " ", "\n", "\n\n", "\n \n")) for _ in range(rng.randint(1, 14)))) for k in range(60)]
     got = run(spark, rows)
     assert {k: cut_of(got[k]) for k, _ in rows} == expected(rows, 25)
+
+
+def test_copies_with_other_white_space(spark):
+    rng = random.Random(8)
+    shared = [passage(rng, 1) for _ in range(5)]
+    cells = ["\t".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)) for _ in range(2)]
+    rows = [(1, "\n".join(shared) + "\nfirst"), (2, "second\n" + "\r\n".join(shared) + "\r\n"), (3, "third\n" + "".join(f"\t{x}\x0b\f\n" for x in shared))]
+    rows += [(4, "\r\n\r\n".join(shared)), (5, f"fifth\n{cells[0]}\n"), (6, f"{cells[1]}\n{cells[0]}\n"), (7, "a mark \0 here. " + "\r\n".join(shared))]
+    got = run(spark, rows)
+    assert [got[k].text for k, _ in rows] == [rows[0][1], "second\n", "third\n", "", rows[4][1], f"{cells[1]}\n", "a mark \0 here. "]
+
+
+def test_number_of_lines(spark):
+    texts = ["", None, "one", "one. two", "one. two. ", "one.  two.\n\nthree! four?\n", "\n", " \n \n", ". . \n. ", "a\0b. c\nd", "\0"]
+    got = run(spark, list(enumerate(texts)))
+    assert [got[k].n_lines for k in range(len(texts))] == [len(lines(x)) for x in texts]
+    by = {r.doc_id: r for r in line_dedup.dedup_lines(clashing(docs(spark))).collect()}
+    assert by[5].n_lines == 0 and by[4].n_lines == 0

@@ -13,24 +13,48 @@ MIN_RUN_WORDS, FEW_LINES = 25, 6
 MOST_BROADCAST_KEYS, MOST_BROADCAST_RUNS = 2_000_000, 500_000
 #: A line ends after line feeds, or after a full stop, question or exclamation mark and the space behind it.
 LINE_ENDS = r"(?<=\n)(?!\n)|(?<=[.!?]\x20)(?![\x20\n])"
-BREAK = "\0"
+BREAK, BLANKS = "\0", "\t\r\x0b\f\n"
 DOC = ["_id", "_mark"]
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text, with what ends them, so that they join to the text again.
+def put(text: Column, old: str, new: str) -> Column:
+    return F.replace(text, F.lit(old), F.lit(new))
+
+
+def marked(text: Column) -> Column:
+    """A text with BREAK behind each line's end."""
+    for end in (". ", "! ", "? "):
+        text = put(text, end, end + BREAK)
+    return put(put(put(text, f"{BREAK} ", " "), "\n", f"\n{BREAK}"), f"{BREAK}\n", "\n")
+
+
+def spaced(text: Column) -> Column:
+    """A text with spaces for other ASCII white space."""
+    for blank in BLANKS:
+        text = put(text, blank, " ")
+    return text
+
+
+def lines_of(text: Column, blanks: bool = True) -> Column:
+    """The lines of a text, with what ends them, so that they join to the text again; without ``blanks`` all white space is spaces.
 
     Plain replacements set a mark behind each end, which takes a small part of the time of
     LINE_ENDS; that one serves the texts that hold the mark themselves.
     """
     text = F.coalesce(text, F.lit(""))
-    put = lambda t, old, new: F.replace(t, F.lit(old), F.lit(new))
-    marked = text
-    for end in (". ", "! ", "? "):
-        marked = put(marked, end, end + BREAK)
-    marked = put(put(put(marked, f"{BREAK} ", " "), "\n", f"\n{BREAK}"), f"{BREAK}\n", "\n")
-    parts = F.when(F.contains(text, F.lit(BREAK)), F.split(text, LINE_ENDS)).otherwise(F.split(marked, BREAK))
-    return F.array_remove(parts, "")
+    rare, common = F.split(text, LINE_ENDS), marked(text)
+    if not blanks:
+        rare, common = F.transform(rare, spaced), spaced(common)
+    return F.array_remove(F.when(F.contains(text, F.lit(BREAK)), rare).otherwise(F.split(common, BREAK)), "")
+
+
+def number_of_lines(text: Column) -> Column:
+    """How many lines ``lines_of`` gives, without splitting where the mark can be counted."""
+    text = F.coalesce(text, F.lit(""))
+    common = marked(text)
+    breaks = F.octet_length(common) - F.octet_length(put(common, BREAK, ""))
+    common = breaks + F.when((text == "") | F.endswith(common, F.lit(BREAK)), 0).otherwise(1)
+    return F.when(F.contains(text, F.lit(BREAK)), F.size(lines_of(text))).otherwise(common).cast("long")
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -51,9 +75,9 @@ def reach(words: str, min_words: int) -> Column:
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """_id, _mark and, of each line with words: hash, without regard to case and outer spaces, words (by single spaces) and number."""
+    """_id, _mark and, of each line with words: hash, without regard to case, outer white space and the kind of inner, words (by single white space) and number."""
     full = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
-    bare = F.transform(lines_of(F.lower("text")), lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" "))))
+    bare = F.transform(lines_of(F.lower("text"), blanks=False), lambda x: F.trim(x))
     described = lambda x, i: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), i.alias("place"))
     rows = with_key(full).select(*DOC, F.filter(F.transform(bare, described), lambda x: x["words"] > 0).alias("lines"))
     return rows.select(*DOC, F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"), F.col("lines.place").alias("places"))
@@ -113,7 +137,7 @@ def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFra
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text and others) with later repeated runs cut from text, plus n_cut and runs.
+    """``docs`` (doc_id, text and others) with later repeated runs cut from text, plus n_lines, n_cut and runs.
 
     A run is a sequence of lines that also stands earlier: in a document before in the order
     of ids, or further up.  All runs of ``min_words`` words or more go, however many documents
@@ -124,7 +148,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     first in order; rows that repeat both id and text are one document and get one result
     each; an empty table gives no rows; columns named like a new one are replaced.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ("n_cut", "runs", *DOC)])
+    docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_cut", "runs", *DOC)])
     lines = materialise(hashed_lines(docs), "line-hashes")
     found = repeated_windows(shortest_windows(lines, min_words))
     runs = materialise(repeated_runs(found, lines, min_words), "line-runs")
@@ -135,7 +159,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     cut = F.aggregate("runs", F.lit(0), lambda s, r: s + r["to"] - r["from"])
     return rows.select(
         *[F.when(F.col("runs").isNotNull(), F.array_join(kept, "")).otherwise(F.col("text").cast("string")).alias("text") if c == "text" else c for c in docs.columns],
-        F.coalesce(cut, F.lit(0)).cast("long").alias("n_cut"), "runs",
+        number_of_lines(F.col("text").cast("string")).alias("n_lines"), F.coalesce(cut, F.lit(0)).cast("long").alias("n_cut"), "runs",
     )
 
 
@@ -153,4 +177,4 @@ def keep_first_passages(docs: DataFrame) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut repeated passages from the whole ``documents`` table."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_cut", F.to_json("runs").alias("runs"), "text")
+    return out.select("doc_id", "n_lines", "n_cut", F.to_json("runs").alias("runs"), "text")
