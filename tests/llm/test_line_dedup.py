@@ -128,3 +128,15 @@ def test_number_of_lines(spark):
     assert [got[k].n_lines for k in range(len(texts))] == [len(lines(x)) for x in texts]
     by = {r.doc_id: r for r in line_dedup.dedup_lines(clashing(docs(spark))).collect()}
     assert by[5].n_lines == 0 and by[4].n_lines == 0
+
+
+def test_passages_behind_words_without_a_full_stop(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    single = f"{words(6)}, {words(20)}; {words(9)}: {words(20)}, {words(5)}"
+    rows = [(1, f"{words(9)}. {single}. {words(9)}."), (2, f"{words(9)} {single} {words(9)}.")]
+    two = [f"{words(12)}. {words(13)}." for _ in range(20)]  # 25 words in two lines
+    rows += [(3 + k, f"{words(9)}. {x} {words(9)}.") for k, x in enumerate(two)] + [(30 + k, f"{words(9)}. {x} {words(9)}.") for k, x in enumerate(two)]
+    got = run(spark, rows)
+    assert [got[k].n_cut for k in (1, 2)] == [0, 3]
+    assert [got[3 + k].n_cut for k in range(20)] == [0] * 20 and [got[30 + k].n_cut for k in range(20)] == [2] * 20

@@ -11,8 +11,10 @@ from tidemark.llm.common import NULL_ID, drop_scratch, materialise, table
 MIN_RUN_WORDS, FEW_LINES = 25, 6
 #: Keys of documents, and rows of cut intervals, that may be broadcast; more are joined by shuffling the other side.
 MOST_BROADCAST_KEYS, MOST_BROADCAST_RUNS = 2_000_000, 500_000
-#: A line ends after line feeds, or after a full stop, question or exclamation mark and the space behind it.
-LINE_ENDS = r"(?<=\n)(?!\n)|(?<=[.!?]\x20)(?![\x20\n])"
+#: A line ends after line feeds, or after one of these marks and the space behind it; commas, colons and semicolons
+#: are among them, so that a passage that follows words without a full stop falls in step again within a sentence.
+MARKS = ".!?,;:"
+LINE_ENDS = rf"(?<=\n)(?!\n)|(?<=[{MARKS}]\x20)(?![\x20\n])"
 BREAK, BLANKS = "\0", "\t\r\x0b\f\n"
 DOC = ["_id", "_mark"]
 
@@ -23,8 +25,8 @@ def put(text: Column, old: str, new: str) -> Column:
 
 def marked(text: Column) -> Column:
     """A text with BREAK behind each line's end."""
-    for end in (". ", "! ", "? "):
-        text = put(text, end, end + BREAK)
+    for mark in MARKS:
+        text = put(text, f"{mark} ", f"{mark} {BREAK}")
     return put(put(put(text, f"{BREAK} ", " "), "\n", f"\n{BREAK}"), f"{BREAK}\n", "\n")
 
 
@@ -51,9 +53,8 @@ def lines_of(text: Column, blanks: bool = True) -> Column:
 def number_of_lines(text: Column) -> Column:
     """How many lines ``lines_of`` gives, without splitting where the mark can be counted."""
     text = F.coalesce(text, F.lit(""))
-    common = marked(text)
-    breaks = F.octet_length(common) - F.octet_length(put(common, BREAK, ""))
-    common = breaks + F.when((text == "") | F.endswith(common, F.lit(BREAK)), 0).otherwise(1)
+    counted = lambda m: F.octet_length(m) - F.octet_length(put(m, BREAK, "")) + F.when((m == "") | F.endswith(m, F.lit(BREAK)), 0).otherwise(1)
+    common = F.get(F.transform(F.array(marked(text)), counted), 0)  # marked once
     return F.when(F.contains(text, F.lit(BREAK)), F.size(lines_of(text))).otherwise(common).cast("long")
 
 
