@@ -45,3 +45,22 @@ def test_awkward_rows(spark):
     assert ids.count(1) == 2 and 4 not in ids and 5 not in ids and 7 in ids
     assert L.keep_identified(docs(spark, [])).collect() == []
     assert L.identify_pages(spark.createDataFrame([(None, None, None), (1, "no address", "<html lang=de><p>und"), (2, "http://x.example.com/", "")], "page_id long, url string, html string"), L.fit(docs(spark))).count() == 3
+
+
+def test_rare_and_many_languages_have_columns(spark):
+    words = lambda k: " ".join(chr(0x1200 + 40 * k + j) * 3 for j in range(12))
+    common = [(k, f"the and of that with this {k}", "en", "a", 1) for k in range(3000)]
+    rare = [(10_000 + k, words(1), "am", "b", 1) for k in range(2)]
+    rows = docs(spark, common + rare)
+    assert L.fit(rows, sample_rows=400).languages == ["am", "en"]
+    many = docs(spark, common[:200] + [(20_000 + k, words(k % 90), f"l{k % 90:02}", "c", 1) for k in range(180)])
+    model = L.fit(many)
+    assert len(model.languages) == L.MOST_LANGUAGES + 1 and L.POOLED in model.languages and "en" in model.languages
+    assert len(model.table[0]) == len(model.languages) + 1 and model.score(words(89).encode())[model.languages.index(L.POOLED)] > model.score(words(89).encode())[-1]
+
+
+def test_rare_language_stays(spark, monkeypatch):
+    text = " ".join(chr(0x1200 + j) * 4 for j in range(30)) + " "
+    rows = docs(spark, [(k, "the and of that with this and all of it " * 4, "en", "a", 1) for k in range(6000)] + [(9_000 + k, text * 4, "am", "b", 1) for k in range(2)])
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 100)
+    assert L.keep_identified(rows).where("lang = 'am'").count() == 2

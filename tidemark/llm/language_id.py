@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import binary_texts, materialise, table, whole_batches
 
-#: At most so many labelled texts, those with the least hashes of their ids, fit the text model.
-SAMPLE_ROWS, MOST_LANGUAGES = 4_000, 64
+#: About so many labelled texts fit the text model, shared out evenly among the languages, each with LEAST_ROWS if it has
+#: them: those with the least hashes.  Languages after the MOST_LANGUAGES most frequent ones share a column named POOLED.
+SAMPLE_ROWS, LEAST_ROWS, MOST_LANGUAGES, POOLED = 4_000, 200, 64, "other"
 CELLS, MICRO, CHUNK_BYTES = 1 << 13, 1_000_000, 1 << 20
 #: Neighbouring character triples depend on each other, so that each counts as so much of an observation.
 TEMPER = 0.35
@@ -67,10 +68,20 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """The text model of ``labelled`` (doc_id, text, lang), from at most ``sample_rows`` rows; the cells' counts are a grouped sum."""
+    """The text model of ``labelled`` (doc_id, text, lang): a column for every language, from about ``sample_rows`` rows; the cells' counts are a grouped sum."""
     known = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    chosen = known.select("id").orderBy(F.md5(F.concat(F.lit("language:"), F.coalesce("id", F.lit("")))), "id").limit(sample_rows)
-    sample = known.join(F.broadcast(chosen.distinct()), "id", "left_semi")
+    known = known.select("lang", "text", F.pmod(F.xxhash64(F.lit("language:"), F.coalesce("id", "text")), F.lit(1 << 40)).alias("_draw"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("_draw").alias("low"))
+    named = [r.lang for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()]
+    if len(named) > MOST_LANGUAGES:
+        column = F.when(F.col("lang").isin(named[:MOST_LANGUAGES]), F.col("lang")).otherwise(POOLED)
+        known, sizes = known.withColumn("lang", column), sizes.withColumn("lang", column)
+    found = sizes.groupBy("lang").agg(F.sum("n").alias("n"), F.min("low").alias("low")).orderBy("lang").collect() if named else []
+    languages = [r.lang for r in found]
+    rows_each = max(LEAST_ROWS, sample_rows // max(1, len(languages)))
+    # The least hash is always in, so that no language is without a row.
+    bounds = [x for r in found for x in (F.lit(r.lang), F.lit(max(r.low, (rows_each << 40) // r.n)).cast("long"))]
+    sample = known.where(F.col("_draw") <= F.try_element_at(F.create_map(*bounds), F.col("lang"))) if bounds else known
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -81,13 +92,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
                     own += np.bincount(triples(part), minlength=CELLS)
         for lang, own in sums.items():
             cells = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells)), pa.array(cells), pa.array(own[cells])], names=["lang", "cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells), pa.array(own[cells])], names=["lang", "cell", "n"])
 
     rows = sample.select("lang", "text").mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    names = sample.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"the sample names more than {MOST_LANGUAGES} languages")
-    languages = sorted(r.lang for r in names)
     counts = np.zeros((len(languages), CELLS), np.int64)
     for r in rows.collect():
         counts[languages.index(r.lang), r.cell] = r.n
