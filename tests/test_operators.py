@@ -59,3 +59,38 @@ def test_claims_expire_stale_leases(spark):
     jobs = spark.createDataFrame(rows, "job_id long, status string, priority int, queued_at timestamp, created_at timestamp, locked_at timestamp")
     plan = state.claim_plan(jobs, F.lit("2026-01-01 00:16:40").cast("timestamp"), 240, 2)
     assert {tuple(r) for r in plan.collect()} == {(1, "expire"), (5, "claim")}
+
+
+def test_fold_of_spans_is_that_of_all_events_in_order(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(6), k, rng.choice([*state.STATUSES, None])) for k in range(400)]
+    df = spark.createDataFrame(rows, "k long, at long, status string").withColumn("id", F.col("at"))
+    keep, want = state.KEEPS, {}
+    for k, _, new in rows:
+        old = want.get(k)
+        want[k] = old if new is None else new if old is None or old not in keep[new] else old
+    for span in (None, F.floor(F.col("at") / 37)):
+        assert {r.k: r.status for r in state.fold_status(df, ["k"], "at", "id", "status", span).collect()} == want
+
+
+def test_contained_entries_are_substrings_in_any_script(spark):
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice("서울시청a b") for _ in range(n))
+    texts = [(k, draw(rng.randrange(40))) for k in range(60)] + [(60, None), (61, "")]
+    entries = sorted({draw(rng.randrange(2, 5)) for _ in range(joins.FEW_ENTRIES + 60)} - {""})
+    df, known = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(e,) for e in entries], "key string")
+    want = {k: min((e for e in entries if t and e in t), key=lambda e: (-len(e), e), default=None) for k, t in texts}
+    assert {r.id: r.matched for r in joins.longest_contained(df, "t", ["id"], known).collect()} == want
+    few = {k: min((e for e in entries[:20] if t and e in t), key=lambda e: (-len(e), e), default=None) for k, t in texts}
+    assert {r.id: r.matched for r in joins.longest_contained(df, "t", ["id"], known.where(F.col("key").isin(entries[:20]))).collect()} == few
+
+
+def test_nearest_rank_with_skew_ties_and_nulls(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(50)])) for _ in range(900)] + [("c", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        own = sorted(v for key, v in rows if key == k and v is not None)
+        want[k] = tuple(own[-(-len(own) * p // 100) - 1] for p in (50, 95, 99))
+    assert {r.k: (r.p50, r.p95, r.p99) for r in aggregate.nearest_rank(df, ["k"], "v", (0.5, 0.95, 0.99), 7).collect()} == want

@@ -43,14 +43,23 @@ def query_parameters(url: Column) -> Column:
     return F.filter(F.split(query, "&"), lambda x: x != "")
 
 
+def parts_of(url: Column) -> Column:
+    """scheme, authority, path and query of an address in one struct, with empty strings for what it lacks."""
+    return F.struct(scheme(url).alias("scheme"), authority(url).alias("authority"), path(url).alias("path"), F.regexp_extract(url, PARTS, 4).alias("query"))
+
+
 def normalize_url(url: Column, tracking: Sequence[str] = TRACKING) -> Column:
     """Lower-case scheme and host, no usual port, no fragment, no tracking parameters, one slash less at the end; null where it is no address."""
-    url = F.trim(url)
-    kept = F.filter(query_parameters(url), lambda x: ~F.lower(F.substring_index(x, "=", 1)).isin(*tracking))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    way = F.when(path(url) == "", "/").when(F.length(path(url)) > 1, F.regexp_replace(path(url), "/$", "")).otherwise(path(url))
-    usual = F.when(scheme(url) == "http", F.regexp_replace(authority(url), ":80$", "")).when(scheme(url) == "https", F.regexp_replace(authority(url), ":443$", "")).otherwise(authority(url))
-    return F.when(url.rlike(PARTS) & (authority(url) != ""), F.concat(scheme(url), F.lit("://"), usual, way, query))
+
+    def joined(p: Column) -> Column:
+        given = F.filter(F.split(F.regexp_replace(p["query"], r"^\?", ""), "&"), lambda x: x != "")
+        query = F.array_join(F.filter(given, lambda x: ~F.lower(F.substring_index(x, "=", 1)).isin(*tracking)), "&")
+        way = F.when(p["path"] == "", "/").when(F.length(p["path"]) > 1, F.regexp_replace(p["path"], "/$", "")).otherwise(p["path"])
+        usual = F.when(p["scheme"] == "http", F.regexp_replace(p["authority"], ":80$", "")).when(p["scheme"] == "https", F.regexp_replace(p["authority"], ":443$", "")).otherwise(p["authority"])
+        whole = F.concat(p["scheme"], F.lit("://"), usual, way, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+        return F.when((p["scheme"] != "") & (p["authority"] != ""), whole)
+
+    return F.get(F.transform(F.array(parts_of(F.trim(url))), joined), 0)  # the parts are taken once
 
 
 def same_address_key(url: Column) -> Column:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_ENTRIES = 200_000
+from tidemark.functions.rules import first_match
+
+#: So many entries are looked for in the rows themselves; more meet the texts by a short piece of each entry.
+FEW_ENTRIES = 128
+#: So many anchors, a dozen characters each, may be broadcast; more are joined by shuffling the pieces.
+MOST_BROADCAST_ANCHORS, LONGEST_PIECE = 200_000, 6
 
 
 def with_fallback_key(rows: DataFrame, key: str, other: str, mapping: DataFrame, unique: str) -> DataFrame:
@@ -16,16 +21,41 @@ def with_fallback_key(rows: DataFrame, key: str, other: str, mapping: DataFrame,
     return filled.withColumn(key, F.coalesce(F.col(key), F.col("_key"))).drop("_key").dropDuplicates([unique])
 
 
+def pieces(text: Column, width: int) -> Column:
+    """The distinct runs of ``width`` characters of a text."""
+    letters = lambda t: F.split(t, "")
+    runs = lambda c: F.when(F.size(c) >= width, F.transform(F.sequence(F.lit(1), F.size(c) - width + 1), lambda i: F.array_join(F.slice(c, i, width), "")))
+    return F.array_distinct(F.flatten(F.transform(F.array(text), lambda t: F.coalesce(runs(letters(t)), F.array().cast("array<string>")))))
+
+
+def contained_entries(texts: DataFrame, text: str, unique: Sequence[str], entries: DataFrame, key: str) -> DataFrame:
+    """(unique, entry) for the entries that each text contains, found by equality of one piece of each entry and then confirmed.
+
+    Pieces are as long as the shortest entry, ``LONGEST_PIECE`` at most; of an entry's pieces
+    the one that fewest entries share stands for it.  Only ids and pieces are exploded: a text
+    travels once, to confirm what was found for it.
+    """
+    words = entries.where(F.length(key) > 0).select(F.col(key).alias("_entry"), F.lower(key).alias("_low")).distinct()
+    width = min(LONGEST_PIECE, words.agg(F.min(F.length("_low"))).first()[0] or 1)
+    each = words.select("_entry", "_low", F.explode(pieces(F.col("_low"), width)).alias("_piece"))
+    shared = each.groupBy("_piece").agg(F.count("*").alias("n"))
+    anchors = each.join(shared, "_piece").groupBy("_entry", "_low").agg(F.min(F.struct("n", "_piece"))["_piece"].alias("_piece"))
+    few = anchors.limit(MOST_BROADCAST_ANCHORS + 1).count() <= MOST_BROADCAST_ANCHORS
+    met = texts.select(*unique, F.explode(pieces(F.lower(text), width)).alias("_piece")).join(F.broadcast(anchors) if few else anchors, "_piece").drop("_piece")
+    return texts.select(*unique, F.lower(text).alias("_text")).join(met, list(unique)).where(F.contains("_text", "_low")).select(*unique, "_entry")
+
+
 def longest_contained(texts: DataFrame, text: str, unique: Sequence[str], entries: DataFrame, key: str = "key") -> DataFrame:
-    """For each text the longest entry it contains, the first by name among equals; texts without one keep a null.
+    """For each text the longest entry it contains as a substring, without regard to case, the first by name among equals; else null.
 
-    Entries are words: a text's distinct words are joined to them by equality, so no text meets
-    every entry.  Entries of several words meet at their first word and are then looked for.
+    Up to ``FEW_ENTRIES`` entries are tried in the row, the longest first, without a shuffle;
+    larger dictionaries go through `contained_entries`.
     """
-    first = F.substring_index(F.col(key), " ", 1)
-    words = texts.select(*unique, F.col(text).alias("_text"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"))).alias("_first"))
-    met = words.join(entries.select(F.col(key).alias("_entry"), F.lower(first).alias("_first")), "_first")
-    found = met.where(F.contains(F.lower("_text"), F.lower("_entry")))
+    few = [r[0] for r in entries.where(F.length(key) > 0).select(key).distinct().limit(FEW_ENTRIES + 1).collect()]
+    if len(few) <= FEW_ENTRIES:
+        rules = [(F.contains(F.col("_low"), F.lit(e.lower())), F.lit(e)) for e in sorted(few, key=lambda e: (-len(e), e))]
+        return texts.withColumn("_low", F.lower(text)).withColumn("matched", first_match(rules) if rules else F.lit(None).cast("string")).drop("_low")
+    found = contained_entries(texts, text, unique, entries, key)
     best = found.groupBy(*unique).agg(F.min(F.struct((-F.length("_entry")).alias("n"), F.col("_entry").alias("e")))["e"].alias("matched"))
     return texts.join(best, list(unique), "left")
 

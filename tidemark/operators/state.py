@@ -11,24 +11,41 @@ from tidemark.functions.dates import stale
 from tidemark.functions.rules import first_match
 
 STATUSES = ("active", "closed", "restricted", "unreachable", "invalid", "discovered", "stale", "ignored")
+# For each new status the old ones that stay against it.
+KEEPS = {
+    "active": ("closed",), "closed": (), "restricted": ("active", "closed"), "unreachable": ("closed", "restricted", "ignored", "stale"),
+    "invalid": ("active", "closed", "restricted"), "discovered": ("invalid", "ignored", "stale", "active", "closed", "restricted"),
+    "stale": ("closed", "restricted"), "ignored": ("stale",),
+}
 
 
 def next_status(old: Column, new: Column) -> Column:
     """What a link's status becomes: definite states win, and closed, restricted or set-aside ones stay as each case says."""
-    keeps = {
-        "active": ("closed",), "closed": (), "restricted": ("active", "closed"), "unreachable": ("closed", "restricted", "ignored", "stale"),
-        "invalid": ("active", "closed", "restricted"), "discovered": ("invalid", "ignored", "stale", "active", "closed", "restricted"),
-        "stale": ("closed", "restricted"), "ignored": ("stale",),
-    }
-    rules = [((new == status) & (old.isin(*kept) if kept else F.lit(False)), old) for status, kept in keeps.items()]
+    rules = [((new == status) & (old.isin(*kept) if kept else F.lit(False)), old) for status, kept in KEEPS.items()]
     return first_match([(new.isNull(), old), (old.isNull(), new), *rules], new)
 
 
-def fold_status(events: DataFrame, keys: Sequence[str], at: str, tie: str, status: str) -> DataFrame:
-    """The status of each key after all its events in order, by `next_status`; it depends on the order, so it is a fold and no maximum."""
-    line = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, tie, status))).alias("_line"))
-    folded = F.aggregate(F.col("_line"), F.lit(None).cast("string"), lambda s, e: next_status(s, e[status]))
-    return line.select(*keys, folded.alias(status))
+def fold_status(events: DataFrame, keys: Sequence[str], at: str, tie: str, status: str, span: Column | None = None) -> DataFrame:
+    """The status of each key after all its events in order, by `next_status`; it depends on the order, so it is a fold and no maximum.
+
+    ``span`` is a column that never falls as ``at`` rises, such as its day.  The events of a key
+    and span become one map from every status before to that after; a key's few maps are then
+    composed in order, so a hot key is spread over tasks by its spans.  An unknown status counts as null.
+    """
+    names = F.array(*[F.lit(x) for x in STATUSES])
+    number = F.when(F.col(status).isNotNull(), F.array_position(names, F.col(status))).cast("int")
+    # Rows: the new status; columns: the old one; 0 stands for none.
+    table = [list(range(len(STATUSES) + 1))]
+    table += [[new if k == 0 or STATUSES[k - 1] not in KEEPS[name] else k for k in range(len(STATUSES) + 1)] for new, name in enumerate(STATUSES, 1)]
+    steps = F.array(*[F.array(*[F.lit(x) for x in row]) for row in table])
+    part = F.lit(0) if span is None else span
+    pieces = events.select(*keys, part.alias("_span"), F.struct(at, tie, F.coalesce(number, F.lit(0)).alias("to")).alias("_e"))
+    pieces = pieces.groupBy(*keys, "_span").agg(F.array_sort(F.collect_list("_e")).alias("_line"))
+    same = F.array(*[F.lit(k) for k in range(len(STATUSES) + 1)])
+    after = F.aggregate("_line", same, lambda m, e: F.transform(m, lambda s: F.get(F.get(steps, e["to"]), s)))
+    line = pieces.select(*keys, F.struct("_span", after.alias("to")).alias("_m")).groupBy(*keys).agg(F.array_sort(F.collect_list("_m")).alias("_maps"))
+    folded = F.aggregate("_maps", F.lit(0), lambda s, m: F.get(m["to"], s))
+    return line.select(*keys, F.get(names, folded - 1).alias(status))
 
 
 def sightings(events: DataFrame, keys: Sequence[str], at: str) -> DataFrame:

@@ -144,11 +144,11 @@ def append_missing(spark: SparkSession, d: str) -> DataFrame:
     return sets.append_missing(listed, ordered, ["c_custkey"])
 
 
-@query("""SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08)""")
+@query("""SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08 AND l_linenumber = 7)""")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
     """Keys that neither of two sets holds."""
-    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_returnflag", "l_discount")
-    return sets.without(table(spark, d, "part").select("p_partkey"), [lines.where("l_returnflag = 'R'"), lines.where("l_discount > 0.08")], ["p_partkey"])
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_returnflag", "l_discount", "l_quantity", "l_linenumber")
+    return sets.without(table(spark, d, "part").select("p_partkey"), [lines.where("l_returnflag = 'R' and l_quantity > 45"), lines.where("l_discount > 0.08 and l_linenumber = 7")], ["p_partkey"])
 
 
 @query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS in_window,
@@ -186,7 +186,7 @@ def status_merge_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The state of each key after all its transitions in order."""
     names = F.create_map(*[F.lit(x) for kv in (("view", "discovered"), ("click", "active"), ("error", "unreachable"), ("purchase", "restricted")) for x in kv])
     rows = table(spark, d, "events").withColumn("status", F.coalesce(F.try_element_at(names, F.col("event_type")), F.lit("stale")))
-    return state.fold_status(rows, ["user_id"], "ts", "event_id", "status")
+    return state.fold_status(rows, ["user_id"], "ts", "event_id", "status", F.to_date("ts"))
 
 
 @query("""WITH j AS (SELECT event_id AS job_id, CASE WHEN value > 60 THEN 'running' ELSE 'pending' END AS status, ts FROM events WHERE event_type = 'signup')

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text, urls
 from tidemark.functions.numbers import half_up
 from tidemark.functions.rules import pattern_names
-from tidemark.operators.joins import longest_contained
+from tidemark.operators.joins import contained_entries, longest_contained
 from tidemark.plans.base import query, table
 
 KINDS = ((r"\.example\.com$", "first"), (r"^(m|blog)\.", "mirror"), (r"\.example\.net$", "second"))
@@ -66,15 +66,30 @@ def title_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.sanitize_title(F.col("text"), 80).alias("title"))
 
 
-@query("""WITH k(k) AS (VALUES ('than'), ('thing'), ('nicht'), ('dans'), ('para'), ('the'), ('der'), ('ing')),
-w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS w FROM documents)
-SELECT doc_id, m.k AS matched FROM documents LEFT JOIN (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY length(k) DESC, k) AS r FROM w JOIN k ON w = k) m USING (doc_id) WHERE r = 1 OR r IS NULL""")
+WORDS = ("than", "thing", "nicht", "dans", "para", "the", "der", "ing")
+
+
+@query(f"""WITH k(k) AS (VALUES {", ".join(f"('{w}')" for w in WORDS)})
+SELECT doc_id, m.k AS matched FROM documents LEFT JOIN (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY length(k) DESC, k) AS r
+  FROM documents JOIN k ON contains(lower(text), k)) m USING (doc_id) WHERE r = 1 OR r IS NULL""")
 def keyword_contains_join(spark: SparkSession, d: str) -> DataFrame:
-    """The longest entry of a dictionary that a text holds as a word."""
-    entries = spark.createDataFrame([(k,) for k in ("than", "thing", "nicht", "dans", "para", "the", "der", "ing")], "key string")
+    """The longest entry of a small dictionary that a text contains."""
+    entries = spark.createDataFrame([(k,) for k in WORDS], "key string")
     return longest_contained(table(spark, d, "documents").select("doc_id", "text"), "text", ["doc_id"], entries).select("doc_id", "matched")
 
 
+@query("""WITH k AS (SELECT DISTINCT lower(p_name) AS k FROM part WHERE p_partkey <= 1000 UNION SELECT DISTINCT lower(o_orderpriority) FROM orders),
+t AS (SELECT p_partkey, p_name || ' / ' || p_type AS t FROM part)
+SELECT p_partkey, k AS matched FROM (SELECT p_partkey, k, row_number() OVER (PARTITION BY p_partkey ORDER BY length(k) DESC, k) AS r FROM t JOIN k ON contains(lower(t), k)) WHERE r = 1""")
+def dictionary_contains_join(spark: SparkSession, d: str) -> DataFrame:
+    """The longest entry of a dictionary of any size that a text contains, by shared pieces of text."""
+    parts = table(spark, d, "part")
+    entries = parts.where("p_partkey <= 1000").select(F.lower("p_name").alias("key")).union(table(spark, d, "orders").select(F.lower("o_orderpriority").alias("key"))).distinct()
+    texts = parts.select("p_partkey", F.concat("p_name", F.lit(" / "), "p_type").alias("t"))
+    found = contained_entries(texts, "t", ["p_partkey"], entries, "key")
+    return found.groupBy("p_partkey").agg(F.min(F.struct((-F.length("_entry")).alias("n"), F.col("_entry").alias("e")))["e"].alias("matched"))
+
+
 PATTERNS = {"email": r"[a-z0-9.]+@[a-z0-9.]+", "phone": r"\+[0-9]", "licence": r"(?i)licen[cs]ed? ", "secret": r"(password|token) ?=", "upper": r"[A-Z]{12}"}
 
 
