@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +12,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import drop_scratch, materialise, table
 
 SCALE, TOP, BLOCK_ROWS, BLOCK_QUERIES = 256, 5, 16_384, 2_048
-#: Quantised components stay below this, so that no inner product of up to 2 ** 13 of them leaves 63 bits.
-MOST_COMPONENT = 1 << 24
+#: Scores leave a task as two longs, so that sums of any size keep their order: score = high * 2 ** LIMB + low.
+LIMB = 62
+#: So many bytes of query vectors may be broadcast to the blocks of the index; more meet them by a shuffle.
+MOST_BROADCAST_BYTES = 64 << 20
 
 
 def usable(vector: Column) -> Column:
-    """Not null or empty, and without null, infinite or NaN components."""
+    """Not null, and without null, infinite or NaN components."""
     number = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(F.exists(vector, number), F.lit(False))
+    return vector.isNotNull() & ~F.coalesce(F.exists(vector, number), F.lit(False))
 
 
 def quantised(rows: DataFrame, scale: int) -> DataFrame:
-    """vec_id and the whole numbers floor(scale * x), x as double, of usable vectors."""
+    """vec_id and the whole numbers floor(scale * x), x as double, of usable vectors; one that a long can't hold becomes the nearest long."""
     vector = F.col("embedding").cast("array<double>")
     whole = F.transform(vector, lambda x: F.floor(x * F.lit(float(scale))))
     kept = rows.where(F.col("vec_id").isNotNull() & usable(vector))
@@ -39,17 +40,15 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """
 
     def pack(ids: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
-        if np.abs(matrix).max() >= MOST_COMPONENT:
-            raise ValueError(f"a quantised component reaches {MOST_COMPONENT}")
         order = np.argsort(ids, kind="stable")
-        ids, matrix = ids[order], matrix[order]
+        ids, matrix = ids[order], matrix[order].astype(np.int64)
         least = matrix.min(axis=0)
-        above = (matrix - least).T
-        bits = max(1, int(above.max()).bit_length())
+        above = (matrix.view(np.uint64) - least.view(np.uint64)).T  # modulo 2 ** 64, which any difference of two longs fits
+        bits = max(1, int(above.max(initial=0)).bit_length())
         words = -(-len(ids) // 64)
         flat = np.zeros((above.shape[0], bits, words * 64), np.uint8)
         for b in range(bits):
-            flat[:, b, : len(ids)] = (above >> b) & 1
+            flat[:, b, : len(ids)] = (above >> np.uint64(b)) & np.uint64(1)
         maps = np.packbits(flat, axis=2, bitorder="little")
         row = [len(ids), above.shape[0], bits, ids.tobytes(), least.tobytes(), maps.tobytes()]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -97,11 +96,11 @@ class Query:
     """A query vector as the bitmaps to add: for each power of two, which bit of which component, plain or inverted."""
 
     def __init__(self, query_id: int, vector: list[int]) -> None:
-        self.query_id, self.vector = query_id, np.array(vector, np.int64)
+        self.query_id, self.vector = query_id, vector
         self.terms = [(d, shift, sign) for d, x in enumerate(vector) for shift, sign in signed_digits(int(x))]
-        self.plans: dict[int, tuple[list[list[int]], int]] = {}
+        self.plans: dict[int, tuple[list[np.ndarray], int]] = {}
 
-    def plan(self, bits: int) -> tuple[list[list[int]], int]:
+    def plan(self, bits: int) -> tuple[list[np.ndarray], int]:
         """Rows of the table of bitmaps (plain ones first) under each power, and what the inverted ones add too much."""
         if bits not in self.plans:
             width, columns, excess = len(self.vector), {}, 0
@@ -110,15 +109,15 @@ class Query:
                 excess += 0 if sign > 0 else ((1 << bits) - 1) << shift
                 for b in range(bits):
                     columns.setdefault(shift + b, []).append(inverted + d * bits + b)
-            self.plans[bits] = ([columns.get(w, []) for w in range(max(columns, default=-1) + 1)], excess)
+            self.plans[bits] = ([np.array(columns.get(w, []), np.int32) for w in range(max(columns, default=-1) + 1)], excess)
         return self.plans[bits]
 
 
-def add_slices(maps: np.ndarray, columns: list[list[int]]) -> list[np.ndarray]:
+def add_slices(maps: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
     """Bitmaps of the sum, least significant first: full adders take three bitmaps of a power to one, and one of the next."""
     out, carried, power = [], [], 0
     while power < len(columns) or carried:
-        own = [maps[columns[power]]] if power < len(columns) and columns[power] else []
+        own = [maps[columns[power]]] if power < len(columns) and len(columns[power]) else []
         rows = np.concatenate(own + carried) if own or carried else np.zeros((1, maps.shape[1]), np.uint64)
         carried = []
         while len(rows) > 1:
@@ -153,41 +152,67 @@ def select_top(slices: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndar
     return np.concatenate([places(sure), places(open_)[: k - n_sure]])
 
 
-def search(index: DataFrame, queries: list[tuple[int, list[int]]], k: int, first: int) -> DataFrame:
-    """(q, query_id, vec_id, score): for each query, the best k rows of each block, other than rows with its id."""
-    shared = index.sparkSession.sparkContext.broadcast([(q, v) for q, v in queries])
+def query_blocks(queries: DataFrame, block_queries: int) -> tuple[DataFrame, int]:
+    """block and queries, an array of about ``block_queries`` of (q, vec_id, vector) with q unique, and the number of blocks."""
+    asked = materialise(queries.withColumn("q", F.monotonically_increasing_id()), "queries")
+    n_blocks = max(1, -(-asked.count() // block_queries))
+    block = F.pmod(F.xxhash64("q"), F.lit(n_blocks)).alias("block")
+    blocks = materialise(asked.groupBy(block).agg(F.collect_list(F.struct("q", "vec_id", "vector")).alias("queries")), "query-blocks")
+    drop_scratch(asked)
+    return blocks, n_blocks
+
+
+def paired(index: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """Each block of the index beside each block of queries, which are a stated set; neither side passes through the driver unless its bytes are few."""
+    width = blocks.select(F.sum(F.aggregate("queries", F.lit(0).cast("long"), lambda s, x: s + 8 * F.size(x["vector"]) + 64))).first()[0] or 0
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")).alias("block")
+    if width <= MOST_BROADCAST_BYTES:
+        return index.select("*", every).join(F.broadcast(blocks), "block")
+    numbered = materialise(index.withColumn("place", F.monotonically_increasing_id()), "bit-slices")
+    places = numbered.select("place", every)  # numbers alone; bitmaps and vectors then travel once a pair
+    return places.join(blocks, "block").join(numbered, "place").drop("place")
+
+
+def search(pairs: DataFrame, k: int) -> DataFrame:
+    """(q, query_id, vec_id, high, low): for each query, the best k rows of each block, other than rows with its id."""
+    names = ["q", "query_id", "vec_id", "high", "low"]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [Query(q, v) for q, v in shared.value]
+        held: tuple[int | None, list[Query]] = (None, [])
         for batch in batches:
-            for row in batch.to_pylist():
+            for at_row in range(batch.num_rows):
+                row = {c: batch.column(c)[at_row].as_py() for c in ("block", "n", "width", "bits", "ids", "least", "maps")}
+                if held[0] != row["block"]:
+                    held = (row["block"], [(x["q"], Query(x["vec_id"], x["vector"])) for x in batch.column("queries")[at_row].as_py()])
                 ids, least = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["least"], np.int64)
-                plain = np.frombuffer(row["maps"], np.uint64).reshape(row["width"] * row["bits"], -1)
+                plain = np.frombuffer(row["maps"], np.uint64).reshape(row["width"] * row["bits"], -(-row["n"] // 64))
                 maps = np.concatenate([plain, ~plain])
-                valid = np.packbits(np.arange(plain.shape[1] * 64) < row["n"], bitorder="little").view(np.uint64)
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for number, query in enumerate(own):
+                room = plain.shape[1] * 64
+                valid = np.packbits(np.arange(room) < row["n"], bitorder="little").view(np.uint64)
+                out: list[list[int]] = [[] for _ in names]
+                for q, query in held[1]:
                     if len(query.vector) != row["width"]:
                         continue
                     columns, excess = query.plan(row["bits"])
                     slices = add_slices(maps, columns)
                     allowed = valid
-                    low, high = np.searchsorted(ids, [query.query_id, query.query_id + 1])
+                    low, high = np.searchsorted(ids, query.query_id), np.searchsorted(ids, query.query_id, "right")
                     if low < high:
-                        mine = np.zeros(plain.shape[1] * 64, bool)
+                        mine = np.zeros(room, bool)
                         mine[low:high] = True
                         allowed = valid & ~np.packbits(mine, bitorder="little").view(np.uint64)
                     at = select_top(slices, allowed, k)
-                    value = np.zeros(len(at), np.int64)
-                    for power, one in enumerate(slices):
-                        value += ((one[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << power
-                    value += int(query.vector @ least) - excess
-                    for column, x in zip(out, (np.full(len(at), first + number), np.full(len(at), query.query_id), ids[at], value), strict=True):
-                        column.append(x)
+                    bits = [((one[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).tolist() for one in slices]
+                    base = sum(x * y for x, y in zip(query.vector, least.tolist(), strict=True)) - excess
+                    for j, vec_id in enumerate(ids[at].tolist()):
+                        score = base + sum(own[j] << power for power, own in enumerate(bits))  # whole numbers of any size
+                        score_high = max(-(2**63), min(2**63 - 1, score >> LIMB))
+                        for column, x in zip(out, (q, query.query_id, vec_id, score_high, score & ((1 << LIMB) - 1)), strict=True):
+                            column.append(x)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["q", "query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
 
-    return index.mapInArrow(best, "q long, query_id long, vec_id long, score long")
+    return pairs.mapInArrow(best, ", ".join(f"{n} long" for n in names))
 
 
 def top_inner_products(
@@ -196,33 +221,23 @@ def top_inner_products(
     """query_id, rank, vec_id, score: for each row of ``queries`` its k best rows of ``candidates`` (vec_id, embedding).
 
     The score is the inner product of the vectors floor(scale * x); ties go to the smaller
-    vec_id.  The index is written once; queries are a stated set, sent to its blocks
-    ``block_queries`` at a time, and a block gives back at most k rows for each.
-
-    Rows with a null id, a null or empty vector, or null or non-finite components take no part;
-    vectors of another length, and rows with the query's own id, are no candidates of a query;
-    repeated queries are answered each; with fewer than k candidates all are given; empty
-    tables give no rows; other columns are not read.
+    vec_id.  The index is written once; queries are a stated set, which meets its blocks
+    ``block_queries`` at a time on the executors, and a block gives back at most k rows for each.
+
+    Rows with a null id, a null vector, or null or non-finite components take no part; finite
+    components of any size do.  A score beyond a long is given as the nearest long, its rank
+    is by the exact one.  Empty vectors score 0 among each other; vectors of another length,
+    and rows with the query's own id, are no candidates of a query; repeated queries are
+    answered each; with fewer than k candidates all are given; empty tables give no rows;
+    other columns are not read.
     """
     index = materialise(build_index(quantised(candidates, scale), block_rows), "bit-slices")
-    asked = materialise(quantised(queries, scale), "queries")
-    n_blocks = max(1, -(-asked.count() // block_queries))
-    if n_blocks == 1:
-        blocks = [asked]
-    else:
-        split = materialise(asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))), "queries")
-        blocks = [split.where(F.col("b") == b) for b in range(n_blocks)]
-    parts, first = [], 0
-    for block in blocks:
-        rows = [(r.vec_id, list(r.vector)) for r in block.select("vec_id", "vector").collect()]
-        if any(abs(x) >= MOST_COMPONENT for _, v in rows for x in v):
-            raise ValueError(f"a quantised component reaches {MOST_COMPONENT}")
-        parts.append(search(index, rows, k, first))
-        first += len(rows)
-    drop_scratch(asked)
-    found = reduce(DataFrame.unionByName, parts)
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    blocks, n_blocks = query_blocks(quantised(queries, scale), block_queries)
+    found = search(paired(index, blocks, n_blocks), k)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id"))
+    within = F.col("high").between(-2, 1)
+    score = F.when(within, F.shiftleft("high", LIMB) + F.col("low")).when(F.col("high") > 0, F.lit(2**63 - 1)).otherwise(F.lit(-(2**63)))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
