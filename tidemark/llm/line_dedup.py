@@ -9,8 +9,11 @@ from tidemark.llm.common import NULL_ID, drop_scratch, materialise, table
 
 #: Runs of fewer words stay.  Most runs reach them in FEW_LINES lines, which are tried first.
 MIN_RUN_WORDS, FEW_LINES = 25, 6
-#: Keys of documents, and rows of cut intervals, that may be broadcast; more are joined by shuffling the other side.
-MOST_BROADCAST_KEYS, MOST_BROADCAST_RUNS = 2_000_000, 500_000
+#: Bytes of keys of documents, and of cut intervals, that may be broadcast; more are joined by shuffling the other side.
+MOST_BROADCAST_BYTES, KEY_BYTES, RUN_BYTES = 48 << 20, 80, 32
+#: A fingerprint with more places than LEAST_HOT, and than one in MOST_HOT of all places, meets its first place where
+#: it stands, by a broadcast; there are never more than MOST_HOT of them.
+LEAST_HOT, MOST_HOT = 200, 20_000
 #: A line ends after line feeds, or after one of these marks and the space behind it; commas, colons and semicolons
 #: are among them, so that a passage that follows words without a full stop falls in step again within a sentence.
 MARKS = ".!?,;:"
@@ -90,20 +93,27 @@ def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
     return lines.select(*DOC, F.explode(F.array_compact(windows)).alias("f")).select("f.fingerprint", *DOC, "f.pos")
 
 
-def later(rows: DataFrame, at: str) -> DataFrame:
-    """``rows`` (fingerprint, _id, _mark, ``at``) and ``later``: whether the fingerprint has an earlier place."""
-    first = rows.groupBy("fingerprint").agg(F.min(F.struct(*DOC, at)).alias("_first"))
-    return rows.join(first, "fingerprint").withColumn("later", F.struct(*DOC, at) > F.col("_first")).drop("_first", "fingerprint")
+def later(rows: DataFrame, at: str, name: str) -> DataFrame:
+    """The rows (fingerprint, _id, _mark, ``at`` and others) whose fingerprint has several, without it, and ``later``: whether it has an earlier place.
+
+    First places are found by a grouped minimum.  Very frequent fingerprints, of which there
+    can be few, are then broadcast, so that none gathers its places in one task.
+    """
+    rows = materialise(rows, f"{name}-marks")
+    groups = rows.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min(F.struct(*DOC, at)).alias("_first"))
+    first = materialise(groups.where("_n > 1"), f"{name}-first")
+    bound = max(LEAST_HOT, (first.agg(F.sum("_n")).first()[0] or 0) // MOST_HOT)
+    hot, cold = first.where(F.col("_n") > bound).drop("_n"), first.where(F.col("_n") <= bound).drop("_n")
+    told = lambda met: met.withColumn("later", F.struct(*DOC, at) > F.col("_first")).drop("_first", "fingerprint")
+    others = rows.join(F.broadcast(hot.select("fingerprint")), "fingerprint", "left_anti")
+    out = materialise(told(rows.join(F.broadcast(hot), "fingerprint")).unionByName(told(others.join(cold, "fingerprint"))), f"{name}-matches")
+    drop_scratch(rows, first)
+    return out
 
 
 def repeated_windows(marks: DataFrame) -> DataFrame:
     """_id, _mark, pos, later: the places of all fingerprints that have more than one."""
-    marks = materialise(marks, "line-marks")
-    counted = materialise(marks.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line-shared")
-    shared = materialise(marks.join(counted, "fingerprint"), "line-places")
-    out = materialise(later(shared, "pos"), "line-matches")
-    drop_scratch(marks, counted, shared)
-    return out
+    return later(marks, "pos", "line")
 
 
 def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
@@ -114,8 +124,8 @@ def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFra
     shortest window begins that is repeated as well, and end before the next such one ends.
     """
     starts = found.groupBy(*DOC).agg(F.collect_set(F.struct("pos", "later")).alias("starts"))
-    keys = starts.select(*DOC)
-    few = keys.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
+    keys = found.select(*DOC).distinct()
+    few = keys.count() * KEY_BYTES <= MOST_BROADCAST_BYTES
     involved = lines.join(F.broadcast(keys) if few else keys, DOC, "left_semi")
     involved = involved.select(*DOC, "hashes", "places", reach("words", min_words).alias("reach")).join(starts, DOC)
 
@@ -128,7 +138,7 @@ def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFra
 
     laid = involved.select(*DOC, F.explode(F.flatten(F.transform("starts", windows))).alias("w")).select(*DOC, "w.*")
     laid = materialise(laid, "line-windows")
-    longer = later(laid.where("fingerprint is not null").drop("later"), "from")
+    longer = later(laid.where("fingerprint is not null").drop("later"), "from", "line-longer")
     intervals = laid.where("fingerprint is null").drop("fingerprint").unionByName(longer).where("later").select(*DOC, "from", "to").distinct()
     order = Window.partitionBy(*DOC).orderBy("from", "to")
     reached = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -154,7 +164,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     found = repeated_windows(shortest_windows(lines, min_words))
     runs = materialise(repeated_runs(found, lines, min_words), "line-runs")
     drop_scratch(lines, found)
-    few = runs.limit(MOST_BROADCAST_RUNS + 1).count() <= MOST_BROADCAST_RUNS
+    few = (runs.agg(F.sum(F.size("runs") * RUN_BYTES + KEY_BYTES)).first()[0] or 0) <= MOST_BROADCAST_BYTES
     rows = with_key(docs).join(F.broadcast(runs) if few else runs, DOC, "left").drop(*DOC)
     kept = F.filter(lines_of(F.col("text").cast("string")), lambda _, i: ~F.exists("runs", lambda r: (i >= r["from"]) & (i < r["to"])))
     cut = F.aggregate("runs", F.lit(0), lambda s, r: s + r["to"] - r["from"])
