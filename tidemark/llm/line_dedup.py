@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.rules import first_match
 from tidemark.llm.common import NULL_ID, drop_scratch, materialise, table
 
-#: Runs of fewer words stay.  Most runs reach them in FEW_LINES lines, which are tried first.
-MIN_RUN_WORDS, FEW_LINES = 25, 6
+#: Runs of fewer words stay.  Most runs reach them in so many lines, which compiled expressions add up.
+MIN_RUN_WORDS, FEW_LINES = 25, 8
 #: Bytes of keys of documents, and of cut intervals, that may be broadcast; more are joined by shuffling the other side.
 MOST_BROADCAST_BYTES, KEY_BYTES, RUN_BYTES = 48 << 20, 80, 32
 #: A fingerprint with more places than LEAST_HOT, and than one in MOST_HOT of all places, meets its first place where
@@ -40,17 +41,14 @@ def spaced(text: Column) -> Column:
     return text
 
 
-def lines_of(text: Column, blanks: bool = True) -> Column:
-    """The lines of a text, with what ends them, so that they join to the text again; without ``blanks`` all white space is spaces.
+def lines_of(text: Column) -> Column:
+    """The lines of a text, with what ends them, so that they join to the text again.
 
     Plain replacements set a mark behind each end, which takes a small part of the time of
     LINE_ENDS; that one serves the texts that hold the mark themselves.
     """
     text = F.coalesce(text, F.lit(""))
-    rare, common = F.split(text, LINE_ENDS), marked(text)
-    if not blanks:
-        rare, common = F.transform(rare, spaced), spaced(common)
-    return F.array_remove(F.when(F.contains(text, F.lit(BREAK)), rare).otherwise(F.split(common, BREAK)), "")
+    return F.array_remove(F.when(F.contains(text, F.lit(BREAK)), F.split(text, LINE_ENDS)).otherwise(F.split(marked(text), BREAK)), "")
 
 
 def number_of_lines(text: Column) -> Column:
@@ -67,30 +65,49 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_mark", F.xxhash64(text))
 
 
-def reach(words: str, min_words: int) -> Column:
-    """For each line how many from it on it takes to hold ``min_words`` words, null where the text ends before; each line has a word.
-
-    ``words`` must be a stored column: a computed one would be computed again for each line.
-    """
-    most = max(1, min_words)
-    step = most + 1  # a sum holds the words above and the number of lines below it
-    told = lambda at, n: F.aggregate(F.slice(words, at + 1, n), F.lit(0).cast("long"), lambda s, w: F.when(s >= most * step, s).otherwise(s + w.cast("long") * step + 1), lambda s: F.when(s >= most * step, (s % step).cast("int")))
-    return F.transform(words, lambda _, i: F.coalesce(told(i, min(FEW_LINES, most)), told(i, most)))
-
-
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """_id, _mark and, of each line with words: hash, without regard to case, outer white space and the kind of inner, words (by single white space) and number."""
     full = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
-    bare = F.transform(lines_of(F.lower("text"), blanks=False), lambda x: F.trim(x))
+    low = spaced(marked(F.lower("text")))
+    rare = F.transform(F.split(F.lower("text"), LINE_ENDS), spaced)
+    parts = F.when(F.contains("text", F.lit(BREAK)), F.array_remove(rare, "")).otherwise(F.split(low, BREAK))
+    bare = F.transform(parts, lambda x: F.trim(x))
     described = lambda x, i: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), i.alias("place"))
     rows = with_key(full).select(*DOC, F.filter(F.transform(bare, described), lambda x: x["words"] > 0).alias("lines"))
     return rows.select(*DOC, F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"), F.col("lines.place").alias("places"))
 
 
 def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """fingerprint, _id, _mark, pos: for each line the shortest run from it on that has enough words."""
-    windows = F.transform(reach("words", min_words), lambda n, i: F.when(n.isNotNull(), F.struct(F.xxhash64(F.slice("hashes", i + 1, n)).alias("fingerprint"), i.alias("pos"))))
-    return lines.select(*DOC, F.explode(F.array_compact(windows)).alias("f")).select("f.fingerprint", *DOC, "f.pos")
+    """fingerprint, _id, _mark, pos, n, next: for each line the shortest run from it on that has enough words, of n lines.
+
+    ``next`` is the number of lines that the run from the line after it takes, null where the
+    text ends before, and so is the fingerprint.  Lines are exploded first, so that sums over
+    FEW_LINES are compiled code; runs of more lines, which are short ones, go on with the part
+    of the arrays that they can need.  No row is filtered here: a filter would be pushed below
+    the sums and add them up again for itself.
+    """
+    most = max(1, min_words)
+    depth = min(most, FEW_LINES)
+    rows = lines.select(*DOC, "hashes", "words", F.posexplode("words").alias("pos", "_1"))
+    for k in range(2, depth + 2):
+        rows = rows.withColumn(f"_{k}", F.col(f"_{k - 1}") + F.coalesce(F.get("words", F.col("pos") + (k - 1)), F.lit(0)))
+    n = first_match([(F.col(f"_{k}") >= most, F.lit(k)) for k in range(1, depth + 1)])
+    following = first_match([(F.col(f"_{k + 1}") - F.col("_1") >= most, F.lit(k)) for k in range(1, depth + 1)])
+    more = F.size("words") > F.col("pos") + (depth + 1)
+    if most <= depth:  # each line has a word
+        told = rows.select(*DOC, "hashes", "pos", n.alias("n"), following.alias("next"))
+        return told.select(F.xxhash64(F.slice("hashes", F.col("pos") + 1, F.col("n"))).alias("fingerprint"), *DOC, "pos", "n", "next")
+    told = rows.select(*DOC, "hashes", "words", "pos", n.alias("_n"), following.alias("_next"), more.alias("_more"))
+    open_ = (F.col("_n").isNull() | F.col("_next").isNull()) & F.col("_more")
+    told = told.select(
+        *DOC, "pos", "_n", "_next", F.when(F.col("_n").isNotNull(), F.xxhash64(F.slice("hashes", F.col("pos") + 1, F.col("_n")))).alias("_f"),
+        F.when(open_, F.slice("words", F.col("pos") + 1, most + 1)).alias("_w"), F.when(open_, F.slice("hashes", F.col("pos") + 1, most)).alias("_h"),
+    )
+    step = most + 1  # a sum holds the words above and the number of lines below it
+    added = lambda s, w: F.when(s >= most * step, s).otherwise(s + w.cast("long") * step + 1)
+    summed = lambda at: F.aggregate(F.slice("_w", at + 1, most), F.lit(0).cast("long"), added, lambda s: F.when(s >= most * step, (s % step).cast("int")))
+    told = told.select(*DOC, "pos", "_f", "_h", F.coalesce("_n", summed(0)).alias("n"), F.coalesce("_next", summed(1)).alias("next"))
+    return told.select(F.coalesce("_f", F.when(F.col("n").isNotNull(), F.xxhash64(F.slice("_h", 1, F.col("n"))))).alias("fingerprint"), *DOC, "pos", "n", "next")
 
 
 def later(rows: DataFrame, at: str, name: str) -> DataFrame:
@@ -99,7 +116,7 @@ def later(rows: DataFrame, at: str, name: str) -> DataFrame:
     First places are found by a grouped minimum.  Very frequent fingerprints, of which there
     can be few, are then broadcast, so that none gathers its places in one task.
     """
-    rows = materialise(rows, f"{name}-marks")
+    rows = materialise(rows, f"{name}-marks").where("fingerprint is not null")
     groups = rows.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min(F.struct(*DOC, at)).alias("_first"))
     first = materialise(groups.where("_n > 1"), f"{name}-first")
     bound = max(LEAST_HOT, (first.agg(F.sum("_n")).first()[0] or 0) // MOST_HOT)
@@ -112,7 +129,7 @@ def later(rows: DataFrame, at: str, name: str) -> DataFrame:
 
 
 def repeated_windows(marks: DataFrame) -> DataFrame:
-    """_id, _mark, pos, later: the places of all fingerprints that have more than one."""
+    """_id, _mark, pos, n, next, later: the places of all fingerprints that have more than one."""
     return later(marks, "pos", "line")
 
 
@@ -123,20 +140,16 @@ def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFra
     first or by their last line.  Those that only lose it by the first begin where a
     shortest window begins that is repeated as well, and end before the next such one ends.
     """
-    starts = found.groupBy(*DOC).agg(F.collect_set(F.struct("pos", "later")).alias("starts"))
+    starts = found.groupBy(*DOC).agg(F.collect_set(F.struct("pos", "n", "next", "later")).alias("starts"))
     keys = found.select(*DOC).distinct()
     few = keys.count() * KEY_BYTES <= MOST_BROADCAST_BYTES
-    involved = lines.join(F.broadcast(keys) if few else keys, DOC, "left_semi")
-    involved = involved.select(*DOC, "hashes", "places", reach("words", min_words).alias("reach")).join(starts, DOC)
-
-    def windows(p: Column) -> Column:
-        pos = p["pos"]
-        end = pos + F.get("reach", pos)
-        last = F.coalesce(pos + F.get("reach", pos + 1), F.size("hashes"))
-        key = lambda to: F.when(to > end, F.xxhash64(F.slice("hashes", pos + 1, to - pos)))
-        return F.transform(F.sequence(end, F.greatest(end, last)), lambda to: F.struct(key(to).alias("fingerprint"), F.get("places", pos).alias("from"), (F.get("places", to - 1) + 1).alias("to"), p["later"].alias("later")))
-
-    laid = involved.select(*DOC, F.explode(F.flatten(F.transform("starts", windows))).alias("w")).select(*DOC, "w.*")
+    involved = lines.join(F.broadcast(keys) if few else keys, DOC, "left_semi").select(*DOC, "hashes", "places").join(starts, DOC)
+    pos, end, to = F.col("s.pos"), F.col("s.pos") + F.col("s.n"), F.col("to")
+    last = F.coalesce(F.col("s.pos") + F.col("s.next"), F.size("hashes"))
+    each = involved.select(*DOC, "hashes", "places", F.explode("starts").alias("s"))
+    each = each.select(*DOC, "hashes", "places", "s", F.explode(F.sequence(end, F.greatest(end, last))).alias("to"))
+    fingerprint = F.when(to > end, F.xxhash64(F.slice("hashes", pos + 1, to - pos)))
+    laid = each.select(*DOC, fingerprint.alias("fingerprint"), F.get("places", pos).alias("from"), (F.get("places", to - 1) + 1).alias("to"), F.col("s.later").alias("later"))
     laid = materialise(laid, "line-windows")
     longer = later(laid.where("fingerprint is not null").drop("later"), "from", "line-longer")
     intervals = laid.where("fingerprint is null").drop("fingerprint").unionByName(longer).where("later").select(*DOC, "from", "to").distinct()
