@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ LEAST_HOT, MOST_HOT = 200, 20_000
 #: are among them, so that a passage that follows words without a full stop falls in step again within a sentence.
 MARKS = ".!?,;:"
 LINE_ENDS = rf"(?<=\n)(?!\n)|(?<=[{MARKS}]\x20)(?![\x20\n])"
-BREAK, BLANKS = "\0", "\t\r\x0b\f\n"
+BREAK, BLANKS = "\0", "\t\r\x0b\f"
 DOC = ["_id", "_mark"]
 
 
@@ -35,7 +37,7 @@ def marked(text: Column) -> Column:
 
 
 def spaced(text: Column) -> Column:
-    """A text with spaces for other ASCII white space."""
+    """A text with spaces for other ASCII white space than line feeds."""
     for blank in BLANKS:
         text = put(text, blank, " ")
     return text
@@ -54,7 +56,7 @@ def lines_of(text: Column) -> Column:
 def number_of_lines(text: Column) -> Column:
     """How many lines ``lines_of`` gives, without splitting where the mark can be counted."""
     text = F.coalesce(text, F.lit(""))
-    counted = lambda m: F.octet_length(m) - F.octet_length(put(m, BREAK, "")) + F.when((m == "") | F.endswith(m, F.lit(BREAK)), 0).otherwise(1)
+    counted = lambda m: F.octet_length(m) - F.octet_length(text) + F.when((m == "") | F.endswith(m, F.lit(BREAK)), 0).otherwise(1)
     common = F.get(F.transform(F.array(marked(text)), counted), 0)  # marked once
     return F.when(F.contains(text, F.lit(BREAK)), F.size(lines_of(text))).otherwise(common).cast("long")
 
@@ -68,10 +70,9 @@ def with_key(docs: DataFrame) -> DataFrame:
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """_id, _mark and, of each line with words: hash, without regard to case, outer white space and the kind of inner, words (by single white space) and number."""
     full = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
-    low = spaced(marked(F.lower("text")))
-    rare = F.transform(F.split(F.lower("text"), LINE_ENDS), spaced)
-    parts = F.when(F.contains("text", F.lit(BREAK)), F.array_remove(rare, "")).otherwise(F.split(low, BREAK))
-    bare = F.transform(parts, lambda x: F.trim(x))
+    parts = F.split(F.lower("text"), LINE_ENDS)  # a last empty part has no words
+    odd = reduce(lambda s, c: s | F.contains("text", F.lit(c)), BLANKS[1:], F.contains("text", F.lit(BLANKS[0])))
+    bare = F.when(odd, F.transform(parts, lambda x: F.btrim(spaced(x), F.lit(" \n")))).otherwise(F.transform(parts, lambda x: F.btrim(x, F.lit(" \n"))))
     described = lambda x, i: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), i.alias("place"))
     rows = with_key(full).select(*DOC, F.filter(F.transform(bare, described), lambda x: x["words"] > 0).alias("lines"))
     return rows.select(*DOC, F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"), F.col("lines.place").alias("places"))
