@@ -49,13 +49,23 @@ def test_matches_brute_force_in_one_block_and_in_several(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id string, text string")
     want = brute(rows, items)
-    for options in ({}, {"shard_words": 50}, {"block_items": 4}):
+    for options in ({}, {"shard_words": 50}, {"block_items": 4}, {"block_bytes": 300}):
         got = decontamination.decontaminate(d, b, keep=["doc_id"], **options).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, sorted(r["items"]), r.contaminated) for r in got) == want
         for r in got:
             assert sum(s.end - s.start for s in r.spans) == r.n_hit
 
 
+def test_items_longer_than_a_block_and_repeated_rows(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(300)}" for _ in range(600))
+    items = [("long", long), ("short", "w1 w2 w3"), ("other", " ".join(f"w{k}" for k in range(40)))]
+    rows = [(k, " ".join(long.split()[k * 9 : k * 9 + 30]) + " end w1 w2 w3") for k in range(50)] + [(7, "w1 w2 w3"), (7, "w1 w2 w3"), (8, None)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id string, text string")
+    got = decontamination.decontaminate(d, b, keep=["doc_id"], block_bytes=700).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, sorted(r["items"]), r.contaminated) for r in got) == sorted(brute(rows, items))
+
+
 def test_awkward_rows(spark):
     b = spark.createDataFrame([("p", "It was a bright cold day in April and the clocks were striking. Nobody"), (None, "one two three four"), ("q", None)], "item_id string, text string")
     got = decontamination.decontaminate(clashing(docs(spark)), b, keep=["doc_id", "kept", "spans"]).collect()

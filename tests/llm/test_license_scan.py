@@ -26,3 +26,22 @@ def test_awkward_rows(spark):
     assert len(got) == 14 and {r.doc_id: r.licence for r in got if r.licence} == {10: "A", 11: "A"}
     assert L.scan_licences(docs(spark, []), known).collect() == []
     assert L.scan_licences(docs(spark), known.where("false")).where("licence is not null").collect() == []
+
+
+def test_a_folder_of_whole_licences(spark, tmp_path):
+    texts = {"Long-1.0": " ".join(f"Clause {k} of this licence." for k in range(4000)), "Short-2.0": "Do as you like."}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    known = L.known_in_folder(spark, str(tmp_path))
+    rows = docs(spark, [(1, texts["Long-1.0"].upper().replace(" ", "  "), None, None, None), (2, "do as you like", None, None, None), (3, "else", None, None, None)])
+    assert {r.doc_id: r.licence for r in L.scan_licences(rows, known).collect()} == {1: "Long-1.0", 2: "Short-2.0", 3: None}
+
+
+def test_more_licences_than_are_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        known = spark.range(7000).selectExpr("concat('L', id) as licence", "concat('terms number ', id) as text")
+        rows = spark.range(0, 7000, 100).selectExpr("id as doc_id", "concat('Terms, NUMBER ', id) as text")
+        assert all(r.licence == f"L{r.doc_id}" for r in L.scan_licences(rows, known).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

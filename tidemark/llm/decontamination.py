@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import binary_texts, table
+from tidemark.llm.common import binary_texts, materialise, table
 from tidemark.llm.fm_index import FMIndex
 
-PHRASE_WORDS, SHARD_WORDS, BLOCK_ITEMS, MOST_BLOCK_BYTES = 13, 400_000, 20_000, 32 << 20
+PHRASE_WORDS, SHARD_WORDS, BLOCK_ITEMS, BLOCK_BYTES = 13, 400_000, 20_000, 8 << 20
+#: So many bytes of what the blocks found may be broadcast to the rows of the texts; more are joined by a shuffle.
+MOST_BROADCAST_BYTES = 32 << 20
 #: Bytes of words are 0-9, a-z and everything that is not ASCII; A-Z are lower-cased first.
 WORD_BYTES = bytes(ord(chr(b).lower()) if chr(b).isascii() and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
 
@@ -140,58 +143,81 @@ def decontaminate(
     phrase_words: int = PHRASE_WORDS,
     shard_words: int = SHARD_WORDS,
     block_items: int = BLOCK_ITEMS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all, by default) plus n_words, n_hit, items, spans and contaminated, a row for each row.
 
-    A shard is whole texts of about ``shard_words`` words read by one task; nothing is shuffled.
-    The phrases of ``benchmark`` (item_id, text) are a stated query set.  They are broadcast in
-    blocks of at most ``block_items`` items (and of 32 MB of text, else an error says so); with
-    more than one block the texts are searched once a block and the spans of a row are merged.
+    A shard is whole texts of about ``shard_words`` words read by one task.  The phrases of
+    ``benchmark`` (item_id, text) are a stated query set, broadcast in blocks of about
+    ``block_items`` items and ``block_bytes`` bytes; an item that is longer than a block is
+    searched in parts that overlap by a phrase less one word, so that none of its phrases is
+    lost.  With more than one block the texts are searched once a block, and what later blocks
+    find is merged into the rows of the first.
 
     A null or empty text has no words and is not contaminated; items with a null id or without
     words match nothing; items that share an id are one item; repeated rows give repeated rows;
     empty tables give empty or unhit rows; columns of ``docs`` named like a new one are dropped.
     """
     spark, new = docs.sparkSession, [*FOUND.names, "contaminated"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new and c != "_text"]
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    n_blocks = max(1, -(-items.count() // block_items))
-    block = F.pmod(F.xxhash64("item"), F.lit(n_blocks))
-    width = items.groupBy(block.alias("b")).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
-    if width > MOST_BLOCK_BYTES:
-        raise ValueError(f"a block of benchmark phrases has {width} bytes; lower block_items below {block_items}")
-    source = docs.select(*keep, F.col("text").alias("_text"), *([F.xxhash64("text").alias("_hash")] if n_blocks > 1 else []))
-    parts = []
-    for k in range(n_blocks):
-        rows = [(r.item, r.text) for r in items.where(block == k).collect()]
-        parts.append(search(source, spark.sparkContext.broadcast(Phrases(rows, phrase_words)), shard_words))
-    out = parts[0] if n_blocks == 1 else merge_blocks(parts, keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new and c not in ("_text", "_row")]
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("most")).first()
+    n_blocks = max(1, -(-total.n // block_items), -(-total.bytes // block_bytes))
+    if n_blocks == 1:
+        rows = [(r.item, r.text) for r in items.collect()]
+        source = docs.select(*keep, F.col("text").alias("_text"))
+        out = search(source, spark.sparkContext.broadcast(Phrases(rows, phrase_words)), shard_words)
+    else:
+        out = search_blocks(docs, keep, items if total.most <= block_bytes else in_parts(items, phrase_words, block_bytes // 4), n_blocks, phrase_words, shard_words)
     flag = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return out.withColumn("contaminated", flag)
 
 
-def merge_blocks(parts: list[DataFrame], keep: list[str]) -> DataFrame:
-    """One row for each row of the texts from the rows that every block gave; equal rows stay as many as they were."""
-    merged = parts[0].withColumn("_n", F.lit(1))
-    for part in parts[1:]:
-        merged = merged.unionByName(part.withColumn("_n", F.lit(1)))
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    union = F.aggregate(
-        spans,
-        F.array().cast(FOUND["spans"].dataType),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (x["start"] <= F.try_element_at(done, F.lit(-1))["end"]),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], x["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
-    grouped = merged.groupBy(*keep, "_hash", "n_words").agg(
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), union.alias("spans"), (F.sum("_n") / len(parts)).cast("int").alias("_n")
-    )
+def in_parts(items: DataFrame, phrase_words: int, part_bytes: int) -> DataFrame:
+    """``items`` (item, text) with long texts cut to parts of about ``part_bytes``, which hold the phrases of the text between them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), binary_texts(batch.column("text")), strict=True):
+                words = words_of(text)
+                step = max(1, len(words) * part_bytes // max(1, len(text or b"")))
+                for at in range(0, max(1, len(words) - phrase_words + 1), step):
+                    part = b" ".join(words[at : at + step + phrase_words - 1]).decode("utf-8", "replace")
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([part], pa.string())], names=["item", "text"])
+
+    return items.mapInArrow(cut, "item string, text string")
+
+
+def search_blocks(docs: DataFrame, keep: list[str], items: DataFrame, n_blocks: int, phrase_words: int, shard_words: int) -> DataFrame:
+    """As `search` for a single block: the rows of the first block, with the spans and items that the others found for them."""
+    spark = docs.sparkSession
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
+    source = materialise(docs.select(*keep, F.col("text").alias("_text")).withColumn("_row", F.monotonically_increasing_id()), "searched")
+    base, parts = None, []
+    for k in range(n_blocks):
+        rows = [(r.item, r.text) for r in items.where(block == k).collect()]
+        phrases = spark.sparkContext.broadcast(Phrases(rows, phrase_words))
+        if base is None:
+            base = search(source, phrases, shard_words)
+        else:
+            parts.append(search(source.select("_row", "_text"), phrases, shard_words).where("n_hit > 0").select("_row", "items", "spans"))
+    hits = materialise(reduce(DataFrame.unionByName, parts), "block-hits")
+    merged = hits.groupBy("_row").agg(F.flatten(F.collect_list("items")).alias("_items"), F.flatten(F.collect_list("spans")).alias("_spans"))
+    size = hits.agg(F.sum(F.size("spans") * 16 + F.size("items") * 32 + 64)).first()[0] or 0
+    both = base.join(F.broadcast(merged) if size <= MOST_BROADCAST_BYTES else merged, "_row", "left")
+    items_ = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("_items", F.array().cast("array<string>")))))
+    spans = F.when(F.col("_spans").isNull(), F.col("spans")).otherwise(union_of(F.array_sort(F.concat("spans", F.coalesce("_spans", F.array().cast(FOUND["spans"].dataType))))))
+    out = both.select(*keep, "n_words", items_.alias("items"), spans.alias("spans"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return grouped.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*keep, "n_words", n_hit.alias("n_hit"), "items", "spans")
+    return out.select(*keep, "n_words", n_hit.alias("n_hit"), "items", "spans")
+
+
+def union_of(spans: Column) -> Column:
+    """Sorted spans merged where they meet."""
+    last = lambda done: F.try_element_at(done, F.lit(-1))
+    longer = lambda done, x: F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], x["end"]).alias("end"))))
+    meets = lambda done, x: (F.size(done) > 0) & (x["start"] <= last(done)["end"])
+    return F.aggregate(spans, F.array().cast(FOUND["spans"].dataType), lambda done, x: F.when(meets(done, x), longer(done, x)).otherwise(F.concat(done, F.array(x))))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

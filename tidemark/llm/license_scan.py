@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, table
 
-MOST_LICENCES = 5_000
 # Equivalent spellings, replaced in this order in lower-case text.
 SPELLINGS = (
     ("https://", "http://"), ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"),
@@ -28,6 +27,10 @@ _BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its c
 _BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _MIT_BODY = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_UNLICENSE = 'This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org/>'
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."
+_BOOST = 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_X11 = _MIT_BODY + "\n\nExcept as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."
 KNOWN_LICENCES = (
     ("MIT", "MIT License\n\n" + _MIT_BODY),
     ("MIT", _MIT_BODY),
@@ -47,6 +50,8 @@ KNOWN_LICENCES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("All-rights-reserved", "All rights reserved."),
+    ("Unlicense", _UNLICENSE), ("Zlib", _ZLIB), ("Zlib", "zlib License\n\n" + _ZLIB), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST), ("X11", _X11),
+    *[(name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense", "Zlib", "BSL-1.0")],
 )
 
 
@@ -81,25 +86,30 @@ def known_digests(known: DataFrame) -> DataFrame:
     return form.where("form is not null and form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
+def known_in_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """licence, text of the files of a folder that every executor sees, each whole file a licence named by its file name."""
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt|\.md)?$", 1).alias("licence"), F.col("value").alias("text"))
+    return files.where("text <> ''")
+
+
 def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, licence, notices, n_notices for every row of ``docs`` (doc_id, text).
 
     ``licence`` is that of the whole text, null if it is not a known one; ``notices`` are the
     distinct licences, in order, of lines that are a whole known text each, ``n_notices``
-    counts those lines.  ``known`` (licence, text) is broadcast: more than 5,000 rows are refused.
+    counts those lines.  ``known`` (licence, text) is digested once and written; the planner
+    broadcasts the digests while their bytes are few and shuffles both sides beyond that.
 
     Null and empty texts have no licence; null ids and repeated rows keep a row each; an empty
     table gives no rows; other columns are not read.
     """
-    if known.limit(MOST_LICENCES + 1).count() > MOST_LICENCES:
-        raise ValueError(f"more than {MOST_LICENCES} known licences; their digests would not be small enough to broadcast")
     digests = materialise(known_digests(known), "licences")
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), spelled(F.col("text").cast("string")).alias("_text"))
     lines = F.transform(canonical_lines(F.col("_text")), lambda x: F.sha2(x, 256))
     rows = materialise(rows.select("doc_id", "_row", F.sha2(canonical(F.col("_text")), 256).alias("digest"), lines.alias("lines")), "licence-digests")
-    hits = rows.select("_row", F.explode("lines").alias("digest")).join(F.broadcast(digests), "digest").groupBy("_row")
+    hits = rows.select("_row", F.explode("lines").alias("digest")).join(digests, "digest").groupBy("_row")
     hits = materialise(hits.agg(F.array_sort(F.collect_set("licence")).alias("notices"), F.count("*").alias("n_notices")), "licence-lines")
-    joined = rows.drop("lines").join(F.broadcast(digests), "digest", "left").join(hits, "_row", "left")
+    joined = rows.drop("lines").join(digests, "digest", "left").join(hits, "_row", "left")
     none = F.array().cast("array<string>")
     return joined.select("doc_id", "licence", F.coalesce("notices", none).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 

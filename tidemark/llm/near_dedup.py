@@ -16,13 +16,13 @@ SHINGLE_WORDS, PERCENT = 5, 75
 #: A band holds four 16-bit registers, which are one long; at a similarity of 0.75 a link misses all bands once in 190,000.
 REGISTERS, BAND_REGISTERS, MANTISSA_BITS, BUCKET_BITS, VALUE_BITS = 128, 4, 10, 7, 57
 #: Estimates have a standard deviation of 0.04; pairs further below the threshold than this aren't confirmed.
-SLACK = 0.2
+SLACK = 0.25
 #: Buckets up to this size give all their open pairs at once; the last way gives this many centres a round.
-SMALL_BUCKET, CENTRES = 4, 1_024
+SMALL_BUCKET, CENTRES = 4, 256
 #: So many ids, 8 bytes each, may be broadcast to find their texts; more are joined by shuffling the texts.
-MOST_BROADCAST_IDS = 2_000_000
+MOST_BROADCAST_IDS = 1_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 class WordHashes(dict):
