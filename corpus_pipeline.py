@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.
 All but the last return the columns of documents; the last returns the mix, one row for each
 document that is left and how many of its words the mix takes.
+
+In every stage a null in any column, an empty or very long text, ties, repeated rows and an empty
+table have a defined result, stated there; columns that tables have besides stay as they are,
+whatever their names, until the last stage.
 """
 
 from __future__ import annotations
@@ -19,30 +23,53 @@ from tidemark.llm.near_dedup import near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters, or unlike all labelled writing, go."""
+    """Documents whose language can be told; those without letters, or unlike all labelled writing, go.
+
+    Null and empty texts have no letters and go; null ids, languages and sources are evidence of
+    no kind; a text of any length is read whole; ties go to the language first by name; repeated
+    rows are judged alike; with no labelled row, and in an empty table, all rows stay.
+    """
     return keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; those that consist of such passages alone go."""
+    """Documents without the passages that an earlier one has; those that consist of such passages alone go.
+
+    Null and empty texts stay; null ids come first in order; of different texts under one id the
+    one with the smaller hash comes first; rows that repeat both are one document and are cut
+    alike; a passage that a text repeats within itself stays once; an empty table stays empty.
+    """
     return keep_first_passages(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; rows with a null id stay."""
+    """One document of each group of near copies, the one with the smallest id; rows with a null id stay.
+
+    Null and empty texts are like no other and stay; rows that repeat an id stay or go together;
+    a text of any length is compared whole; an empty table stays empty.
+    """
     judged = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     gone = materialise(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth, or nothing, stands in the benchmark's phrases."""
+    """Documents of which less than a twentieth, or nothing, stands in the benchmark's phrases.
+
+    Null and empty texts have no words and stay; null ids don't matter; a share of exactly a
+    twentieth goes; repeated rows are judged each, and alike; an empty table or benchmark changes nothing.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
     return decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=["_row"]).where(~F.col("contaminated")).select("_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document."""
+    """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document.
+
+    Null and empty texts have size 0 and give nothing; a null source is one of its own, last in
+    order; equal quotients go to the source first in order; repeated rows and null ids count as
+    rows of their own; an empty table gives no rows; other columns are not read.
+    """
     return mix_sources(docs)
 
 
@@ -54,7 +81,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: SQL has no form of the language stage's text model; tests hold each stage against a brute-force version.
+#: SQL has no form of the language stage's text model; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
