@@ -1,5 +1,8 @@
 from pyspark.sql import functions as F
 
+import math
+import random
+
 from tests.llm.cases import clashing, docs
 from tidemark.llm import language_id as L
 
@@ -64,3 +67,56 @@ def test_rare_language_stays(spark, monkeypatch):
     rows = docs(spark, [(k, "the and of that with this and all of it " * 4, "en", "a", 1) for k in range(6000)] + [(9_000 + k, text * 4, "am", "b", 1) for k in range(2)])
     monkeypatch.setattr(L, "SAMPLE_ROWS", 100)
     assert L.keep_identified(rows).where("lang = 'am'").count() == 2
+
+
+def brute(rows, model):
+    """(language, confidence) of each (text, declared, host) by plain loops over all rows."""
+    languages = [*model.languages, L.UNDETERMINED]
+    size, micro = len(languages), L.MICRO
+    even = [(1 - L.UNDETERMINED_PRIOR) / max(1, size - 1)] * (size - 1) + [L.UNDETERMINED_PRIOR]
+    mixed = lambda counts, prior, weight: [(c / micro + weight * p) / (sum(counts) / micro + weight) for c, p in zip(counts, prior, strict=True)]
+    added = lambda many: [sum(x[k] for x in many) for k in range(size)]
+
+    def softmax(logs):
+        powers = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(powers) for x in powers]
+
+    seen = []
+    for text, declared, host in rows:
+        letters = L.visible(text.encode() if text else None, False)
+        scores = model.score(letters)
+        soft = [math.floor(p * micro + 0.5) for p in softmax([x / micro + math.log(p) for x, p in zip(scores, even, strict=True)])] if letters else [0] * size
+        seen.append((letters, scores, soft, (declared or "").lower(), host or ""))
+    total = added([x[2] for x in seen])
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    base = mixed(total, even, 10.0)
+
+    def table(value, of):
+        if value == "":
+            return [0.0] * size
+        own = added([x[2] for x in seen if of(x) == value])
+        share, weight = (sum(own) + 1) / (sum(total) + 1), L.TABLE_WEIGHT * micro
+        return [math.log((c + weight * share) / (n + weight)) for c, n in zip(own, total, strict=True)]
+
+    out = []
+    for letters, scores, soft, declared, host in seen:
+        others = [a - b for a, b in zip(added([x[2] for x in seen if x[4] == host]), soft, strict=True)]
+        prior = mixed(others, mixed(added([x[2] for x in seen if domain(x[4]) == domain(host)]), base, L.DOMAIN_WEIGHT), L.HOST_WEIGHT)
+        by_declared, by_suffix = table(declared, lambda x: x[3]), table(host.split(".")[-1], lambda x: x[4].split(".")[-1])
+        post = softmax([s / micro + math.log(p) + d + t for s, p, d, t in zip(scores, prior, by_declared, by_suffix, strict=True)])
+        best = post.index(max(post))
+        out.append((languages[best], max(post)) if letters else (L.UNDETERMINED, 0.0))
+    return out
+
+
+def test_fusion_matches_brute_force(spark, sf_dir):
+    rng = random.Random(6)
+    known = [(r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 40").limit(60).collect()]
+    model = L.fit(spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(known)], "doc_id long, text string, lang string"))
+    hosts = ["a.example.com", "b.example.com", "news.de", "de", "", None, "x.y.fr"]
+    rows = [(rng.choice((t[: rng.randrange(1, 60)], t[rng.randrange(30) :], "", None, "12 345")), rng.choice((x, x, "EN", "zz", None, "")), rng.choice(hosts)) for t, x in known for _ in range(2)]
+    rows += rows[:9]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, text string, declared string, host string").repartition(3)
+    got = {r.k: (r.language, r.confidence) for r in L.identify(df, model).collect()}
+    for k, (language, confidence) in enumerate(brute(rows, model)):
+        assert got[k][0] == language and abs(got[k][1] - confidence) < 1e-4, (k, rows[k], got[k], language, confidence)

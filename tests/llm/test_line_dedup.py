@@ -140,3 +140,51 @@ def test_passages_behind_words_without_a_full_stop(spark):
     got = run(spark, rows)
     assert [got[k].n_cut for k in (1, 2)] == [0, 3]
     assert [got[3 + k].n_cut for k in range(20)] == [0] * 20 and [got[30 + k].n_cut for k in range(20)] == [2] * 20
+
+
+def brute(rows, min_words=25):
+    """For each distinct (doc_id, text), in order, the numbers of the lines inside a run of ``min_words`` words that stands earlier."""
+    seen, out = set(), {}
+    for doc, text in sorted({r for r in rows if r[1]}):
+        parts = [x for x in re.split(r"(?<=\n)(?!\n)|(?<=[.!?,;:] )(?![ \n])", text) if x]
+        bare = [re.sub(r"[\t\r\x0b\x0c]", " ", x.lower()).strip(" \n") for x in parts]
+        own = [(i, x, x.count(" ") + 1) for i, x in enumerate(bare) if x]
+        cut = set()
+        for i in range(len(own)):
+            words = 0
+            for j in range(i, len(own)):
+                words += own[j][2]
+                if words >= min_words:
+                    key = tuple(x for _, x, _ in own[i : j + 1])
+                    if key in seen:
+                        cut |= set(range(own[i][0], own[j][0] + 1))
+                    seen.add(key)
+        out[doc, text] = (parts, cut)
+    return out
+
+
+def test_cuts_are_those_of_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    line = lambda: " ".join(word() for _ in range(rng.choice((1, 1, 2, 5, 9, 30)))) + rng.choice((". ", ", ", "\n", "; ", "\n\n", "\t\n"))
+    pool = [line() for _ in range(25)]
+    rows = [(k, "".join(rng.choice(pool) if rng.random() < 0.8 else line() for _ in range(rng.randrange(30)))) for k in range(40)]
+    for k in range(40, 60):
+        a, b = rng.choice(rows)[1], rng.choice(rows)[1]
+        rows.append((k, line() + a[: rng.randrange(len(a) + 1)] + line() + b[rng.randrange(len(b) + 1) :]))
+    want = brute(rows)
+    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        parts, cut = want.get((r.doc_id, rows[r.doc_id][1]), ([], set()))
+        assert {i for x in r.runs or [] for i in range(x["from"], x["to"])} == cut and r.n_lines == len(parts), r.doc_id
+
+
+def test_hot_fingerprints_and_shuffled_joins_change_nothing(spark, monkeypatch):
+    rng = random.Random(22)
+    common = passage(rng, 3)
+    rows = [(k, f"{passage(rng, 1)}\n{common}\n{passage(rng, 1)}") for k in range(40)]
+    want = {k: (r.text, r.n_cut) for k, r in run(spark, rows).items()}
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", 3)
+    monkeypatch.setattr(line_dedup, "MOST_HOT", 1_000_000)
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST_BYTES", 0)
+    assert {k: (r.text, r.n_cut) for k, r in run(spark, rows).items()} == want
+    assert sum(n == 3 for _, n in want.values()) == 39

@@ -1,5 +1,9 @@
+import duckdb
+
 import corpus_pipeline
+from tests.llm import test_decontamination, test_language_id, test_line_dedup, test_near_dedup
 from tests.llm.cases import clashing, docs
+from tidemark.llm import language_id, mixing
 
 
 def test_stages_keep_columns_and_handle_awkward_rows(spark, tmp_path):
@@ -16,9 +20,39 @@ def test_stages_keep_columns_and_handle_awkward_rows(spark, tmp_path):
     assert rows.count() == 0
 
 
-def test_run_keeps_clean_documents(spark, sf_dir):
+def test_each_stage_matches_brute_force(spark, sf_dir, tmp_path):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert set(out.columns) == {"doc_id", "source", "size", "source_size", "target", "taken"}
-    assert 0.6 * rows.count() < out.count() <= rows.count()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text, r.lang, r.source) for r in rows.collect()]
+        out = stage(spark, rows, sf_dir)
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        after = spark.read.parquet(path)
+        if name == "language_id":
+            told = test_language_id.brute([(t, lang, source) for _, t, lang, source in before], language_id.fit(rows))
+            want = sorted(doc for (doc, *_), (language, _) in zip(before, told, strict=True) if language != language_id.UNDETERMINED)
+            assert sorted(r.doc_id for r in after.collect()) == want
+        elif name == "line_dedup":
+            cuts = test_line_dedup.brute([(doc, t) for doc, t, *_ in before])
+            want = []
+            for doc, text, *_ in before:
+                parts, cut = cuts.get((doc, text), ([], set()))
+                kept = "".join(x for i, x in enumerate(parts) if i not in cut) if cut else text
+                want += [(doc, kept)] if not cut or kept.strip() else []
+            assert sorted((r.doc_id, r.text) for r in after.collect()) == sorted(want)
+        elif name == "near_dedup":
+            groups = test_near_dedup.brute([(doc, t) for doc, t, *_ in before])
+            assert sorted(r.doc_id for r in after.collect()) == sorted(doc for doc, *_ in before if groups[doc][1] == doc)
+        elif name == "decontamination":
+            judged = test_decontamination.brute([(doc, t) for doc, t, *_ in before], items)
+            assert sorted(r.doc_id for r in after.collect()) == sorted(doc for doc, *_, contaminated in judged if not contaminated)
+        else:
+            con = duckdb.connect()
+            con.execute(f"create view documents as select * from '{tmp_path}/decontamination/*.parquet'")
+            want = sorted(con.execute(f"select doc_id, size, source_size, taken from ({mixing.ORACLE_SQL})").fetchall())
+            assert sorted((r.doc_id, r["size"], r.source_size, r.taken) for r in after.collect()) == want
+        rows = after
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "mixing"]
+    again = corpus_pipeline.run(spark, sf_dir)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.select(again.columns).collect()))

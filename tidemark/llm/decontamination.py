@@ -159,7 +159,7 @@ def decontaminate(
     empty tables give empty or unhit rows; columns of ``docs`` named like a new one are dropped.
     """
     spark, new = docs.sparkSession, [*FOUND.names, "contaminated"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new and c not in ("_text", "_row")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new and c not in ("_text", "_place")]
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("most")).first()
     n_blocks = max(1, -(-total.n // block_items), -(-total.bytes // block_bytes))
@@ -192,7 +192,7 @@ def search_blocks(docs: DataFrame, keep: list[str], items: DataFrame, n_blocks:
     """As `search` for a single block: the rows of the first block, with the spans and items that the others found for them."""
     spark = docs.sparkSession
     block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
-    source = materialise(docs.select(*keep, F.col("text").alias("_text")).withColumn("_row", F.monotonically_increasing_id()), "searched")
+    source = materialise(docs.select(*keep, F.col("text").alias("_text")).withColumn("_place", F.monotonically_increasing_id()), "searched")
     base, parts = None, []
     for k in range(n_blocks):
         rows = [(r.item, r.text) for r in items.where(block == k).collect()]
@@ -200,11 +200,11 @@ def search_blocks(docs: DataFrame, keep: list[str], items: DataFrame, n_blocks:
         if base is None:
             base = search(source, phrases, shard_words)
         else:
-            parts.append(search(source.select("_row", "_text"), phrases, shard_words).where("n_hit > 0").select("_row", "items", "spans"))
+            parts.append(search(source.select("_place", "_text"), phrases, shard_words).where("n_hit > 0").select("_place", "items", "spans"))
     hits = materialise(reduce(DataFrame.unionByName, parts), "block-hits")
-    merged = hits.groupBy("_row").agg(F.flatten(F.collect_list("items")).alias("_items"), F.flatten(F.collect_list("spans")).alias("_spans"))
+    merged = hits.groupBy("_place").agg(F.flatten(F.collect_list("items")).alias("_items"), F.flatten(F.collect_list("spans")).alias("_spans"))
     size = hits.agg(F.sum(F.size("spans") * 16 + F.size("items") * 32 + 64)).first()[0] or 0
-    both = base.join(F.broadcast(merged) if size <= MOST_BROADCAST_BYTES else merged, "_row", "left")
+    both = base.join(F.broadcast(merged) if size <= MOST_BROADCAST_BYTES else merged, "_place", "left")
     items_ = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("_items", F.array().cast("array<string>")))))
     spans = F.when(F.col("_spans").isNull(), F.col("spans")).otherwise(union_of(F.array_sort(F.concat("spans", F.coalesce("_spans", F.array().cast(FOUND["spans"].dataType))))))
     out = both.select(*keep, "n_words", items_.alias("items"), spans.alias("spans"))

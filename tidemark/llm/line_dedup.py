@@ -56,8 +56,9 @@ def lines_of(text: Column) -> Column:
 def number_of_lines(text: Column) -> Column:
     """How many lines ``lines_of`` gives, without splitting where the mark can be counted."""
     text = F.coalesce(text, F.lit(""))
-    counted = lambda m: F.octet_length(m) - F.octet_length(text) + F.when((m == "") | F.endswith(m, F.lit(BREAK)), 0).otherwise(1)
-    common = F.get(F.transform(F.array(marked(text)), counted), 0)  # marked once
+    # The length goes in beside the marked text: a name in the lambda could mean another column of the same select.
+    counted = lambda x: F.octet_length(x["m"]) - x["n"] + F.when((x["m"] == "") | F.endswith(x["m"], F.lit(BREAK)), 0).otherwise(1)
+    common = F.get(F.transform(F.array(F.struct(marked(text).alias("m"), F.octet_length(text).alias("n"))), counted), 0)  # marked once
     return F.when(F.contains(text, F.lit(BREAK)), F.size(lines_of(text))).otherwise(common).cast("long")
 
 
@@ -92,7 +93,7 @@ def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
     rows = lines.select(*DOC, "hashes", "words", F.posexplode("words").alias("pos", "_1"))
     for k in range(2, depth + 2):
         rows = rows.withColumn(f"_{k}", F.col(f"_{k - 1}") + F.coalesce(F.get("words", F.col("pos") + (k - 1)), F.lit(0)))
-    n = first_match([(F.col(f"_{k}") >= most, F.lit(k)) for k in range(1, depth + 1)])
+    n = first_match([(F.col(f"_{k}") >= most, F.lit(k)) for k in range(1, depth + 2)])
     following = first_match([(F.col(f"_{k + 1}") - F.col("_1") >= most, F.lit(k)) for k in range(1, depth + 1)])
     more = F.size("words") > F.col("pos") + (depth + 1)
     if most <= depth:  # each line has a word
