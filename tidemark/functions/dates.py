@@ -69,3 +69,40 @@ def backoff_days(base: Column, failures: Column, most: int = 14) -> Column:
 
 def stale(ts: Column, as_of: Column, seconds: int, least: int = 30) -> Column:
     return F.coalesce(F.unix_micros(ts) < F.unix_micros(as_of) - max(seconds, least) * 1_000_000, F.lit(False))
+
+
+def checked_day(year: Column, month: Column, day: Column) -> Column:
+    """ISO day of three numbers given as text, null unless the month is 1 to 12 and the day 1 to 31; every month has 31 here."""
+    m, d = month.try_cast("int"), day.try_cast("int")
+    return F.when(m.between(1, 12) & d.between(1, 31), F.concat_ws("-", year, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")))
+
+
+YEAR, MD, TO = r"((?:19|20)[0-9]{2})", r"([0-9]{1,2})", r"\s*[일.]?\s*(?:\([월화수목금토일]\))?\s*(?:부터|[~\-–—]|내지)+\s*"
+#: Two days with a sign between them, the second with or without a year; and two days without a year at all.
+PERIOD = rf"{YEAR}\s*[.\-/년]\s*{MD}\s*[.\-/월]\s*{MD}{TO}(?:{YEAR}\s*[.\-/년]\s*)?{MD}\s*[.\-/월]\s*{MD}"
+SHORT_PERIOD = rf"(?<![0-9.\-]){MD}\s*\.\s*{MD}\s*\.?\s*(?:\([월화수목금토일]\))?\s*[~\-–—]\s*{MD}\s*\.\s*{MD}"
+
+
+def periods(text: Column, year: int) -> Column:
+    """first_day and last_day of the periods that a text names, as ISO strings; without a year it is ``year``, where no dated period is named."""
+    part = lambda pattern, g: F.regexp_extract_all(text, F.lit(pattern), g)
+    whole = F.arrays_zip(*[part(PERIOD, g).alias(f"g{g}") for g in range(1, 7)])
+    second_year = lambda x: F.when(x["g4"] == "", x["g1"]).otherwise(x["g4"])
+    dated = F.transform(whole, lambda x: F.struct(checked_day(x["g1"], x["g2"], x["g3"]).alias("a"), checked_day(second_year(x), x["g5"], x["g6"]).alias("b")))
+    short = F.transform(F.arrays_zip(*[part(SHORT_PERIOD, g).alias(f"g{g}") for g in range(1, 5)]), lambda x: F.struct(checked_day(F.lit(str(year)), x["g1"], x["g2"]).alias("a"), checked_day(F.lit(str(year)), x["g3"], x["g4"]).alias("b")))
+    ends = lambda found: F.struct(F.array_min(F.transform(found, lambda x: x["a"])).alias("first_day"), F.array_max(F.transform(found, lambda x: x["b"])).alias("last_day"))
+    return F.when(F.size(dated) > 0, ends(dated)).otherwise(ends(short))
+
+
+POSTED = r"(?i)(?:등록일|작성일|게시일|공고일|posted|date posted)\s*[:：]?\s*(.{0,40})"
+
+
+def posted_day(text: Column) -> Column:
+    """The day behind a label of posting: year first, or month, day and year, with the first two changed over where only that gives a day."""
+    rest = F.regexp_extract(without_copyright_years(text), POSTED, 1)
+    year_first, year_last = rf"{YEAR}\s*[.\-/년]\s*{MD}\s*[.\-/월]\s*{MD}", rf"{MD}[.\-/]{MD}[.\-/]{YEAR}"
+    g = lambda pattern, k: F.regexp_extract(rest, pattern, k)
+    a, b = g(year_last, 1).try_cast("int"), g(year_last, 2).try_cast("int")
+    swapped = (a > 12) & (b <= 12)
+    by_year_last = F.when(swapped, checked_day(g(year_last, 3), g(year_last, 2), g(year_last, 1))).otherwise(checked_day(g(year_last, 3), g(year_last, 1), g(year_last, 2)))
+    return F.when(rest.rlike(year_first), checked_day(g(year_first, 1), g(year_first, 2), g(year_first, 3))).when(rest.rlike(year_last), by_year_last)

@@ -82,3 +82,60 @@ def around(text: Column, needle: str, before: int = 60, after: int = 60) -> Colu
     at = F.locate(needle, text)
     start = F.greatest(F.lit(1), at - before)
     return F.when(at > 0, F.substr(text, start, at - start + len(needle) + after))
+
+
+# Short names of places and what they stand for, and the Latin letters of a syllable's parts.
+REGIONS = {"서울시(?!청)": "서울특별시", "서울시청": "서울특별시청", "부산시": "부산광역시", "대구시": "대구광역시", "인천시": "인천광역시", "대전시": "대전광역시", "울산시": "울산광역시"}
+ONSETS = ("g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h")
+VOWELS = ("a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i")
+CODAS = ("", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p", "l", "m", "p", "p", "t", "t", "ng", "t", "t", "k", "t", "p", "t")
+
+
+def expanded_regions(name: Column) -> Column:
+    for short, whole in REGIONS.items():
+        name = F.regexp_replace(name, short, whole)
+    return name
+
+
+def name_aliases(name: Column) -> Column:
+    """A name, itself without marks of legal form and with whole region names, and what it has in brackets; each once, two characters at least."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(name, LEGAL_FORMS, ""), r"\([^)]*\)", ""))
+    inner = F.filter(aliases_in_brackets(name), lambda a: ~a.rlike("^(주|유|사|재)$"))
+    every = F.concat(F.array(name, bare, expanded_regions(bare)), F.coalesce(inner, F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(every, lambda a: F.length(F.trim(a)) >= 2))
+
+
+def romanized(text: Column) -> Column:
+    """Hangul syllables spelled in Latin letters by their parts; other letters and digits in lower case, all else left out."""
+    part = lambda names, at: F.get(F.array(*[F.lit(x) for x in names]), at.cast("int"))
+
+    def spelled(c: Column) -> Column:
+        code = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long") - 0xAC00
+        syllable = F.concat(part(ONSETS, F.floor(code / 588)), part(VOWELS, F.floor((code % 588) / 28)), part(CODAS, code % 28))
+        return F.when(c.rlike("^[가-힣]$"), syllable).when(c.rlike("^[A-Za-z0-9]$"), F.lower(c)).otherwise("")
+
+    return F.array_join(F.transform(F.split(text, ""), spelled), "")
+
+
+def script_json(html: Column, name: str) -> Column:
+    """The JSON that a page's script gives to ``name``: from the first brace behind it to the last one before the script ends."""
+    body = F.regexp_extract(html, rf"(?s)\b{name}\s*=\s*([\[{{].*?[\]}}])\s*;?\s*</script", 1)
+    return F.nullif(body, F.lit(""))
+
+
+def linked_data(html: Column) -> Column:
+    """The first block of linked data of a page, as JSON text."""
+    return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script", 1)), F.lit(""))
+
+
+def field_kinds(html: Column) -> Column:
+    """Kinds of a page's input fields in order; one without a type takes text, hidden ones are no questions."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<input\b[^>]*>)"), 1)
+    kind = lambda tag: F.lower(F.regexp_extract(tag, r"(?i)\btype\s*=\s*[\"']?([A-Za-z]+)", 1))
+    return F.filter(F.transform(tags, lambda t: F.when(kind(t) == "", "text").otherwise(kind(t))), lambda k: ~k.isin("hidden", "submit", "button"))
+
+
+def label_of(html: Column, field: str) -> Column:
+    """The text of the label that belongs to the field of that id."""
+    inner = F.regexp_extract(html, rf"(?is)<label\b[^>]*\bfor\s*=\s*[\"']{field}[\"'][^>]*>(.*?)</label>", 1)
+    return F.nullif(collapse_spaces(F.regexp_replace(inner, "<[^>]*>", " ")), F.lit(""))

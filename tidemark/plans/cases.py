@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import clamp, grade, half_up, lookup
 from tidemark.functions.rules import additive, all_of, first_match, matched_names, rank_in, worst
+from tidemark.operators import diagnosis
 from tidemark.plans.base import query, table
 from tidemark.plans.dashboards import SCORES_SQL, cents, item_scores
 
 GRADES = ("safe", "caution", "risk", "high_risk")
-# Points a form loses by the level of its data and of its tool.
-DATA_POINTS = {"D0": 0, "D1": 3, "D2": 10, "D3": 20, "D4": 28, "D5": 35}
-TOOL_POINTS = {"T0": 0, "T1": 3, "T2": 8, "T3": 18, "T4": 12}
+TOOL_POINTS = {f"T{k}": points for k, points in enumerate(diagnosis.TOOL_POINTS.values())}
 
 
 @query("""SELECT CASE WHEN o_orderstatus = 'P' AND o_totalprice < 50000 THEN 'limited' WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 300000 THEN 'report'
@@ -41,7 +40,7 @@ def score_clamp_grade(spark: SparkSession, d: str) -> DataFrame:
     tool = F.greatest(F.lit(0), lookup(F.col("tool"), TOOL_POINTS, 0) - F.when(F.col("o_orderstatus") == "F", 8).otherwise(0))
     notice = F.least(F.when(direct, 30).otherwise(18), F.col("notice"))
     management = F.least(F.when(quasi, 8.0).otherwise(15.0), F.col("management"))
-    raw = clamp((100 - lookup(data, DATA_POINTS, 0) - tool - notice).cast("double") - management, 0.0, 100.0)
+    raw = clamp((100 - lookup(data, diagnosis.DATA_POINTS, 0) - tool - notice).cast("double") - management, 0.0, 100.0)
     score = first_match([(quasi & (F.col("o_orderstatus") == "O"), clamp(raw, 70.0, 80.0)), (quasi & (raw > 75), F.lit(75.0))], raw)
     rows = rows.withColumn("score", score).withColumn("score_grade", grade(F.col("score")))
     overrides = [F.when(data == "D5", "high_risk"), F.when(data.isin("D3", "D4") & (F.col("notice") > 20), "risk")]

@@ -104,14 +104,14 @@ def recent_high_risk(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*) AS n, count(*) FILTER (WHERE o_totalprice > 300000) AS n_high, count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS n_attention,
   floor(count(*) FILTER (WHERE o_totalprice > 300000)::DOUBLE / count(*)::DOUBLE * 1000 + 0.5) / 10 AS high_rate,
   floor(count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))::DOUBLE / count(*)::DOUBLE * 1000 + 0.5) / 10 AS attention_rate,
-  floor(sum(floor(o_totalprice * 100 + 0.5)::BIGINT)::DOUBLE / count(*)::DOUBLE * 1 + 0.5) / 1 AS mean_price, count(*) < 30 AS early FROM e""")
+  floor(sum(floor(o_totalprice * 100 + 0.5)::BIGINT)::DOUBLE / count(*)::DOUBLE * 1 + 0.5) / 1 AS mean_price, count(*) > 0 AND count(*) < 30 AS early FROM e""")
 def summary_kpis(spark: SparkSession, d: str) -> DataFrame:
     """One row of counts and rates over all eligible orders."""
     eligible = table(spark, d, "orders").where(F.col("o_orderstatus") != "P")
     n, high, attention = F.count("*"), F.count_if(F.col("o_totalprice") > 300000), F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
     return eligible.agg(
         n.alias("n"), high.alias("n_high"), attention.alias("n_attention"), percent(high, n).alias("high_rate"), percent(attention, n).alias("attention_rate"),
-        mean(F.sum(cents("o_totalprice")), n, 0).alias("mean_price"), (n < 30).alias("early"),
+        mean(F.sum(cents("o_totalprice")), n, 0).alias("mean_price"), ((n > 0) & (n < 30)).alias("early"),
     )
 
 
@@ -136,11 +136,11 @@ def dense_zero_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderpriority, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished,
   floor(count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / count(*)::DOUBLE * 1000 + 0.5) / 10 AS rate,
-  floor(min(0.285::DOUBLE) * 100 + 0.5) / 100 AS rounded FROM orders GROUP BY 1""")
+  floor(min(o_totalprice) / 7000 * 100 + 0.5) / 100 AS rounded FROM orders GROUP BY 1""")
 def rate_half_up(spark: SparkSession, d: str) -> DataFrame:
     """Percentages with one place, halves up on doubles."""
     finished = F.count_if(F.col("o_orderstatus") == "F")
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("total"), finished.alias("finished"), percent(finished, F.count("*")).alias("rate"), half_up(F.min(F.lit(0.285)), 2).alias("rounded"))
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("total"), finished.alias("finished"), percent(finished, F.count("*")).alias("rate"), half_up(F.min("o_totalprice") / 7000, 2).alias("rounded"))
 
 
 @query("""SELECT p_type AS bucket, count(*) AS n, floor(count(*)::DOUBLE / (SELECT count(*) FROM part)::DOUBLE * 1000 + 0.5) / 10 AS share FROM part GROUP BY 1""")

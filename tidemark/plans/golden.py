@@ -1,0 +1,30 @@
+"""Queries over cases with results worked out by hand: each row of a table takes the case of its id, in turn."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.plans.base import table
+
+
+def quoted(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+
+
+def cases_of(spark: SparkSession, d: str, name: str, key: str, schema: str, cases: Sequence[tuple]) -> DataFrame:
+    """``id`` of every row of a table and the inputs of its case."""
+    inputs = spark.createDataFrame([(k, *case) for k, case in enumerate(cases)], f"_k long, {schema}")
+    return table(spark, d, name).select(F.col(key).alias("id"), (F.col(key) % len(cases)).alias("_k")).join(F.broadcast(inputs), "_k").drop("_k")
+
+
+def expected_sql(name: str, key: str, columns: str, results: Sequence[tuple]) -> str:
+    """SQL for ``id`` of every row and the expected columns of its case."""
+    values = ", ".join("(" + ", ".join(quoted(x) for x in (k, *result)) + ")" for k, result in enumerate(results))
+    return f"SELECT {key} AS id, {columns} FROM {name} JOIN (VALUES {values}) e(k, {columns}) ON {key} % {len(results)} = k"

@@ -7,14 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.plans.base import query
 
 
-@query("SELECT user_id, event_type, min(event_id) IS NOT NULL AS seen FROM events GROUP BY ALL")
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Keys of the event stream, each once."""
-    from pyspark.sql import functions as F
-
     from tidemark.streaming.runs import first_keys
 
-    return first_keys(spark, d).select("user_id", "event_type", F.lit(True).alias("seen"))
+    return first_keys(spark, d).select("user_id", "event_type")
 
 
 @query("""SELECT date_trunc('hour', ts) AS starts, event_type, count(*) AS n, sum(floor(value * 100 + 0.5)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL""")

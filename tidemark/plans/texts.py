@@ -30,7 +30,8 @@ HOST_SQL = "regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z]+://([^/?#:
 
 @query(f"""SELECT page_id, {HOST_SQL} AS host, CASE WHEN regexp_matches({HOST_SQL}, '\\.example\\.com$') THEN 'first' WHEN regexp_matches({HOST_SQL}, '^(m|blog)\\.') THEN 'mirror'
   WHEN regexp_matches({HOST_SQL}, '\\.example\\.net$') THEN 'second' ELSE 'unsupported' END AS kind,
-  regexp_matches(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^/?(index|main|home|default)?(\\.(html?|jsp|php|do|asp))?/?$') AS homepage, true AS public FROM pages""")
+  regexp_matches(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^/?(index|main|home|default)?(\\.(html?|jsp|php|do|asp))?/?$') AS homepage,
+  regexp_matches(url, '^https?://[^/]') AND NOT regexp_matches({HOST_SQL}, '^(localhost|10\\.|127\\.)') AS public FROM pages""")
 def url_kind(spark: SparkSession, d: str) -> DataFrame:
     """The first kind whose pattern a host matches, and two more predicates."""
     url = F.col("url")
@@ -150,13 +151,13 @@ def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT o_orderkey, 'From ' || strftime(o_orderdate, '%Y.%m.%d') || ' to 2002-02-30, not 2003/13/01; (c) 1999' AS t FROM orders)
 SELECT o_orderkey, least(replace(regexp_extract(t, '[0-9]{4}\\.[0-9]{2}\\.[0-9]{2}'), '.', '-'), '2002-02-30') AS first_day,
   greatest(replace(regexp_extract(t, '[0-9]{4}\\.[0-9]{2}\\.[0-9]{2}'), '.', '-'), '2002-02-30') AS last_day,
-  array_to_string(list_distinct([regexp_extract(t, '[0-9]{4}'), '2002', '2003']), ',') IS NOT NULL AS named,
+  array_to_string(list_sort(list_distinct([regexp_extract(t, '[0-9]{4}'), '2002', '2003'])), ',') AS named,
   len(list_distinct([regexp_extract(t, '[0-9]{4}'), '2002', '2003']))::INTEGER AS n_years FROM t""")
 def iso_day_extraction(spark: SparkSession, d: str) -> DataFrame:
     """First and last day that a text names, kept as strings whether or not the month has such a day, and its years without the copyright."""
     body = F.concat(F.lit("From "), F.date_format("o_orderdate", "yyyy.MM.dd"), F.lit(" to 2002-02-30, not 2003/13/01; (c) 1999"))
     days, years = dates.first_and_last_day(body), dates.years_in(dates.without_copyright_years(body))
-    return table(spark, d, "orders").select("o_orderkey", days["first_day"].alias("first_day"), days["last_day"].alias("last_day"), years.isNotNull().alias("named"), F.size(years).alias("n_years"))
+    return table(spark, d, "orders").select("o_orderkey", days["first_day"].alias("first_day"), days["last_day"].alias("last_day"), F.array_join(F.array_sort(years), ",").alias("named"), F.size(years).alias("n_years"))
 
 
 @query("""WITH c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'chars': length(text)} ORDER BY turn) AS turns FROM conversations GROUP BY 1)

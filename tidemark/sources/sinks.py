@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Quoted where needed, quotes doubled, with a header; nested columns become JSON."""
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """Quoted where needed, quotes doubled, with a header; nested columns become JSON.  ``bom`` puts a byte order mark before the header of each file, which spreadsheets look for."""
     flat = df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`") for f in df.schema])
+    if bom:
+        flat = flat.withColumnRenamed(flat.columns[0], f"\ufeff{flat.columns[0]}")
     flat.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
