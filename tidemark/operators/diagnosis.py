@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import clamp, grade, half_up, lookup
-from tidemark.functions.rules import any_contains, first_match, matched_names, worst
+from tidemark.functions.rules import any_contains, first_match, worst
+from tidemark.operators.obligations import override_rules, overrides
 
 # Words of a question that tell the level of what it asks for, highest level first.
 LEVEL_WORDS: Mapping[str, Sequence[str]] = {
@@ -43,14 +44,14 @@ def score_forms(forms: DataFrame, questions: DataFrame) -> DataFrame:
     """``forms`` with deductions, score, score_grade, overrides and final_grade.
 
     ``forms`` has form_id, tool_level, mitigated, public_sector, partial, claims_anonymous,
-    gaps (an array of obligations not met), weighted_gaps, management_missing and
-    management_unknown.  Forms without questions have level D0.  Nulls count as false, as no
+    gaps (an array of obligations not met), weighted_gaps, management_missing,
+    management_unknown and, if it likes, flags of its context.  Forms without questions have level D0.  Nulls count as false, as no
     gap or as 0; an unknown tool level loses nothing.
     """
     rows = forms.join(form_levels(questions), "form_id", "left").withColumn("data_level", F.coalesce("data_level", F.lit("D0")))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     level, tool = F.col("data_level"), F.col("tool_level")
-    direct, quasi, sensitive = level.isin("D3", "D4", "D5"), level == "D2", level.isin("D4", "D5")
+    direct, quasi = level.isin("D3", "D4", "D5"), level == "D2"
     gaps = F.coalesce("gaps", F.array().cast("array<string>"))
     weighted = F.coalesce(F.col("weighted_gaps").cast("double"), F.lit(0.0))
     most = F.when(direct, float(NOTICE_MOST)).otherwise(float(NOTICE_MOST_QUASI))
@@ -67,13 +68,9 @@ def score_forms(forms: DataFrame, questions: DataFrame) -> DataFrame:
     score = F.when(yes("partial") & quasi & ~yes("public_sector"), F.greatest(score, F.lit(60.0))).otherwise(score)
     score = first_match([(quasi & yes("public_sector"), clamp(score, 70.0, 80.0)), (quasi, F.least(score, F.lit(75.0)))], score)
     rows = rows.withColumn("score", score).withColumn("score_grade", grade(F.col("score")))
-    missing = lambda key: F.array_contains(gaps, key)
-    external = tool.isin("domestic_saas", "overseas_saas")
-    severe = {
-        "sensitive_no_consent": sensitive & missing("sensitive_consent"), "unique_identifier": level == "D5", "public_external_sensitive": yes("public_sector") & external & sensitive,
-        "public_overseas": yes("public_sector") & (tool == "overseas_saas") & direct & missing("overseas_transfer"), "anonymous_contradiction": yes("claims_anonymous") & direct,
-    }
-    serious = {"no_retention": direct & missing("retention_period"), "no_items": direct & missing("collection_items"), "no_purpose": direct & missing("collection_purpose")}
-    held = lambda rules: F.coalesce(F.greatest(*[c.cast("int") for c in rules.values()]), F.lit(0)) > 0
-    final = worst([F.col("score_grade"), F.when(held(severe), "high_risk"), F.when(held(serious), "risk")], GRADES)
-    return rows.withColumn("overrides", matched_names({**severe, **serious})).withColumn("final_grade", final)
+    flags = F.coalesce(F.col("flags"), F.array().cast("array<string>")) if "flags" in forms.columns else F.array().cast("array<string>")
+    flags = F.when(yes("public_sector"), F.array_append(flags, F.lit("public_agency"))).otherwise(flags)
+    told = overrides(override_rules(level, tool, flags, gaps, {"claims_anonymous": F.col("claims_anonymous"), "identifier_questions": direct}))
+    rows = rows.withColumn("_told", told)
+    final = worst([F.col("score_grade"), F.col("_told.grade")], GRADES)
+    return rows.withColumn("overrides", F.col("_told.ids")).withColumn("final_grade", final).drop("_told")

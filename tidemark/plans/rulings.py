@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, forms, text, urls
 from tidemark.operators import cases as case_rules
-from tidemark.operators import collecting, freshness, obligations, outcomes, questions
+from tidemark.operators import collecting, diagnosis, freshness, obligations, outcomes, questions
 from tidemark.plans.base import query
 from tidemark.plans.golden import cases_of, expected_sql
 
@@ -351,3 +351,21 @@ def triage_rules(spark: SparkSession, d: str) -> DataFrame:
     rows = cases_of(spark, d, "pages", "page_id", "title string, host string, published_on string, by_date boolean, first_seen boolean", [x[:5] for x in TRIAGE])
     told = freshness.triage(rows.withColumn("source_title", F.lit("")).withColumn("description", F.lit("")), "2026-03-05")
     return told.select("id", "organization", "recency", "queue")
+
+
+# labels, tool, mitigated, public, partial, anonymous, gaps, weighted, missing, unknown, flags, level, score, rules, final
+SCORES = [
+    (["이름", "의견"], "overseas_saas", False, False, False, False, ["retention_period"], 1.0, 2, 0, [], "D3", 29.0, "no_retention", "high_risk"), (["성별"], "domestic_saas", True, False, False, False, [], 0.0, 0, 0, [], "D2", 75.0, "", "caution"),
+    ([], "csap_verified", False, False, False, False, None, None, None, None, None, "D0", 100.0, "", "safe"), (["여권 번호"], "self_hosted", None, None, None, None, [], 0.0, 0, 0, [], "D5", 62.0, "unique_identifier", "high_risk"),
+    (["이메일"], "domestic_saas", False, True, False, True, ["public_csap_verification"], 0.0, 0, 4, ["marketing"], "D3", 69.0, "anonymous_contradiction,public_no_csap", "high_risk"), (["성별"], "overseas_saas", False, True, True, False, ["collection_items", "trustee"], 1.0, 0, 0, [], "D2", 70.0, "", "caution"),
+]
+
+
+@query(expected_sql("supplier", "s_suppkey", "level, score, rules, final", [x[11:] for x in SCORES]))
+def form_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of the questions of a form, deductions, score, overrides and final grade."""
+    schema = "labels array<string>, tool_level string, mitigated boolean, public_sector boolean, partial boolean, claims_anonymous boolean, gaps array<string>, weighted_gaps double, management_missing int, management_unknown int, flags array<string>"
+    rows = cases_of(spark, d, "supplier", "s_suppkey", schema, [x[:11] for x in SCORES]).withColumnRenamed("id", "form_id")
+    asked = rows.select("form_id", F.explode("labels").alias("label"), F.lit("radio").alias("kind"), F.lit(False).alias("has_personal"))
+    scored = diagnosis.score_forms(rows, asked)
+    return scored.select(F.col("form_id").alias("id"), F.col("data_level").alias("level"), "score", F.array_join("overrides", ",").alias("rules"), F.col("final_grade").alias("final"))
