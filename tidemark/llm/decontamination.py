@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import binary_texts, materialise, table
 from tidemark.llm.fm_index import FMIndex
 
-PHRASE_WORDS, SHARD_WORDS, BLOCK_ITEMS, BLOCK_BYTES = 13, 400_000, 20_000, 8 << 20
+PHRASE_WORDS, SHARD_WORDS, BLOCK_ITEMS, BLOCK_BYTES = 13, 200_000, 20_000, 8 << 20
 #: So many bytes of what the blocks found may be broadcast to the rows of the texts; more are joined by a shuffle.
 MOST_BROADCAST_BYTES = 32 << 20
 #: Bytes of words are 0-9, a-z and everything that is not ASCII; A-Z are lower-cased first.
