@@ -22,6 +22,8 @@ LEAST_HOT, MOST_HOT = 200, 20_000
 MARKS = ".!?,;:"
 LINE_ENDS = rf"(?<=\n)(?!\n)|(?<=[{MARKS}]\x20)(?![\x20\n])"
 BREAK, BLANKS = "\0", "\t\r\x0b\f"
+#: What stands between the same lines without what ends them but for the mark: line feeds, or the space behind a mark.
+GAPS = rf"\n+|\x20(?<=[{MARKS}]\x20)(?![\x20\n])"
 DOC = ["_id", "_mark"]
 
 
@@ -71,9 +73,9 @@ def with_key(docs: DataFrame) -> DataFrame:
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """_id, _mark and, of each line with words: hash, without regard to case, outer white space and the kind of inner, words (by single white space) and number."""
     full = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
-    parts = F.split(F.lower("text"), LINE_ENDS)  # a last empty part has no words
+    parts = F.split(F.lower("text"), GAPS)  # a last empty part has no words
     odd = reduce(lambda s, c: s | F.contains("text", F.lit(c)), BLANKS[1:], F.contains("text", F.lit(BLANKS[0])))
-    bare = F.when(odd, F.transform(parts, lambda x: F.btrim(spaced(x), F.lit(" \n")))).otherwise(F.transform(parts, lambda x: F.btrim(x, F.lit(" \n"))))
+    bare = F.when(odd, F.transform(parts, lambda x: F.trim(spaced(x)))).otherwise(F.transform(parts, lambda x: F.trim(x)))
     described = lambda x, i: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), i.alias("place"))
     rows = with_key(full).select(*DOC, F.filter(F.transform(bare, described), lambda x: x["words"] > 0).alias("lines"))
     return rows.select(*DOC, F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"), F.col("lines.place").alias("places"))
