@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, decontamination, exact_topk, language_id, license_scan, line_dedup, mixing, near_dedup, pii, secret_scan
+from tidemark.llm import (
+    chat_format, code_vectors, decontamination, exact_topk, language_id, license_scan, line_dedup, mixing, near_dedup, neighbour_forest, pii, secret_scan, token_alignment,
+)
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_pii": pii.op9_pii,
     "op10_source_mixing": mixing.op10_source_mixing,
+    "op11_nearest_neighbours": neighbour_forest.op11_nearest_neighbours,
+    "op12_vector_codes": code_vectors.op12_vector_codes,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLES = {
     "op2_decontamination": decontamination.ORACLE_SQL,
@@ -23,4 +28,5 @@ ORACLES = {
     "op5_license_scan": license_scan.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
+    "op12_vector_codes": code_vectors.ORACLE_SQL,
 }
