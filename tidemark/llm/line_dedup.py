@@ -1,4 +1,4 @@
-"""Repeated passages by hashes of lines (DataFrame functions only): shortest runs with enough words, their first places, merged intervals."""
+"""Repeated passages by winnowing over line hashes (DataFrame functions only): window minima, joined positions, matches extended both ways."""
 
 from __future__ import annotations
 
@@ -12,8 +12,10 @@ from tidemark.llm.common import NULL_ID, drop_scratch, materialise, table
 
 #: Runs of fewer words stay.  Most runs reach them in so many lines, which compiled expressions add up.
 MIN_RUN_WORDS, FEW_LINES = 25, 8
+#: A line's key: so many bits of its hash below up to MOST_WORDS less its words, so that the least key of a window is a long line's.
+KEY_BITS, MOST_WORDS = 56, 127
 #: Bytes of keys of documents, and of cut intervals, that may be broadcast; more are joined by shuffling the other side.
-MOST_BROADCAST_BYTES, KEY_BYTES, RUN_BYTES = 48 << 20, 80, 32
+MOST_BROADCAST_BYTES, KEY_BYTES, RUN_BYTES, SELECTED_BYTES = 48 << 20, 80, 32, 24
 #: A fingerprint with more places than LEAST_HOT, and than one in MOST_HOT of all places, meets its first place where
 #: it stands, by a broadcast; there are never more than MOST_HOT of them.
 LEAST_HOT, MOST_HOT = 200, 20_000
@@ -71,7 +73,7 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """_id, _mark and, of each line with words: hash, without regard to case, outer white space and the kind of inner, words (by single white space) and number."""
+    """_id, _mark and, of each line with words: hash, without regard to case, outer white space and the kind of inner, words (by single white space), number and key."""
     full = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
     parts = F.split(F.lower("text"), GAPS)  # a last empty part has no words
     odd = reduce(lambda s, c: s | F.contains("text", F.lit(c)), BLANKS[1:], F.contains("text", F.lit(BLANKS[0])))
@@ -81,37 +83,60 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return rows.select(*DOC, F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"), F.col("lines.place").alias("places"))
 
 
-def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """fingerprint, _id, _mark, pos, n, next: for each line the shortest run from it on that has enough words, of n lines.
+def line_key(line_hash: Column, words: Column) -> Column:
+    """What windows take the minimum of: the line with most words comes first, then the one with the least hash."""
+    return F.shiftleft(MOST_WORDS - F.least(words, F.lit(MOST_WORDS)).cast("long"), KEY_BITS) + line_hash.bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+
 
-    ``next`` is the number of lines that the run from the line after it takes, null where the
-    text ends before, and so is the fingerprint.  Lines are exploded first, so that sums over
-    FEW_LINES are compiled code; runs of more lines, which are short ones, go on with the part
-    of the arrays that they can need.  No row is filtered here: a filter would be pushed below
-    the sums and add them up again for itself.
+def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """fingerprint, key, off, _id, _mark, pos, n, next: for each line the window from it on, the shortest run that has enough words, of n lines.
+
+    ``key`` is the least key of the window's lines and ``off`` its place in it.  ``next`` is the
+    number of lines that the window from the line after it takes, null where the text ends
+    before, and so are fingerprint and key.  Lines are exploded first, so that sums over
+    FEW_LINES are compiled code; windows of more lines, which are short ones, go on with the
+    part of the arrays that they can need.  No row is filtered here: a filter would be pushed
+    below the sums and add them up again for itself.
     """
     most = max(1, min_words)
     depth = min(most, FEW_LINES)
-    rows = lines.select(*DOC, "hashes", "words", F.posexplode("words").alias("pos", "_1"))
+    rows = lines.withColumn("keys", F.zip_with("hashes", "words", line_key)).select(*DOC, "hashes", "words", "keys", F.posexplode("words").alias("pos", "_1"))
     for k in range(2, depth + 2):
         rows = rows.withColumn(f"_{k}", F.col(f"_{k - 1}") + F.coalesce(F.get("words", F.col("pos") + (k - 1)), F.lit(0)))
     n = first_match([(F.col(f"_{k}") >= most, F.lit(k)) for k in range(1, depth + 2)])
     following = first_match([(F.col(f"_{k + 1}") - F.col("_1") >= most, F.lit(k)) for k in range(1, depth + 1)])
     more = F.size("words") > F.col("pos") + (depth + 1)
-    if most <= depth:  # each line has a word
-        told = rows.select(*DOC, "hashes", "pos", n.alias("n"), following.alias("next"))
-        return told.select(F.xxhash64(F.slice("hashes", F.col("pos") + 1, F.col("n"))).alias("fingerprint"), *DOC, "pos", "n", "next")
-    told = rows.select(*DOC, "hashes", "words", "pos", n.alias("_n"), following.alias("_next"), more.alias("_more"))
+    told = rows.select(*DOC, "hashes", "words", "keys", "pos", n.alias("_n"), following.alias("_next"), more.alias("_more"))
     open_ = (F.col("_n").isNull() | F.col("_next").isNull()) & F.col("_more")
+    part = lambda c, n: F.slice(c, F.col("pos") + 1, n)
     told = told.select(
-        *DOC, "pos", "_n", "_next", F.when(F.col("_n").isNotNull(), F.xxhash64(F.slice("hashes", F.col("pos") + 1, F.col("_n")))).alias("_f"),
-        F.when(open_, F.slice("words", F.col("pos") + 1, most + 1)).alias("_w"), F.when(open_, F.slice("hashes", F.col("pos") + 1, most)).alias("_h"),
+        *DOC, "pos", "_n", "_next", F.when(F.col("_n").isNotNull(), F.xxhash64(part("hashes", F.col("_n")))).alias("_f"),
+        F.when(F.col("_n").isNotNull(), F.array_min(part("keys", F.col("_n")))).alias("_k"), F.when(F.col("_n").isNotNull(), part("keys", F.col("_n"))).alias("_q"),
+        F.when(open_, part("words", most + 1)).alias("_w"), F.when(open_, part("hashes", most)).alias("_h"), F.when(open_, part("keys", most)).alias("_p"),
     )
     step = most + 1  # a sum holds the words above and the number of lines below it
     added = lambda s, w: F.when(s >= most * step, s).otherwise(s + w.cast("long") * step + 1)
     summed = lambda at: F.aggregate(F.slice("_w", at + 1, most), F.lit(0).cast("long"), added, lambda s: F.when(s >= most * step, (s % step).cast("int")))
-    told = told.select(*DOC, "pos", "_f", "_h", F.coalesce("_n", summed(0)).alias("n"), F.coalesce("_next", summed(1)).alias("next"))
-    return told.select(F.coalesce("_f", F.when(F.col("n").isNotNull(), F.xxhash64(F.slice("_h", 1, F.col("n"))))).alias("fingerprint"), *DOC, "pos", "n", "next")
+    told = told.select(*DOC, "pos", "_f", "_k", "_q", "_h", "_p", F.coalesce("_n", summed(0)).alias("n"), F.coalesce("_next", summed(1)).alias("next"))
+    told = told.select(
+        *DOC, "pos", "n", "next", F.coalesce("_f", F.when(F.col("n").isNotNull(), F.xxhash64(F.slice("_h", 1, F.col("n"))))).alias("fingerprint"),
+        F.coalesce("_k", F.when(F.col("n").isNotNull(), F.array_min(F.slice("_p", 1, F.col("n"))))).alias("key"), F.coalesce("_q", "_p").alias("_q"),
+    )
+    return told.select("fingerprint", "key", (F.array_position("_q", F.col("key")) - 1).cast("int").alias("off"), *DOC, "pos", "n", "next")
+
+
+def with_partners(windows: DataFrame) -> DataFrame:
+    """The windows whose selected line, their minimum, is selected in another place as well: fingerprints matched.
+
+    Equal windows select lines at equal places in them, so no repeated one is lost.  Each key is
+    reduced to its least and greatest place where it stands before anything is shuffled.
+    """
+    place = F.xxhash64(*DOC, F.col("pos") + F.col("off"))
+    several = windows.groupBy("key").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("key")
+    several = materialise(several, "line-selected")
+    few = several.count() * SELECTED_BYTES <= MOST_BROADCAST_BYTES
+    out = windows.join(F.broadcast(several) if few else several, "key", "left_semi")
+    return out.select("fingerprint", *DOC, "pos", "n", "next")
 
 
 def later(rows: DataFrame, at: str, name: str) -> DataFrame:
@@ -132,9 +157,16 @@ def later(rows: DataFrame, at: str, name: str) -> DataFrame:
     return out
 
 
-def repeated_windows(marks: DataFrame) -> DataFrame:
-    """_id, _mark, pos, n, next, later: the places of all fingerprints that have more than one."""
-    return later(marks, "pos", "line")
+def repeated_windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """_id, _mark, pos, n, next, later: the windows that stand in several places.
+
+    Winnowing brings windows together by their selected lines; such a match is then extended
+    back to the window's first line and on to its last, by the hash of all of it.
+    """
+    windows = materialise(shortest_windows(lines, min_words), "line-windows").where("fingerprint is not null")
+    out = later(with_partners(windows), "pos", "line")
+    drop_scratch(windows)
+    return out
 
 
 def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
@@ -142,7 +174,8 @@ def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFra
 
     A run with enough words is the union of the windows in it that lose enough by their
     first or by their last line.  Those that only lose it by the first begin where a
-    shortest window begins that is repeated as well, and end before the next such one ends.
+    shortest window begins that is repeated as well, and end before the next such one ends:
+    matches are extended line by line past their windows so far.
     """
     starts = found.groupBy(*DOC).agg(F.collect_set(F.struct("pos", "n", "next", "later")).alias("starts"))
     keys = found.select(*DOC).distinct()
@@ -178,7 +211,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_cut", "runs", *DOC)])
     lines = materialise(hashed_lines(docs), "line-hashes")
-    found = repeated_windows(shortest_windows(lines, min_words))
+    found = repeated_windows(lines, min_words)
     runs = materialise(repeated_runs(found, lines, min_words), "line-runs")
     drop_scratch(lines, found)
     few = (runs.agg(F.sum(F.size("runs") * RUN_BYTES + KEY_BYTES)).first()[0] or 0) <= MOST_BROADCAST_BYTES
