@@ -1,9 +1,10 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregate, joins, select, sets, state, topk
+from tidemark.operators import aggregate, automaton, joins, select, sets, state, topk
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -73,11 +74,13 @@ def test_fold_of_spans_is_that_of_all_events_in_order(spark):
         assert {r.k: r.status for r in state.fold_status(df, ["k"], "at", "id", "status", span).collect()} == want
 
 
-def test_contained_entries_are_substrings_in_any_script(spark):
+@pytest.mark.parametrize("most", [automaton.MOST_BYTES, 0])
+def test_contained_entries_are_substrings_in_any_script(spark, monkeypatch, most):
+    monkeypatch.setattr(automaton, "MOST_BYTES", most)
     rng = random.Random(5)
     draw = lambda n: "".join(rng.choice("서울시청a b") for _ in range(n))
     texts = [(k, draw(rng.randrange(40))) for k in range(60)] + [(60, None), (61, "")]
-    entries = sorted({draw(rng.randrange(2, 5)) for _ in range(joins.FEW_ENTRIES + 60)} - {""})
+    entries = sorted({draw(rng.randrange(2, 5)) for _ in range(188)} - {""})
     df, known = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(e,) for e in entries], "key string")
     want = {k: min((e for e in entries if t and e in t), key=lambda e: (-len(e), e), default=None) for k, t in texts}
     assert {r.id: r.matched for r in joins.longest_contained(df, "t", ["id"], known).collect()} == want

@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.rules import first_match
+from tidemark.operators.automaton import with_hits
 
-#: So many entries are looked for in the rows themselves; more meet the texts by a short piece of each entry.
-FEW_ENTRIES = 128
-#: So many anchors, a dozen characters each, may be broadcast; more are joined by shuffling the pieces.
-MOST_BROADCAST_ANCHORS, LONGEST_PIECE = 200_000, 6
+#: Entries beyond the automaton's bound meet the texts by a piece of so many characters at most.
+LONGEST_PIECE = 6
 
 
 def with_fallback_key(rows: DataFrame, key: str, other: str, mapping: DataFrame, unique: str) -> DataFrame:
@@ -28,35 +26,42 @@ def pieces(text: Column, width: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(text), lambda t: F.coalesce(runs(letters(t)), F.array().cast("array<string>")))))
 
 
-def contained_entries(texts: DataFrame, text: str, unique: Sequence[str], entries: DataFrame, key: str) -> DataFrame:
-    """(unique, entry) for the entries that each text contains, found by equality of one piece of each entry and then confirmed.
+def entries_by_pieces(texts: DataFrame, text: str, unique: Sequence[str], entries: DataFrame, key: str) -> DataFrame:
+    """(unique, entry), the entry in lower case, for the entries that each text contains, found by equality of one piece of each entry and then confirmed.
 
     Pieces are as long as the shortest entry, ``LONGEST_PIECE`` at most; of an entry's pieces
     the one that fewest entries share stands for it.  Only ids and pieces are exploded: a text
     travels once, to confirm what was found for it.
     """
-    words = entries.where(F.length(key) > 0).select(F.col(key).alias("_entry"), F.lower(key).alias("_low")).distinct()
-    width = min(LONGEST_PIECE, words.agg(F.min(F.length("_low"))).first()[0] or 1)
-    each = words.select("_entry", "_low", F.explode(pieces(F.col("_low"), width)).alias("_piece"))
+    words = entries.select(F.lower(key).alias("_entry")).where(F.length("_entry") > 0).distinct()
+    width = min(LONGEST_PIECE, words.agg(F.min(F.length("_entry"))).first()[0] or 1)
+    each = words.select("_entry", F.explode(pieces(F.col("_entry"), width)).alias("_piece"))
     shared = each.groupBy("_piece").agg(F.count("*").alias("n"))
-    anchors = each.join(shared, "_piece").groupBy("_entry", "_low").agg(F.min(F.struct("n", "_piece"))["_piece"].alias("_piece"))
-    few = anchors.limit(MOST_BROADCAST_ANCHORS + 1).count() <= MOST_BROADCAST_ANCHORS
-    met = texts.select(*unique, F.explode(pieces(F.lower(text), width)).alias("_piece")).join(F.broadcast(anchors) if few else anchors, "_piece").drop("_piece")
-    return texts.select(*unique, F.lower(text).alias("_text")).join(met, list(unique)).where(F.contains("_text", "_low")).select(*unique, "_entry")
+    anchors = each.join(shared, "_piece").groupBy("_entry").agg(F.min(F.struct("n", "_piece"))["_piece"].alias("_piece"))
+    met = texts.select(*unique, F.explode(pieces(F.lower(text), width)).alias("_piece")).join(anchors, "_piece").drop("_piece")
+    return texts.select(*unique, F.lower(text).alias("_text")).join(met, list(unique)).where(F.contains("_text", "_entry")).select(*unique, "_entry")
 
 
-def longest_contained(texts: DataFrame, text: str, unique: Sequence[str], entries: DataFrame, key: str = "key") -> DataFrame:
-    """For each text the longest entry it contains as a substring, without regard to case, the first by name among equals; else null.
+def contained_entries(texts: DataFrame, text: str, unique: Sequence[str], entries: DataFrame, key: str) -> DataFrame:
+    """(unique, entry), the entry in lower case, for the entries that each text contains as substrings, without regard to case.
 
-    Up to ``FEW_ENTRIES`` entries are tried in the row, the longest first, without a shuffle;
-    larger dictionaries go through `contained_entries`.
+    One pass of an automaton over each text where the dictionary fits into a task, else by
+    pieces; both compare what Spark's ``lower`` gives, so results are equal.
     """
-    few = [r[0] for r in entries.where(F.length(key) > 0).select(key).distinct().limit(FEW_ENTRIES + 1).collect()]
-    if len(few) <= FEW_ENTRIES:
-        rules = [(F.contains(F.col("_low"), F.lit(e.lower())), F.lit(e)) for e in sorted(few, key=lambda e: (-len(e), e))]
-        return texts.withColumn("_low", F.lower(text)).withColumn("matched", first_match(rules) if rules else F.lit(None).cast("string")).drop("_low")
-    found = contained_entries(texts, text, unique, entries, key)
-    best = found.groupBy(*unique).agg(F.min(F.struct((-F.length("_entry")).alias("n"), F.col("_entry").alias("e")))["e"].alias("matched"))
+    found = with_hits(texts.select(*unique, text), text, entries, key, "_hits")
+    if found is None:
+        return entries_by_pieces(texts, text, unique, entries, key)
+    return found.select(*unique, F.explode("_hits").alias("_entry"))
+
+
+def longest_contained(texts: DataFrame, text: str, unique: Sequence[str], entries: DataFrame, key: str = "key") -> DataFrame:
+    """For each text the longest entry it contains as a substring, in lower case, the first by name among equals; else null."""
+    found = with_hits(texts, text, entries, key, "_hits")
+    if found is not None:
+        best = F.array_min(F.transform("_hits", lambda e: F.struct((-F.length(e)).alias("n"), e.alias("e"))))["e"]
+        return found.withColumn("matched", best).drop("_hits")
+    pairs = entries_by_pieces(texts, text, unique, entries, key)
+    best = pairs.groupBy(*unique).agg(F.min(F.struct((-F.length("_entry")).alias("n"), F.col("_entry").alias("e")))["e"].alias("matched"))
     return texts.join(best, list(unique), "left")
 
 

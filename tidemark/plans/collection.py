@@ -553,16 +553,19 @@ def catalog_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH j AS (SELECT event_id AS job_id, user_id AS external_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE 'pending' END AS status, 'w' || (event_id % 3)::VARCHAR AS locked_by, ts FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00'),
-k AS (SELECT *, CASE WHEN status = 'running' AND ts < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 43200 SECONDS THEN 'failed' ELSE status END AS s FROM j), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY ts DESC, job_id DESC) AS r FROM k) WHERE r = 1), q AS (SELECT count(*) AS running FROM k WHERE s = 'running')
-SELECT c_custkey AS external_id, job_id, CASE WHEN job_id IS NULL THEN 'not_found' WHEN s IN ('completed', 'failed', 'limited', 'cancelled') THEN 'returned' WHEN s = 'running' AND locked_by <> 'w1' THEN 'held' WHEN running - CASE WHEN s = 'running' THEN 1 ELSE 0 END >= 1000 THEN 'no_slot' ELSE 'claimed' END AS outcome
-FROM customer LEFT JOIN n ON external_id = c_custkey, q WHERE c_custkey < 200""")
+k AS (SELECT *, CASE WHEN status = 'running' AND ts < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 43200 SECONDS THEN 'failed' ELSE status END AS s FROM j), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY ts DESC, job_id DESC) AS r FROM k) WHERE r = 1),
+f AS (SELECT count(*) AS running FROM k WHERE s = 'running'), q AS (SELECT c_custkey AS external_id, 'w1' AS worker FROM customer UNION ALL SELECT c_custkey, 'w2' FROM customer WHERE c_nationkey < 5),
+t AS (SELECT q.external_id, worker, job_id, running, CASE WHEN job_id IS NULL THEN 'not_found' WHEN s IN ('completed', 'failed', 'limited', 'cancelled') THEN 'returned' WHEN s = 'running' AND locked_by <> worker THEN 'held' WHEN s = 'running' THEN 'claimed'
+  WHEN row_number() OVER (PARTITION BY q.external_id ORDER BY worker) > 1 THEN 'held' END AS o FROM q LEFT JOIN n USING (external_id), f)
+SELECT external_id, worker, job_id, coalesce(o, CASE WHEN row_number() OVER (PARTITION BY o ORDER BY external_id, worker) <= 10 THEN 'claimed' ELSE 'no_slot' END) AS outcome FROM t""")
 def claims_by_id(spark: SparkSession, d: str) -> DataFrame:
-    """What each request for a job by its id comes to."""
+    """What each request for a job by its id comes to, with ten slots more than jobs that run."""
     status = first_match([(F.col("event_type") == k, F.lit(v)) for k, v in (("purchase", "completed"), ("error", "failed"), ("click", "running"))], "pending")
     at = F.col("ts").cast("timestamp")
     jobs = table(spark, d, "events").where(at <= moment(NOW)).select(F.col("event_id").alias("job_id"), F.col("user_id").alias("external_id"), status.alias("status"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("locked_by"), at.alias("locked_at"), at.alias("created_at"))
-    asked = table(spark, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("external_id"), F.lit("w1").alias("worker"))
-    return queue.claim_by_id(jobs, asked, moment(NOW), 43_200, 1000).select("external_id", "job_id", "outcome")
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("external_id"), F.explode(F.when(F.col("c_nationkey") < 5, F.array(F.lit("w1"), F.lit("w2"))).otherwise(F.array(F.lit("w1")))).alias("worker"))
+    live = jobs.where((F.col("status") == "running") & ~dates.stale(F.col("locked_at"), moment(NOW), 43_200)).count()
+    return queue.claim_by_id(jobs, asked, moment(NOW), 43_200, live + 10)
 
 
 @query("""WITH r AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS status, ts FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00'), k AS (SELECT *, CASE WHEN status = 'running' AND ts < TIMESTAMP '2024-01-20 06:00:00' THEN 'failed' ELSE status END AS s FROM r)
@@ -592,26 +595,6 @@ def turns_as_map(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", of("user"), of("assistant"), "chars")
 
 
-SCRIPT = '<html><script>var x=1;FB_DATA = {"form":{"title":"T%s","items":[{"label":"a","options":["x","y"]},{"label":"b","options":[]}]}};</script><script type="application/ld+json">{"datePublished":"2026-03-0%s","name":"n"}</script><a class="c" href="/go">see the form</a></html>'
-
-
-@query("""SELECT page_id, 'T' || (page_id % 9 + 1)::VARCHAR AS title, 2::BIGINT AS items, 2::BIGINT AS options, '2026-03-0' || (page_id % 9 + 1)::VARCHAR AS published, 'class="c" href="/go">see' AS context FROM pages""")
-def embedded_json(spark: SparkSession, d: str) -> DataFrame:
-    """A form in the JSON of a page's script, the day in its linked data, and the text around a link."""
-    n = (F.col("page_id") % 9 + 1).cast("string")
-    rows = table(spark, d, "pages").select("page_id", F.format_string(SCRIPT, n, n).alias("html"))
-    form = F.from_json(text.script_json(F.col("html"), "FB_DATA"), "form struct<title: string, items: array<struct<label: string, options: array<string>>>>")
-    rows = rows.select("page_id", form["form"].alias("f"), F.get_json_object(text.linked_data(F.col("html")), "$.datePublished").alias("published"), text.around(F.col("html"), 'href="/go"', 10, 4).alias("context"))
-    return rows.select("page_id", "f.title", F.size("f.items").cast("long").alias("items"), F.size(F.flatten("f.items.options")).cast("long").alias("options"), "published", "context")
-
-
-@query("""WITH h AS (SELECT page_id, length(html) AS n FROM pages) SELECT page_id, 'email,checkbox,text' AS kinds, 'Your mail' AS label FROM h""")
-def html_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds of the fields of a page's form, and the label of the first."""
-    html = F.lit('<form><label for="m">Your mail</label><input id="m" type="email"><input type="CHECKBOX"><input name="q"><input type="hidden"></form>')
-    return table(spark, d, "pages").select("page_id", F.array_join(text.field_kinds(html), ",").alias("kinds"), text.label_of(html, "m").alias("label"))
-
-
 @query("""SELECT user_id, min_by(event_id, (ts, event_id)) AS first_event, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r <= 3 OR event_type = 'error' GROUP BY 1""")
 def known_keys(spark: SparkSession, d: str) -> DataFrame:
     """First sights of keys and later errors of them."""

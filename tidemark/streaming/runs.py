@@ -5,13 +5,8 @@ The same builders serve a stream that never ends: leave out ``available_now``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.select import first_per_key
 from tidemark.operators.state import merge_sightings, sightings
@@ -70,34 +65,3 @@ def sightings_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     finished(event_stream(spark, sf_dir).writeStream.foreachBatch(merge), spark, "sightings")
     return spark.read.parquet(f"{out}/version={last[0]}")
-
-
-def admitted(times: list[int], recent: list[int], limit: int, span: int) -> tuple[list[bool], list[int]]:
-    """Which of ``times`` (ordered microseconds) find fewer than ``limit`` admitted ones in the ``span`` before them."""
-    out = []
-    for t in times:
-        recent = [r for r in recent if r > t - span]
-        out.append(len(recent) < limit)
-        if out[-1]:
-            recent.append(t)
-    return out, recent
-
-
-def limited(spark: SparkSession, sf_dir: str, limit: int = LIMIT, span_seconds: int = SPAN_SECONDS) -> DataFrame:
-    """event_id, user_id, admitted: a limit on starts in a sliding window, with the admitted times of each user as state.
-
-    Refused starts don't count, so no window frame can say it: each answer needs those before.
-    """
-
-    def decide(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["micros", "event_id"])
-        ok, recent = admitted(rows.micros.tolist(), recent, limit, span_seconds * 1_000_000)
-        state.update((recent,))
-        yield pd.DataFrame({"event_id": rows.event_id.to_numpy(), "user_id": key[0], "admitted": ok})
-
-    out = folder(spark, "limited")
-    rows = event_stream(spark, sf_dir).select("event_id", "user_id", F.unix_micros("at").alias("micros"))
-    rows = rows.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, admitted boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
-    finished(rows.writeStream.format("parquet").option("path", out).outputMode("append"), spark, "limited")
-    return spark.read.parquet(out)
