@@ -16,7 +16,7 @@ from tidemark.operators.diagnosis import LEVEL_WORDS
 HEALTH = r"현재\s*건강\s*상태|건강\s*상태|앓고\s*있는\s*질병|질환명|병력|진료\s*이력|치료\s*이력|복용\s*약|장애\s*(?:여부|유형|등급)|정신\s*건강\s*상태|우울|불안|자살\s*생각|상담\s*치료\s*이력|건강검진\s*결과|의료기관\s*이용\s*이력"
 CATEGORIES: Mapping[str, str] = {
     "name": r"이름|성명|성함|신청자명|담당자명", "phone": r"휴대\s*전화|휴대폰|핸드폰|전화번호|연락처|(?i:\btel\b)", "email": r"이메일|(?i:e-?mail)|(?<!메일\s)메일(?!링)",
-    "address": r"(?<!이메일\s)(?<!mail\s)주소(?!지)|상세주소|도로명주소|지번주소|배송지|우편번호", "birthdate": r"생년월일|생일|출생연도", "affiliation": r"회사명|기관명|학교명|소속",
+    "address": r"(?<!이메일\s)(?<!(?i:mail)\s)주소(?!지)|상세주소|도로명주소|지번주소|배송지|우편번호", "birthdate": r"생년월일|생일|출생연도", "affiliation": r"회사명|기관명|학교명|소속",
     "department": r"부서|팀", "position": r"직급|직책|직군", "tenure": r"근속\s*연수|근속\s*기간|근무\s*연수|재직\s*기간", "organization_identifier": r"사번",
     "gender": r"성별|(?:^|[^가-힣])남자(?:[^가-힣]|$)|(?:^|[^가-힣])여자(?:[^가-힣]|$)|남성|여성|남\s*[·∙･/]\s*여", "child_age_range": r"자녀.*연령|자녀.*나이|아이.*연령|아이.*나이|(?:영아|유아|아동)\s*(?:선택|해당|구분|연령|나이)|어린이\s*연령대",
     "respondent_age": r"귀하.*연령|귀하.*나이|만\s*나이|^\(?\d+\)?\s*연령|^연령\s*$", "age_range": r"연령대|나이대|연령|나이", "residence_area": r"거주\s*권역|거주지|거주지역|관내|인접\s*시군|타지역|시\s*/\s*군|시군구",

@@ -8,14 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, ranges, text
-from tidemark.functions.forms import shorteners_first
 from tidemark.functions.numbers import half_up, mean, unit_ratio
 from tidemark.functions.rules import all_of, first_match, rank_in
 from tidemark.operators import cases, collecting, queue
 from tidemark.operators.select import latest_per_key
 from tidemark.plans.base import query, table
-from tidemark.plans.golden import cases_of, expected_sql
-from tidemark.plans.rulings import ADDRESSES, OUTCOMES, SOURCES
 
 NOW = "2024-01-20 12:00:00"
 
@@ -120,22 +117,6 @@ def review_filters(spark: SparkSession, d: str) -> DataFrame:
     return review_cases(spark, d).where(all_of(given)).select("id", "priority", "evidence")
 
 
-BADGES = (["수집 목적 고지 미흡"], [], ["CSAP 확인"], ["위탁 안내"], None, ["기타"], ["보유기간"])
-
-
-@query("""WITH b AS (SELECT c_custkey, (['public', 'private', 'other'])[1 + c_custkey % 3] AS subject, (['critical', 'high', 'medium', 'low'])[1 + c_custkey % 4] AS risk, c_custkey % 5 = 0 AS gap, c_custkey % 7 IN (0, 6) AS notice, c_custkey % 7 IN (2, 3) AS tool FROM customer)
-SELECT 'all' AS name, count(*) AS n FROM b UNION ALL SELECT 'public', count(*) FILTER (WHERE subject = 'public') FROM b UNION ALL SELECT 'private', count(*) FILTER (WHERE subject = 'private') FROM b
-UNION ALL SELECT 'high-risk', count(*) FILTER (WHERE risk IN ('critical', 'high')) FROM b UNION ALL SELECT 'notice-gap', count(*) FILTER (WHERE gap OR notice) FROM b UNION ALL SELECT 'external-tool', count(*) FILTER (WHERE tool) FROM b""")
-def public_case_filters(spark: SparkSession, d: str) -> DataFrame:
-    """How many public cases each filter of their list keeps, by patterns over arrays of badges."""
-    rows = cases_of(spark, d, "customer", "c_custkey", "badges array<string>", [(b,) for b in BADGES])
-    pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("id") % len(names) + 1).cast("int"))
-    gaps = F.when(F.col("id") % 5 == 0, F.array(F.lit("gap"))).otherwise(F.array().cast("array<string>"))
-    named = cases.public_filters(pick(("public", "private", "other")), pick(RISK), gaps, F.col("badges"))
-    counts = rows.agg(*[F.count_if(p).alias(n) for n, p in named.items()])
-    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("n")) for n in named])).alias("r")).select("r.*")
-
-
 # --- joins ---------------------------------------------------------------------------------------------------------
 
 
@@ -274,14 +255,6 @@ def capture_quality(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(n.alias("n"), F.count_if(F.col("l_returnflag") == "A").alias("success"), F.count_if(F.col("l_returnflag") == "R").alias("partial"), F.count_if(F.col("l_linestatus") == "F").alias("complete"), mean(F.sum("l_quantity"), F.count("l_quantity")).alias("mean_pages"), ((n > 0) & (n < 30)).alias("early"))
 
 
-@query("SELECT bucket, count(*) AS n FROM (" + expected_sql("events", "event_id", "bucket", [(o[5],) for o in OUTCOMES]) + ") GROUP BY 1")
-def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
-    """How many diagnoses ended in each bucket."""
-    from tidemark.plans.rulings import limited_outcomes
-
-    return limited_outcomes(spark, d).groupBy("bucket").agg(F.count("*").alias("n"))
-
-
 _KPIS = {
     "n": "true", "unreviewed": "ui = 'unreviewed'", "to_send": "ui IN ('send', 'candidate')", "critical": "risk = 'critical'", "severe": "risk IN ('critical', 'high')", "report": "report", "public": "public", "public_severe": "public AND risk IN ('critical', 'high')", "personal": "personal",
     "a": "priority = 'A'", "b": "priority = 'B'", "c": "priority = 'C'", "ready": f"evidence = '{cases.READY}'", "to_capture": f"evidence = '{cases.TO_DO}'", "published": "state = 'published'", "paused": "state = 'paused'", "recent": "seen_at >= TIMESTAMP '2001-01-01 00:00:00'",
@@ -319,13 +292,6 @@ def crawl_quality(spark: SparkSession, d: str) -> DataFrame:
     return q.select(v.alias("pages"), c.alias("dated"), e.alias("failed"), F.greatest(e, s).alias("restricted"), unit_ratio(n - e, n).alias("success"), dated.alias("dated_share"), F.coalesce(dated < 0.5, F.lit(False)).alias("dated_low"), F.coalesce(unit_ratio(e, n) > 0.3, F.lit(False)).alias("failing_high"), ((e > 0) | (s > 100)).alias("stuck"), (v + c).alias("eligible"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE paged) AS with_page, count(*) FILTER (WHERE real) AS real_page FROM (" + expected_sql("supplier", "s_suppkey", "paged, real", [(x[0] is not None, x[2]) for x in SOURCES]) + ")")
-def source_quality(spark: SparkSession, d: str) -> DataFrame:
-    """How many sources have a page, and a real one."""
-    rows = cases_of(spark, d, "supplier", "s_suppkey", "page string, home string", [x[:2] for x in SOURCES])
-    return rows.agg(F.count("*").alias("n"), F.count("page").alias("with_page"), F.count_if(collecting.real_source(F.col("page"), F.col("home"))).alias("real_page"))
-
-
 @query("""WITH a AS (SELECT s_nationkey, range(0, s_suppkey % 4) AS urls FROM supplier) SELECT s_nationkey, count(*) FILTER (WHERE len(urls) > 0) AS n, sum(len(urls))::BIGINT AS total FROM a GROUP BY 1""")
 def rejected_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Rows with an array that isn't empty, read from JSON, and the lengths of the arrays."""
@@ -497,13 +463,6 @@ def boosted_priorities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", collecting.boosted(base, found, moment("2024-01-20")).alias("priority"))
 
 
-@query("WITH e AS (" + expected_sql("pages", "page_id", "kind", [(a[5],) for a in ADDRESSES]) + ") SELECT id, row_number() OVER (ORDER BY CASE WHEN kind = 'shortener' THEN 0 ELSE 1 END, id) AS place FROM e ORDER BY place LIMIT 20")
-def shortened_first(spark: SparkSession, d: str) -> DataFrame:
-    """The first twenty addresses, shortened ones before others."""
-    rows = cases_of(spark, d, "pages", "page_id", "url string", [a[:1] for a in ADDRESSES]).withColumn("_first", shorteners_first(F.col("url"))).orderBy("_first", "id").limit(20)
-    return rows.select("id", F.row_number().over(Window.orderBy("_first", "id")).cast("long").alias("place"))
-
-
 @query("""SELECT event_id FROM events WHERE event_type = 'click' AND value > 20 AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ORDER BY ts DESC, event_id LIMIT 20""")
 def filtered_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of twenty rows after all filters, so that none comes up short."""
