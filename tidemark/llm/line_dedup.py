@@ -14,8 +14,6 @@ from tidemark.llm.common import NULL_ID, drop_scratch, materialise, table
 MIN_RUN_WORDS, FEW_LINES = 25, 8
 #: A line's key: so many bits of its hash below up to MOST_WORDS less its words, so that the least key of a window is a long line's.
 KEY_BITS, MOST_WORDS = 56, 127
-#: The last bits of a key give way to the line's place in its window while the least is sought.
-PLACE_BITS = 4
 #: Bytes of keys of documents, and of cut intervals, that may be broadcast; more are joined by shuffling the other side.
 MOST_BROADCAST_BYTES, KEY_BYTES, RUN_BYTES, SELECTED_BYTES = 48 << 20, 80, 32, 24
 #: A fingerprint with more places than LEAST_HOT, and than one in MOST_HOT of all places, meets its first place where
@@ -102,32 +100,30 @@ def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
     """
     most = max(1, min_words)
     depth = min(most, FEW_LINES)
-    at = lambda c, k: F.get(c, F.col("pos") + (k - 1))
-    placed = lambda k: F.shiftleft(F.shiftright(line_key(at("hashes", k), at("words", k)), PLACE_BITS), PLACE_BITS) + (k - 1)
-    rows = lines.select(*DOC, "hashes", "words", F.posexplode("words").alias("pos", "_1")).withColumn("_m1", placed(1))
+    rows = lines.withColumn("keys", F.zip_with("hashes", "words", line_key)).select(*DOC, "hashes", "words", "keys", F.posexplode("words").alias("pos", "_1"))
     for k in range(2, depth + 2):
-        rows = rows.withColumn(f"_{k}", F.col(f"_{k - 1}") + F.coalesce(at("words", k), F.lit(0))).withColumn(f"_m{k}", F.least(f"_m{k - 1}", placed(k)))
+        rows = rows.withColumn(f"_{k}", F.col(f"_{k - 1}") + F.coalesce(F.get("words", F.col("pos") + (k - 1)), F.lit(0)))
     n = first_match([(F.col(f"_{k}") >= most, F.lit(k)) for k in range(1, depth + 2)])
-    least = first_match([(F.col(f"_{k}") >= most, F.col(f"_m{k}")) for k in range(1, depth + 2)])
     following = first_match([(F.col(f"_{k + 1}") - F.col("_1") >= most, F.lit(k)) for k in range(1, depth + 1)])
     more = F.size("words") > F.col("pos") + (depth + 1)
-    told = rows.select(*DOC, "hashes", "words", "pos", n.alias("_n"), least.alias("_k"), following.alias("_next"), more.alias("_more"))
+    told = rows.select(*DOC, "hashes", "words", "keys", "pos", n.alias("_n"), following.alias("_next"), more.alias("_more"))
     open_ = (F.col("_n").isNull() | F.col("_next").isNull()) & F.col("_more")
     part = lambda c, n: F.slice(c, F.col("pos") + 1, n)
     told = told.select(
-        *DOC, "pos", "_n", "_next", "_k", F.when(F.col("_n").isNotNull(), F.xxhash64(part("hashes", F.col("_n")))).alias("_f"),
-        F.when(open_, part("words", most + 1)).alias("_w"), F.when(open_, part("hashes", most)).alias("_h"),
+        *DOC, "pos", "_n", "_next", F.when(F.col("_n").isNotNull(), F.xxhash64(part("hashes", F.col("_n")))).alias("_f"),
+        F.when(F.col("_n").isNotNull(), part("keys", F.col("_n"))).alias("_q"),
+        F.when(open_, part("words", most + 1)).alias("_w"), F.when(open_, part("hashes", most)).alias("_h"), F.when(open_, part("keys", most)).alias("_p"),
     )
     step = most + 1  # a sum holds the words above and the number of lines below it
     added = lambda s, w: F.when(s >= most * step, s).otherwise(s + w.cast("long") * step + 1)
     summed = lambda at: F.aggregate(F.slice("_w", at + 1, most), F.lit(0).cast("long"), added, lambda s: F.when(s >= most * step, (s % step).cast("int")))
-    told = told.select(*DOC, "pos", "_n", "_k", "_f", "_w", "_h", F.coalesce("_n", summed(0)).alias("n"), F.coalesce("_next", summed(1)).alias("next"))
-    long_ = F.col("_n").isNull() & F.col("n").isNotNull()
-    keys = F.zip_with(F.slice("_h", 1, F.col("n")), F.slice("_w", 1, F.col("n")), lambda h, w: F.shiftright(line_key(h, w), PLACE_BITS))
-    told = told.select(*DOC, "pos", "n", "next", "_k", F.coalesce("_f", F.when(long_, F.xxhash64(F.slice("_h", 1, F.col("n"))))).alias("fingerprint"), F.when(long_, keys).alias("_q"))
-    key = F.coalesce(F.shiftright("_k", PLACE_BITS), F.array_min("_q"))
-    off = F.coalesce(F.col("_k").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)), F.array_position("_q", F.array_min("_q")) - 1).cast("int")
-    return told.select("fingerprint", key.alias("key"), off.alias("off"), *DOC, "pos", "n", "next")
+    told = told.select(*DOC, "pos", "_f", "_q", "_h", "_p", F.coalesce("_n", summed(0)).alias("n"), F.coalesce("_next", summed(1)).alias("next"))
+    told = told.select(
+        *DOC, "pos", "n", "next", F.coalesce("_f", F.when(F.col("n").isNotNull(), F.xxhash64(F.slice("_h", 1, F.col("n"))))).alias("fingerprint"),
+        F.coalesce("_q", F.when(F.col("n").isNotNull(), F.slice("_p", 1, F.col("n")))).alias("_q"),
+    )
+    told = told.withColumn("key", F.array_min("_q"))
+    return told.select("fingerprint", "key", (F.array_position("_q", F.col("key")) - 1).cast("int").alias("off"), *DOC, "pos", "n", "next")
 
 
 def with_partners(windows: DataFrame) -> DataFrame:
