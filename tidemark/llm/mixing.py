@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, table, word_count
+from tidemark.operators.queue import ordered_places
 
 BLOCK_TOKENS, DOCS_PER_SHARD, SEED, WEIGHTS, MOST_REPEATS = 64, 10_000, "tidemark-mix-1", (5, 2, 1), 3
 HASH_RANGE = float(1 << 60)
+#: Ranges into which sources or quotients are counted at a time; so many rows of sums reach the driver.
+BUCKETS = 512
 
 
 def seeded_order(doc_id: Column, seed: str) -> Column:
@@ -19,30 +24,87 @@ def seeded_order(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def buckets_of(rows: DataFrame, value: str, low: float, high: float, *sums: str) -> list[Row]:
+    """Of the rows whose ``value`` lies in [low, high], in BUCKETS equal ranges: least and greatest value, count and ``sums``, in order of value."""
+    part = F.least(F.floor((F.col(value) - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1)) if high > low else F.lit(0)
+    held = rows.where(F.col(value).between(low, high)).groupBy(part.alias("part"))
+    found = held.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums]).collect()
+    return sorted(found, key=lambda r: r.low)
+
+
+def water_level(sources: DataFrame, everything: int, weights: int) -> float:
+    """The level at which what sources take, their limit or the level times their weight if that is less, sums up to ``everything``.
+
+    ``sources`` has ratio (limit by weight), limit and weight.  Sums by ranges of ratio tell in
+    which range the level lies; that range is cut again until one ratio is left.
+    """
+    ends = sources.agg(F.min("ratio"), F.max("ratio")).first()
+    taken = over = 0
+    while True:
+        for b in buckets_of(sources, "ratio", ends[0], ends[1], "limit", "weight"):
+            reached = taken + b.limit + Fraction(b.high) * (weights - over - b.weight)
+            if reached >= everything or b.high == ends[1]:
+                break
+            taken, over = taken + b.limit, over + b.weight
+        if b.low == b.high:
+            full = reached < everything  # then all have their limit
+            return (everything - taken - (b.limit if full else 0)) / max(1, weights - over - (b.weight if full else 0))
+        ends = (b.low, b.high)
+
+
 def water_fill(sources: DataFrame, weights: Sequence[int], most_repeats: int) -> DataFrame:
-    """``sources`` (source, source_size) plus ordinal, weight and target.
+    """``sources`` (source, source_size, n_docs) plus ordinal, weight and target.
 
     Sources in code point order, null last, take the weights in turn and share the sum of
     all sizes; a target stops at ``most_repeats`` times its source's size and what it gives
-    up is shared again by weight.  In order of that limit per unit of weight the sources at
-    their limit come first, so running sums find the level of the others.
+    up is shared again by weight, up to one level for all that are below their limit.  Neither
+    their order nor the level needs all sources in one task.
     """
-    everything = Window.partitionBy(F.lit(0))
-    ranked = sources.withColumn("ordinal", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("ordinal") - 1) % len(weights) + 1)
+    placed = ordered_places(sources, [F.col("source").asc_nulls_last()], "ordinal")
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.col("ordinal") - 1) % len(weights) + 1).cast("int"))
     limit = (F.col("source_size") * most_repeats).cast("long")
-    ranked = ranked.withColumn("weight", weight).withColumn("limit", limit)
-    before = everything.orderBy(F.col("limit") / F.col("weight"), "ordinal")
-    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(earlier), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0))
-    )
-    ranked = ranked.withColumn("level", level).withColumn("full", F.col("limit") / F.col("weight") < F.col("level"))
-    settled = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
-    target = F.when(F.col("full"), F.col("limit").cast("double")).otherwise(settled * F.col("weight"))
+    ranked = materialise(placed.withColumn("weight", weight).withColumn("limit", limit).withColumn("ratio", F.col("limit") / F.col("weight")), "mix-limits")
+    total = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = water_level(ranked, total.size, total.weight) if total.size is not None else 0.0
+    target = F.when(F.col("ratio") < level, F.col("limit").cast("double")).otherwise(F.lit(float(level)) * F.col("weight"))
     return ranked.withColumn("target", target).select("source", "source_size", "n_docs", "ordinal", "target")
 
 
+def apportioned(parties: DataFrame, key: str, votes: str, seats: int) -> DataFrame:
+    """``parties`` plus ``quota``: the ``seats`` go to the highest quotients votes / (2 s - 1), ties to the smaller key.
+
+    The divisor that settles m parties lies within m / 2 seats of votes / seats, so only the
+    seats between two rounded bounds, about 2 m of them, are looked at; the last quotient that
+    wins is found by counts in ranges, and only seats at that quotient are put in order.
+    """
+    sums = parties.agg(F.count("*").alias("m"), F.sum(votes).alias("total")).first()
+    m, total, v = sums.m, sums.total or 0, F.col(votes)
+    if not total:
+        return parties.withColumn("quota", F.lit(0).cast("long"))
+    sure = F.when(v > 0, F.greatest(F.lit(0), F.ceil(v * (seats - m / 2) / total - 0.5) - 1)).otherwise(0).cast("long")
+    open_to = F.when(v > 0, F.greatest(F.lit(0), F.floor(v * (seats + m / 2) / total + 0.5) + 1)).otherwise(0).cast("long")
+    bounds = parties.withColumn("sure", sure).withColumn("open_to", open_to)
+    left = seats - (bounds.agg(F.sum("sure")).first()[0] or 0)
+    each = bounds.where("open_to > sure").select(F.col(key).alias("_key"), v.alias("v"), F.explode(F.sequence(F.col("sure") + 1, F.col("open_to"))).alias("seat"))
+    each = materialise(each.select("_key", (F.col("v") / (2 * F.col("seat") - 1)).alias("quotient")), "mix-quotients")
+    ends = each.agg(F.min("quotient"), F.max("quotient")).first()
+    above = 0
+    while left > 0 and ends[0] is not None:
+        for b in reversed(buckets_of(each, "quotient", ends[0], ends[1])):
+            if above + b.n >= left or b.low == ends[0]:
+                break
+            above += b.n
+        ends = (b.low, b.high)
+        if b.low == b.high:
+            break
+    last = F.lit(ends[0] if left > 0 else None).cast("double")
+    tied = ordered_places(each.where(F.col("quotient") == last), [F.col("_key")], "place")
+    won = each.where(F.col("quotient") > last).select("_key").unionByName(tied.where(F.col("place") <= left - above).select("_key"))
+    won = won.groupBy("_key").agg(F.count("*").alias("won")).withColumnRenamed("_key", key)
+    quota = (F.col("sure") + F.coalesce("won", F.lit(0))).alias("quota")
+    return bounds.join(won, key, "left").select(*parties.columns, quota)
+
+
 def sainte_lague(parties: DataFrame, group: list[str], key: str, votes: str, seats: str) -> DataFrame:
     """``parties`` plus ``quota``: each group's ``seats`` go to the highest quotients votes / (2 s - 1), ties to the smaller key.
 
@@ -88,9 +150,9 @@ def mix_sources(
     )
     rows = materialise(rows, "mix-rows")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    filled = water_fill(totals, weights, most_repeats).withColumn("all", F.lit(0))
-    blocks = F.floor(F.sum("source_size").over(Window.partitionBy("all")) / block_tokens + 0.5)
-    sources = sainte_lague(filled.withColumn("blocks", blocks), ["all"], "ordinal", "target", "blocks")
+    filled = materialise(water_fill(materialise(totals, "mix-totals"), weights, most_repeats), "mix-targets")
+    words = filled.agg(F.sum("source_size")).first()[0] or 0
+    sources = apportioned(filled, "ordinal", "target", math.floor(words / block_tokens + 0.5))
     sources = materialise(
         sources.select("source", "source_size", "ordinal", "target", F.col("quota").alias("source_quota"), F.ceil(F.col("n_docs") / docs_per_shard).alias("n_shards")),
         "mix-sources",
