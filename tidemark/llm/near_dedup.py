@@ -171,7 +171,6 @@ class Links:
 
     def __init__(self, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> None:
         self.classes, self.docs, self.width, self.percent = classes, docs, width, percent
-        self.found: list[DataFrame] = []
         self.component: DataFrame | None = None
 
     def labelled(self, rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -183,17 +182,24 @@ class Links:
 
     def test(self, pairs: DataFrame) -> None:
         """Confirm ``pairs`` whose ends aren't connected yet, and join what they connect."""
-        open_ = self.labelled(self.labelled(pairs, "a", "_ca"), "b", "_cb").where("_ca <> _cb").select("a", "b") if self.found else pairs
+        open_ = self.labelled(self.labelled(pairs, "a", "_ca"), "b", "_cb").where("_ca <> _cb").select("a", "b") if self.component is not None else pairs
         likely = materialise(estimated(open_, self.classes, self.percent), "likely")
         edges = materialise(confirmed(likely, self.docs, self.width, self.percent), "edges")
         drop_scratch(likely)
         if edges.isEmpty():
             return
-        self.found.append(edges)
-        everything = self.found[0]
-        for more in self.found[1:]:
-            everything = everything.unionByName(more)
-        self.component = materialise(components(everything), "component")
+        if self.component is None:
+            self.component = materialise(components(edges), "component")
+            return
+        # What is settled is one node by now: only the new links between components are followed.
+        between = self.labelled(self.labelled(edges, "a", "_ca"), "b", "_cb").select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
+        step = materialise(components(between), "steps")
+        joined = self.component.join(step.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+        joined = joined.select("node", F.coalesce("_to", "component").alias("component"))
+        fresh = step.join(self.component, "node", "left_anti").select("node", "component")
+        after = materialise(joined.unionByName(fresh), "component")
+        drop_scratch(self.component, step, edges)
+        self.component = after
 
 
 def may_reach(percent: int, size_a: str, pos_a: str, size_b: str, pos_b: str) -> Column:
@@ -289,7 +295,7 @@ def centre_rounds(left: DataFrame, key: list[str], links: Links) -> None:
         if largest.isEmpty():
             return
         inside = materialise(inside.join(largest, key), "inside")
-        place = F.row_number().over(Window.partitionBy(*key).orderBy("pos", "rep"))
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("pos", "rep"))  # Spark keeps the first CENTRES of each task before it shuffles
         chosen = inside.where("component <> main").withColumn("place", place).where(F.col("place") <= CENTRES)
         chosen = chosen.select(*key, F.col("rep").alias("b"), F.col("component").alias("_other"), F.col("size").alias("_size"), F.col("pos").alias("_pos"))
         chosen = materialise(chosen, "chosen")
