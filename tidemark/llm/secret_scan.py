@@ -76,22 +76,29 @@ def fixed_lexicon() -> Lexicon:
 
 
 def learn_lexicon(docs: DataFrame, most: int = MOST_WORDS) -> Lexicon:
-    """The lexicon of the most frequent words of all ``docs`` (text), counted over their whole texts; words seen once don't count.
+    """The lexicon of the ``most`` most frequent words of all ``docs`` (text), counted over their whole texts; words seen once don't count.
 
     Words are taken by classes of frequency, an eighth of an octave each, from the most
-    frequent class on, as many whole classes as hold ``most`` words together: so few rows reach
-    the driver however many tasks counted them.
+    frequent class on, and of the class in which ``most`` is reached the first ones in order of
+    letters: so few rows reach the driver however many tasks counted them.
+
+    Null and empty texts have no words, repeated rows count each; with no word seen twice, as in
+    an empty table, the fixed words are the lexicon.
     """
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(f"\\b[a-z]{{{LEAST_LETTERS},20}}\\b"), 0)).alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word", F.floor(F.log2("n") * 8).cast("int").alias("frequency"))
     often = materialise(often, "words")
-    taken, total = [], 0
+    whole, total, part = [], 0, None
     for r in sorted(often.groupBy("frequency").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.frequency):
-        total += r.n
-        if total > most:
+        if total + r.n > most:
+            part = r.frequency
             break
-        taken.append(r.frequency)
-    return lexicon_of(r.word for r in often.where(F.col("frequency").isin(taken)).select("word").collect()) if taken else fixed_lexicon()
+        total += r.n
+        whole.append(r.frequency)
+    learned = [r.word for r in often.where(F.col("frequency").isin(whole)).select("word").collect()] if whole else []
+    if part is not None:
+        learned += [r.word for r in often.where(F.col("frequency") == part).select("word").orderBy("word").limit(most - total).collect()]
+    return lexicon_of(learned) if learned else fixed_lexicon()
 
 
 def kind_of(c: str) -> int:
