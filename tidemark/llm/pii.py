@@ -215,7 +215,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, made: int = MADE_TEXTS,
     """The field of ``docs`` (text), trained jointly on made-up labelled texts and on a sample of ``docs`` labelled by the base patterns.
 
     The sample takes the documents whose hash is below a bound that follows from the number
-    of all, so about as many of them reach the driver whatever the size of the table.
+    of all, so about as many of them reach the driver whatever the size of the table; copies of
+    a text count once.  Null and empty texts give nothing; an empty table leaves the made-up texts.
     """
     text = F.col("text").cast("string")
     hinted = docs.select(text.alias("text")).where(F.col("text").rlike(HINT))
@@ -234,7 +235,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, made: int = MADE_TEXTS,
             columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=["label", "cells", "chain", "skip"])
 
-    sampled = hinted.where(draw < F.lit(bound)).mapInArrow(describe, "label long, cells array<int>, chain array<int>, skip array<int>")
+    # Copies of a text are drawn together; one of them is enough, and Spark drops the others before it shuffles.
+    sampled = hinted.where(draw < F.lit(bound)).dropDuplicates(["text"]).mapInArrow(describe, "label long, cells array<int>, chain array<int>, skip array<int>")
     rows = sorted((r.label, r.cells, r.chain, r.skip) for r in sampled.collect())
     for whole, spans in made_texts(made, seed):
         rows += examples(whole, spans, certain=True)
