@@ -117,6 +117,17 @@ def romanized(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), spelled), "")
 
 
+def without_keys(json: Column, names: Sequence[str]) -> Column:
+    """A JSON object as text without the fields of those names, at its top and in objects one level below; other values keep their types.
+
+    Null where the text is no object.
+    """
+    drop = lambda m: F.map_filter(m, lambda k, _: ~F.lower(k).isin(*[n.lower() for n in names]))
+    inner = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    kept = F.transform_values(drop(F.from_json(json, "map<string,variant>")), lambda k, v: F.coalesce(F.parse_json(F.to_json(drop(inner(v)))), v))
+    return F.to_json(kept)
+
+
 def script_json(html: Column, name: str) -> Column:
     """The JSON that a page's script gives to ``name``: from the first brace behind it to the last one before the script ends."""
     body = F.regexp_extract(html, rf"(?s)\b{name}\s*=\s*([\[{{].*?[\]}}])\s*;?\s*</script", 1)

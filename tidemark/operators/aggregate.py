@@ -40,7 +40,7 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, points: Sequenc
     bounds.write.parquet(path)
     bounds = df.sparkSession.read.schema(bounds.schema).parquet(path)
     same = reduce(lambda s, k: s & F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")), keys, F.lit(True))
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n")).alias("c").join(F.broadcast(bounds).alias("b"), same)
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n")).alias("c").join(bounds.alias("b"), same)  # written before, so Spark knows its size
     below = F.size(F.filter("_bounds", lambda b: b < F.col(f"c.{value}")))
     counts = counts.select(*[F.col(f"c.{k}").alias(k) for k in keys], F.col(f"c.{value}").alias(value), "_n", below.alias("_part"))
     line = Window.partitionBy(*keys).orderBy("_part")
@@ -50,6 +50,6 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, points: Sequenc
     hit = F.filter(places, lambda x: (x["place"] <= F.col("_until")) & (x["place"] > F.col("_until") - F.col("_here")))
     wanted = sums.withColumn("_hit", hit).where(F.size("_hit") > 0).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), (F.col("_until") - F.col("_here")).alias("_before"), "_hit")
     both = reduce(lambda s, k: s & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.col("_part") == F.col("_p"))
-    within = counts.join(F.broadcast(wanted), both).withColumn("_until", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value)))
+    within = counts.join(wanted, both).withColumn("_until", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value)))
     reached = lambda name: F.min(F.when(F.exists("_hit", lambda x: (x["name"] == name) & (x["place"] <= F.col("_until"))), F.col(value)))
     return within.groupBy(*keys).agg(*[reached(f"p{round(100 * p)}").alias(f"p{round(100 * p)}") for p in points])

@@ -26,7 +26,7 @@ def capped_classes(df: DataFrame, key: str, caps: Mapping[str, int], total: int,
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
     marked = chosen.withColumn("taken", F.lit(True))
-    return df.join(F.broadcast(marked), unique, "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    return df.join(marked, unique, "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
 
 
 def diverse_pick(df: DataFrame, key: str, order: Sequence[Column], most: int) -> DataFrame:
@@ -41,4 +41,4 @@ def admit(df: DataFrame, order: Sequence[Column], slots: int, daily: int, unique
     most = max(0, min(slots, daily))
     first = df.orderBy(*order).limit(most).select(unique).withColumn("_in", F.lit(True))
     outcome = F.when(F.col("_in"), "admitted").otherwise("daily_limit" if daily <= slots else "no_slot")
-    return df.join(F.broadcast(first), unique, "left").withColumn("outcome", outcome).drop("_in")
+    return df.join(first, unique, "left").withColumn("outcome", outcome).drop("_in")

@@ -537,12 +537,11 @@ def run_lock(spark: SparkSession, d: str) -> DataFrame:
     return queue.with_lock(after.groupBy("status").agg(F.count("*").alias("n")), "lock")
 
 
-@query("""SELECT event_id, (props::JSON ->> 'k')::INTEGER AS k, json_object('k', (props::JSON ->> 'k')::INTEGER, 'type', event_type)::VARCHAR AS cleaned FROM events WHERE event_type = 'purchase'""")
+@query("""SELECT event_id, json_object('k', (props::JSON -> 'k'), 'who', json_object('kind', event_type), 'list', json_array(event_id, 'token'))::VARCHAR AS cleaned FROM events""")
 def sanitized_json(spark: SparkSession, d: str) -> DataFrame:
-    """A JSON text without the fields that must not leave, by a struct that drops them."""
-    whole = F.struct(F.from_json("props", "k int")["k"].alias("k"), F.col("event_type").alias("type"), F.col("user_id").alias("secret"), F.col("value").alias("token"))
-    rows = table(spark, d, "events").where("event_type = 'purchase'").select("event_id", whole.alias("r"))
-    return rows.select("event_id", "r.k", F.to_json(F.col("r").dropFields("secret", "token")).alias("cleaned"))
+    """A JSON text without the fields that must not leave, at its top and in its objects."""
+    written = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "Token": {"a": [1, "}"]}, "who": {"kind": "'), "event_type", F.lit('", "secret": "'), F.col("user_id").cast("string"), F.lit('"}, "list": ['), F.col("event_id").cast("string"), F.lit(', "token"], "secret": null}'))
+    return table(spark, d, "events").select("event_id", text.without_keys(written, ("token", "secret")).alias("cleaned"))
 
 
 @query("""SELECT conv_id, (count(*) FILTER (WHERE role = 'user'))::BIGINT AS user, (count(*) FILTER (WHERE role = 'assistant'))::BIGINT AS assistant, sum(length(coalesce(text, '')))::BIGINT AS chars FROM conversations GROUP BY 1""")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, forms, text, urls
 from tidemark.operators import cases as case_rules
-from tidemark.operators import collecting, diagnosis, freshness, obligations, outcomes, questions
+from tidemark.operators import collecting, diagnosis, freshness, obligations, outcomes, quality, questions
 from tidemark.plans.base import query, table
 
 
@@ -479,3 +479,70 @@ def form_scores(spark: SparkSession, d: str) -> DataFrame:
     asked = items.select(F.col("l_suppkey").alias("form_id"), F.expr(chosen("split_part(p_name, ' ', 1)", SHORT)).alias("label"), F.lit("radio").alias("kind"), F.lit(False).alias("has_personal"))
     scored = diagnosis.score_forms(rows, asked)
     return scored.select(F.col("form_id").alias("id"), F.col("data_level").alias("level"), "score", F.array_join("overrides", ",").alias("rules"), F.col("final_grade").alias("final"))
+
+
+# --- quality -------------------------------------------------------------------------------------------------------
+
+SAYS = {"small": "논문 설문", "red": "교육청 안내", "blue": "산학협력단", "new": "경품", "cold": "고객 만족", "large": "박사 학위", "hot": "보건소", "old": ""}
+WHOSE = {"ring": "주식회사", "bolt": "문화재단", "plate": "", "rod": "입학처", "gear": "csat", "gizmo": "", "anvil": "석사", "widget": "카드사"}
+ORGANIZATIONS = {"said": f"{chosen("split_part(p_name, ' ', 1)", SAYS)} || ' ' || {chosen("split_part(p_name, ' ', 2)", WHOSE)}"}
+
+
+@query(f"""WITH x AS ({given_sql("part", "p_partkey", ORGANIZATIONS)}), y AS (SELECT *, regexp_matches(said, '논문|석사|박사') AS a, regexp_matches(said, '산학협력단|입학처') AS u FROM x)
+SELECT id, CASE WHEN a AND NOT u THEN 'individual_or_academic' WHEN u THEN 'university_official' WHEN regexp_matches(said, '교육청|보건소|재단') THEN 'public' WHEN regexp_matches(said, '경품|고객 만족|주식회사|csat|카드사') THEN 'company' ELSE 'unknown' END AS organization FROM y""")
+def org_qualities(spark: SparkSession, d: str) -> DataFrame:
+    """The kind of organization behind a text made of part names."""
+    return given(spark, d, "part", "p_partkey", ORGANIZATIONS).select("id", quality.org_quality(F.col("said")).alias("organization"))
+
+
+LACKING = {
+    "personal": "CASE WHEN c_acctbal > 5000 THEN TRUE WHEN c_acctbal > 0 THEN FALSE END", "sensitive": "c_name LIKE '%3'", "high": "c_name LIKE '%13'", "kind": "CASE WHEN c_nationkey < 8 THEN 'public' WHEN c_nationkey < 12 THEN '공공' WHEN c_nationkey < 20 THEN 'private' END",
+    "decision": chosen("c_mktsegment", {"MACHINERY": "DO_NOT_RESPOND", "BUILDING": "보유 기간 고지 확인", "AUTOMOBILE": "신고 검토"}), "platform": "CASE WHEN c_nationkey % 3 = 0 THEN 'Google_Forms' WHEN c_nationkey % 3 = 1 THEN 'own' END",
+}
+LABELS = {"담당자 안내": "c_acctbal < 1000", "고지 항목": "c_acctbal > 8000", "국외 위탁": "c_name LIKE '%7'"}
+ORDERED = ["개인정보 포함", "민감정보 포함", "고위험정보 포함"]
+
+
+@query(f"""WITH x AS ({given_sql("customer", "c_custkey", LACKING | {"labels": listed(LABELS, "duckdb")})}), g AS (SELECT id, list_filter([CASE WHEN personal THEN '개인정보 포함' END, CASE WHEN sensitive THEN '민감정보 포함' END, CASE WHEN high THEN '고위험정보 포함' END, CASE WHEN decision IN ('DO_NOT_RESPOND', '신고 검토') THEN '응답 거부·신고 검토 판단' END,
+  CASE WHEN decision = '보유 기간 고지 확인' THEN '고지문 미흡' END, CASE WHEN decision = '보유 기간 고지 확인' THEN '보유기간 미흡' END, CASE WHEN list_contains(labels, '담당자 안내') THEN '담당자 연락처 미흡' END, CASE WHEN list_contains(labels, '고지 항목') THEN '고지문 미흡' END, CASE WHEN list_contains(labels, '고지 항목') THEN '수집 항목 미흡' END,
+  CASE WHEN list_contains(labels, '국외 위탁') THEN '외부 설문도구·위탁 안내 미흡' END, CASE WHEN list_contains(labels, '국외 위탁') THEN '국외이전 확인 필요' END, CASE WHEN kind IN ('public', '공공') AND platform = 'Google_Forms' THEN '공공부문 외부도구·CSAP 확인 필요' END], lambda v: v IS NOT NULL) AS l FROM x)
+SELECT id, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ',') AS gaps FROM g""")
+def improvement_labels(spark: SparkSession, d: str) -> DataFrame:
+    """What a form should improve, in order and each once."""
+    rows, c = given(spark, d, "customer", "c_custkey", LACKING | {"labels": listed(LABELS, "spark")}), F.col
+    gaps = quality.improvement_gaps(c("personal"), c("sensitive"), c("high"), c("decision"), c("kind"), c("platform"), c("labels"))
+    return rows.select("id", F.array_join(gaps, ",").alias("gaps"))
+
+
+SEARCHES = {
+    "intent": chosen("p_type", {"MEDIUM": "company", "STANDARD": "public", "LARGE": "mixed", "SMALL": "university_official", "PROMO": "platform_focus"}, "other"), "platform": chosen("split_part(p_name, ' ', 2)", {"ring": "forms.gle", "bolt": "moaform.com/q", "plate": "naver.me", "rod": "form.naver.com"}, "any"),
+    "strategy": "CASE WHEN p_size < 12 THEN 'sim_relevance' WHEN p_size < 24 THEN 'deep_seed' WHEN p_size < 36 THEN 'date_breadth' ELSE 'all' END", "asked": "CASE WHEN p_retailprice < 920 THEN ' Part-A ' WHEN p_retailprice < 950 THEN 'B' WHEN p_retailprice < 990 THEN NULL ELSE 'x' END",
+}
+
+
+@query(f"""WITH x AS ({given_sql("part", "p_partkey", SEARCHES)}) SELECT id, CASE WHEN intent IN ('company', 'platform_focus') OR platform = 'moaform.com/q' OR (strategy IN ('sim_relevance', 'deep_seed') AND intent = 'mixed') THEN 'b' WHEN intent IN ('public', 'university_official') OR (strategy = 'date_breadth' AND platform IN ('forms.gle', 'naver.me', 'form.naver.com')) THEN 'a' ELSE 'b' END AS part,
+  CASE WHEN asked = ' Part-A ' THEN 'a' WHEN asked = 'B' THEN 'b' ELSE 'all' END AS asked FROM x""")
+def query_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Which half of the searches each query belongs to, and which one was asked for."""
+    rows = given(spark, d, "part", "p_partkey", SEARCHES)
+    return rows.select("id", quality.partition(F.col("intent"), F.col("platform"), F.col("strategy")).alias("part"), quality.parsed_partition(F.col("asked")).alias("asked"))
+
+
+READ = {
+    "final": "o_totalprice < 5000", "ok": "o_orderpriority NOT LIKE '1%'", "confidence": "CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'medium' ELSE 'low' END", "more_pages": "day(o_orderdate) > 25", "branching": "CASE WHEN month(o_orderdate) = 5 THEN TRUE END", "privacy_likely": "o_totalprice > 300000",
+    "notice": "CASE WHEN o_totalprice < 400000 THEN 'a notice' END", "before": "CASE WHEN day(o_orderdate) < 20 THEN day(o_orderdate) % 8 END", "personal_before": "month(o_orderdate) % 4",
+}
+
+
+@query(f"""WITH q AS (SELECT l_orderkey AS id, count(*) AS n, count(*) FILTER (WHERE l_quantity < 25) AS odd, count(*) FILTER (WHERE l_returnflag = 'R') AS personal FROM lineitem GROUP BY 1), x AS ({given_sql("orders", "o_orderkey", READ)}), y AS (SELECT x.*, coalesce(n, 0) AS n, coalesce(odd, 0) AS odd, coalesce(personal, 0) AS p FROM x LEFT JOIN q USING (id)),
+r AS (SELECT *, CASE WHEN final THEN [] ELSE {listed({"zero_questions": "NOT ok OR n = 0", "low_confidence": "confidence = 'low'", "multi_page_signal": "more_pages AND confidence <> 'high'", "branching_signal": "coalesce(branching, FALSE) AND confidence <> 'high'", "missing_privacy_notice": "privacy_likely AND notice IS NULL", "invalid_structure": "n > 0 AND odd * 2 >= n", "question_count_drop": "coalesce(before > 0 AND n < greatest(1, floor(before * 0.6)), FALSE)", "risk_detection_drop": "personal_before > 0 AND p < personal_before"}, "duckdb")} END AS l FROM y)
+SELECT id, len(l) = 0 AS accept, l[1] AS reason, array_to_string(l, ',') AS reasons FROM r""")
+def reading_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a quick reading of a form, with the lines of an order as its questions, may stand, and why not."""
+    line = F.struct(
+        F.when(F.col("l_quantity") < 25, "-").otherwise("a question").alias("label"), F.array(F.lit("a long option"), F.col("l_linestatus")).alias("options"), (F.col("l_returnflag") == "R").alias("personal"), F.array(F.lit("opinion")).alias("categories")
+    )
+    asked = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(line).alias("questions"))
+    rows, c = given(spark, d, "orders", "o_orderkey", READ).join(asked, "id", "left"), F.col
+    told = quality.reading_gate({n: c(n) for n in ("final", "ok", "confidence", "questions", "more_pages", "branching", "privacy_likely", "notice")}, {"questions": c("before"), "personal": c("personal_before")})
+    return rows.withColumn("told", told).select("id", "told.accept", "told.reason", F.array_join("told.reasons", ",").alias("reasons"))
