@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, forms, text, urls
 from tidemark.operators import cases as case_rules
-from tidemark.operators import collecting, diagnosis, freshness, obligations, outcomes, quality, questions
+from tidemark.operators import collecting, diagnosis, freshness, notices, obligations, outcomes, quality, questions
 from tidemark.plans.base import query, table
 
 
@@ -210,6 +210,37 @@ def notice_facts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", obligations.notice_fact(F.col("blocks"), F.col("t"), r"(of|de)\s+the", "ing|ung", 40).alias("certainty"))
 
 
+NOTICED = {
+    "purpose": chosen("o_orderpriority", {"1-URGENT": "수집 목적: 서비스 운영", "2-HIGH": "동의합니다.", "3-MEDIUM": "아무 말도 없는 긴 글", "4-NOT SPECIFIED": "짧다"}), "retention": "CASE WHEN day(o_orderdate) > 20 THEN '보유기간은 일 년입니다' WHEN day(o_orderdate) > 10 THEN '이 글은 다른 글입니다' END",
+    "consent_text": "CASE WHEN month(o_orderdate) = 3 THEN '제출' END", "privacy_notice": "CASE WHEN month(o_orderdate) > 3 THEN '개인정보 처리 안내: 이름과 연락처' END", "overseas_transfer": "CASE WHEN o_totalprice > 400000 THEN '해외 보관: 미국 국가' END", "trustee": "CASE WHEN o_totalprice < 50000 THEN '위탁업무를 맡긴 수탁자' END",
+    "privacy_policy_url": "CASE WHEN o_orderstatus = 'F' THEN 'http://x' WHEN o_orderstatus = 'O' THEN 'abc' END",
+}
+FORM = {
+    "corpus": "CASE WHEN year(o_orderdate) = 1996 THEN '서비스 개선을 위한 만족도 조사' WHEN year(o_orderdate) = 1997 THEN '기간: 일 년' END", "has_consent": "o_orderpriority LIKE '5%'", "n_questions": "day(o_orderdate) % 3", "domestic_storage": "CASE WHEN day(o_orderdate) < 15 THEN TRUE END", "csap_verified": "month(o_orderdate) < 7",
+    "trustee_disclosed": "day(o_orderdate) = 28", "fact": "CASE WHEN o_totalprice > 300000 THEN 'FOUND_CONFIRMED' WHEN o_totalprice > 250000 THEN 'FOUND_POSSIBLE' WHEN o_totalprice > 200000 THEN 'NEEDS_REVIEW' END",
+}
+WANTED = ("collection_purpose", "collection_items", "retention_period", "overseas_country", "trustee", "privacy_policy_link", "no_such_duty")
+FULL = lambda f: f"(length(coalesce({f}, '')) >= 8 AND {f} NOT IN ('동의합니다.', '제출'))"
+SAYS_IT = {"collection_purpose": "목적|경품 지급", "collection_items": "항목|성명|이름|휴대폰|연락처|이메일", "retention_period": "기간|보유|종료|목적 달성|경품 발송 완료", "trustee": "위탁|수탁자"}
+
+
+@query(f"""WITH x AS ({given_sql("orders", "o_orderkey", NOTICED | FORM)}), e AS (SELECT x.*, unnest({_keys(WANTED)}) AS duty FROM x),
+t AS (SELECT *, CASE duty WHEN 'collection_purpose' THEN coalesce(purpose, privacy_notice) WHEN 'collection_items' THEN privacy_notice WHEN 'retention_period' THEN retention WHEN 'overseas_country' THEN overseas_transfer WHEN 'trustee' THEN trustee WHEN 'privacy_policy_link' THEN privacy_policy_url END AS own FROM e),
+w AS (SELECT *, CASE WHEN duty IN {strings(SAYS_IT)} THEN CASE WHEN {FULL("own")} THEN own || chr(10) || coalesce(corpus, '') WHEN {FULL("corpus")} THEN corpus ELSE own END ELSE own END AS txt FROM t),
+b AS (SELECT *, CASE WHEN duty = 'no_such_duty' THEN 'missing' WHEN duty = 'privacy_policy_link' THEN CASE WHEN length(coalesce(txt, '')) < 5 THEN 'missing' WHEN contains(txt, 'http') THEN 'present' ELSE 'unclear' END WHEN NOT {FULL("txt")} THEN 'missing'
+  WHEN CASE duty {" ".join(f"WHEN '{k}' THEN regexp_matches(txt, '{p}')" for k, p in SAYS_IT.items())} ELSE regexp_matches(txt, '국가|미국|해외') END THEN 'present' ELSE 'unclear' END AS s0, CASE WHEN duty IN ('collection_purpose', 'retention_period') THEN fact END AS f FROM w),
+c AS (SELECT *, CASE WHEN f = 'FOUND_CONFIRMED' THEN 'present' WHEN (f = 'FOUND_POSSIBLE' AND s0 <> 'present') OR (f = 'NEEDS_REVIEW' AND s0 = 'missing') THEN 'unclear' ELSE s0 END AS s1 FROM b),
+g AS (SELECT *, CASE WHEN consent_text IS NOT NULL AND privacy_notice IS NULL AND NOT has_consent AND duty IN ('collection_purpose', 'collection_items', 'retention_period') AND NOT coalesce(f IN ('FOUND_CONFIRMED', 'FOUND_POSSIBLE'), FALSE) THEN 'missing' ELSE s1 END AS s2 FROM c)
+SELECT id, duty, CASE WHEN starts_with(duty, 'overseas_') AND coalesce(domestic_storage, FALSE) AND csap_verified THEN 'present' WHEN duty = 'trustee' AND trustee_disclosed THEN 'present' WHEN s2 = 'missing' AND ((duty = 'collection_purpose' AND coalesce(contains(corpus, '서비스 개선'), FALSE)) OR (duty = 'collection_items' AND n_questions > 0)) THEN 'unclear' ELSE s2 END AS status FROM g""")
+def notice_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """How the notices of each form meet seven duties, one of them unknown."""
+    rows = given(spark, d, "orders", "o_orderkey", NOTICED | FORM)
+    told = F.map_from_arrays(F.array(*[F.lit(n) for n in NOTICED]), F.array(*[F.col(n) for n in NOTICED]))
+    facts = F.map_from_arrays(F.array(F.lit("collection_purpose"), F.lit("retention_period")), F.array("fact", "fact"))
+    ready = rows.select("*", told.alias("notices"), facts.alias("facts"), F.array(*[F.lit(x) for x in WANTED]).alias("duties"))
+    return notices.evaluate_notices(ready, "id")
+
+
 SIGNS = {"official": "CASE WHEN s_acctbal > 5000 THEN TRUE WHEN s_acctbal > 1000 THEN FALSE END", "access": "CASE WHEN s_nationkey > 16 THEN TRUE WHEN s_nationkey > 8 THEN FALSE END", "raw": "CASE WHEN s_name LIKE '%7%' THEN TRUE WHEN s_name LIKE '%3%' THEN FALSE END", "public": "s_nationkey % 2 = 0", "employee": "s_acctbal > 3000"}
 SIGN = {n: f"CASE WHEN {n} THEN 'confirmed' WHEN NOT {n} THEN 'missing' ELSE 'unknown' END" for n in ("official", "access", "raw")}
 
