@@ -45,3 +45,13 @@ def test_more_licences_than_are_broadcast(spark):
         assert all(r.licence == f"L{r.doc_id}" for r in L.scan_licences(rows, known).collect())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_whole_licences_of_the_folder(spark):
+    held = dict(L.whole_licences())
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} == set(held) and all(len(t) > 6000 for t in held.values())
+    changed = {n: t.replace("license", "licence").replace(",", " ,").replace("Copyright (C) 2007 Free Software Foundation", "Copyright (C) 1999 Somebody Else").upper() for n, t in held.items()}
+    rows = [(k, t) for k, t in enumerate(changed.values())] + [(100 + k, t + "\nand a clause of our own") for k, t in enumerate(held.values())]
+    known = spark.createDataFrame([*L.KNOWN_LICENCES, *held.items()], "licence string, text string")
+    got = {r.doc_id: r.licence for r in L.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert [got[k] for k in range(len(held))] == list(held) and {got[100 + k] for k in range(len(held))} == {None}

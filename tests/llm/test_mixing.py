@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from tests.llm.cases import clashing, docs
@@ -50,3 +51,24 @@ def test_awkward_rows(spark):
     assert len(got) == 14 and all(r.taken == 0 for r in got if r.size == 0)
     assert mixing.mix_sources(docs(spark, [])).collect() == []
     assert [r.taken for r in mixing.mix_sources(docs(spark, [(1, None, None, None, None)])).collect()] == [0]
+
+
+def test_many_sources_are_as_by_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 7)
+    rng = random.Random(6)
+    sizes = {f"s{k:04d}": rng.choice((0, 1, 1, 5, 5, rng.randrange(1, 4000))) for k in range(700)} | {"hot": 900_000, "": 3}
+    df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n_docs long").repartition(5)
+    got = {r.source: (r.ordinal, r.target) for r in mixing.water_fill(df, (5, 2, 1), 3).collect()}
+    want = targets(sizes)
+    assert [s for s, _ in sorted(got.items(), key=lambda x: x[1][0])] == sorted(sizes)
+    assert all(abs(got[s][1] - want[s]) <= 1e-9 * max(1, want[s]) for s in sizes)
+
+
+def test_apportionment_of_one_group_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 5)
+    rng = random.Random(7)
+    for votes, seats in (([rng.randrange(100) for _ in range(60)], 500), ([7] * 40, 61), ([0, 0, 5], 9), ([1000, 1, 1, 1], 2), ([0, 0], 5), ([3.5, 2.25], 0)):
+        df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(votes)], "k long, v double")
+        quotients = sorted((-v / (2 * s - 1), k) for k, v in enumerate(votes) if v for s in range(1, seats + 1))[:seats]
+        want = {k: sum(q[1] == k for q in quotients) for k in range(len(votes))}
+        assert {r.k: r.quota for r in mixing.apportioned(df, "k", "v", seats).collect()} == want

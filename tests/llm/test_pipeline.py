@@ -1,9 +1,13 @@
+import random
+
 import duckdb
+import pytest
 
 import corpus_pipeline
 from tests.llm import test_decontamination, test_language_id, test_line_dedup, test_near_dedup
-from tests.llm.cases import clashing, docs
+from tests.llm.cases import DOCS, clashing, docs
 from tidemark.llm import language_id, mixing
+from tidemark.llm.common import materialise
 
 
 def test_stages_keep_columns_and_handle_awkward_rows(spark, tmp_path):
@@ -56,3 +60,37 @@ def test_each_stage_matches_brute_force(spark, sf_dir, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "mixing"]
     again = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.select(again.columns).collect()))
+
+
+def near_copies(rng, local, groups=25):
+    """Documents in prose with sentences of many lengths, and copies of them in which a twelfth of the words in one stretch, or a word in thirty anywhere, is another."""
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for g in range(groups):
+        base = [" ".join(word() for _ in range(rng.randint(6, 24))).capitalize() + rng.choice(". .. ,".split() + [".", "."]) for _ in range(rng.randint(8, 30))]
+        rows.append((g * 10, " ".join(base)))
+        for k in range(1, rng.randint(2, 5)):
+            words = " ".join(base).split(" ")
+            n = len(words) // 12
+            at = rng.randrange(len(words) - n)
+            for i in range(at, at + n) if local else [rng.randrange(len(words)) for _ in range(max(1, len(words) // 30))]:
+                words[i] = word()
+            rows.append((g * 10 + k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("local", "least"), [(True, 0.9), (False, 0.45)])
+def test_what_near_copies_share_is_gone_after_lines_and_copies(spark, local, least):
+    """The order of stages cuts shared passages before near copies are sought; both together must take what copies repeat."""
+    rows = near_copies(random.Random(77), local)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    after = stages["near_dedup"](spark, materialise(stages["line_dedup"](spark, docs, ""), "cut"), "").collect()
+    pieces = lambda text: {tuple(w[i : i + 5]) for w in [text.lower().split()] for i in range(len(w) - 4)}
+    first = {k: pieces(t) for k, t in rows if k % 10 == 0}
+    kept = {r.doc_id: pieces(r.text) for r in after}
+    repeated = sum(len(pieces(t) & first[k - k % 10]) for k, t in rows if k % 10)
+    left = sum(len(kept.get(k, set()) & first[k - k % 10]) for k, _ in rows if k % 10)
+    assert all(kept[k] == first[k] for k in first)  # the first of each group is untouched
+    print("share of what copies repeat that is gone:", 1 - left / repeated, "copies gone whole:", sum(k % 10 > 0 and k not in kept for k, _ in rows), "of", sum(k % 10 > 0 for k, _ in rows))
+    assert 1 - left / repeated >= least

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -95,3 +98,45 @@ def test_awkward_rows(spark, model):
     long = "A1b" * 200_000
     (one,) = S.scan_secrets(docs(spark, [(1, long, None, None, 1)]).withColumn("path", F.lit("")), model).collect()
     assert (one.start, one.end) == (0, 600_000)
+
+
+def word(k):
+    return "".join("abcdefgh"[(k >> s) & 7] for s in (0, 3, 6)) + "zz"
+
+
+def test_the_dictionary_is_filled_up_to_its_size(spark):
+    often = [(k, f"{word(k)} {word(k)}") for k in range(512)]  # all equally frequent
+    df = spark.createDataFrame(often, "doc_id long, text string")
+    learned = set(S.learn_lexicon(df, 500).words) - set(S.ORDINARY + S.NAMING)
+    assert learned == set(sorted(word(k) for k in range(512))[:500])
+    more = df.unionByName(spark.createDataFrame([(k, "frequent " * 9) for k in range(3)] + [(9, None), (10, "")], "doc_id long, text string"))
+    learned = set(S.learn_lexicon(more, 11).words) - set(S.ORDINARY + S.NAMING)
+    assert learned == {"frequent", *sorted(word(k) for k in range(512))[:10]}
+    assert S.learn_lexicon(df.where("false")) is S.fixed_lexicon()
+
+
+def test_every_feature_by_plain_loops():
+    rng = random.Random(3)
+    lexicon = S.lexicon_of(["harbour", "bridge", "har"])
+    texts = [S.made_finding(rng)[0] for _ in range(300)] + ['id: "0641917e-a4e9-feb9-cda8-3477b57ac265" x', "sha256 ABCDEF0123456789abcdef", "token=>harbourbridge99 example"]
+    for text in texts:
+        for start, end, kind in S.candidates_in(text):
+            own = text[start:end]
+            got = dict(zip(S.FEATURES, S.features(text, start, end, kind, "src/Test/x.py", lexicon), strict=True))
+            kinds = ["0" if c in "0123456789" else "a" if c.islower() else "A" if c.isupper() else "-" for c in own]
+            words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[\w-]+", text)]
+            before, after = [w for _, e, w in words if e <= start][-3:], [w for b, _, w in words if b >= end][:3]
+            covered, at = 0, 0
+            while at < len(own):
+                size = max((len(w) for w in lexicon.words if len(w) > 1 and own.lower().startswith(w, at) and own[at].lower() in "abcdefghijklmnopqrstuvwxyz"), default=0)
+                covered, at = covered + size, at + (size or 1)
+            lead = text[:start].rstrip("\"' \t\r\n")
+            want = {
+                "length": math.log2(len(own) + 1), "digits": kinds.count("0") / len(own), "uppers": kinds.count("A") / len(own), "symbols": kinds.count("-") / len(own),
+                "class_changes": sum(kinds[i] != kinds[i - 1] for i in range(1, len(own))) / max(1, len(own) - 1), "entropy": sum(-n / len(own) * math.log2(n / len(own)) for n in Counter(own).values()),
+                "dictionary": covered / len(own), "hex": float(not set(own.lower()) - set("0123456789abcdef")), "named": float(kind == "named" or bool(set(before) & set(S.NAMING))),
+                "assigned": float(lead[-1:] in ("=", ":", ">") and bool(lead)), "quoted": float(start > 0 and text[start - 1] in "\"'"), "digest_before": float(bool(set(before[-2:]) & set(S.DIGESTS))),
+                "ordinary_near": sum(w in S.ORDINARY for w in before + after) / 6, "path_test": 1.0, "prefixed": float(kind == "prefixed" or own.startswith(S.PREFIXES)), "uuid": float(bool(re.fullmatch(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", own))),
+            }
+            for name, value in want.items():
+                assert abs(got[name] - value) < 1e-9, (name, own, text)
