@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, table
 
+#: Whole public licences, each in a file of its short name, beside this module.
+WHOLE_LICENCES = Path(__file__).with_name("licences")
+
 # Equivalent spellings, replaced in this order in lower-case text.
 SPELLINGS = (
     ("https://", "http://"), ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"),
@@ -86,8 +91,17 @@ def known_digests(known: DataFrame) -> DataFrame:
     return form.where("form is not null and form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
+def whole_licences() -> list[tuple[str, str]]:
+    """(licence, text) of the files that come with this module; few and fixed, so that the driver reads them."""
+    return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(WHOLE_LICENCES.glob("*.txt"))]
+
+
 def known_in_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """licence, text of the files of a folder that every executor sees, each whole file a licence named by its file name."""
+    """licence, text of the files of a folder that every executor sees, each whole file a licence named by its file name.
+
+    Empty files are no licences; of files with equal texts the first name counts; an empty folder
+    gives no rows.
+    """
     files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt|\.md)?$", 1).alias("licence"), F.col("value").alias("text"))
     return files.where("text <> ''")
 
@@ -115,8 +129,8 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan the whole ``documents`` table for the licences of KNOWN_LICENCES."""
-    known = spark.createDataFrame(list(KNOWN_LICENCES), "licence string, text string")
+    """Scan the whole ``documents`` table for KNOWN_LICENCES, notices and short texts, and for the whole licences of the folder."""
+    known = spark.createDataFrame([*KNOWN_LICENCES, *whole_licences()], "licence string, text string")
     out = scan_licences(table(spark, sf_dir, "documents"), known)
     return out.select("doc_id", "licence", F.array_join("notices", ",").alias("notices"), "n_notices")
 
@@ -137,7 +151,7 @@ def _sql(text: str, whole: bool) -> str:
 
 
 ORACLE_SQL = f"""
-WITH k AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in KNOWN_LICENCES)}) AS v(licence, body)),
+WITH k AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in (*KNOWN_LICENCES, *whole_licences()))}) AS v(licence, body)),
 f AS (SELECT licence, {_sql("body", True)} AS form FROM k UNION ALL SELECT licence, {_sql("body", False)} FROM k),
 d AS (SELECT sha256(form) AS digest, min(licence) AS licence FROM f WHERE form <> '' GROUP BY 1),
 r AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
