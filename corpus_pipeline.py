@@ -59,8 +59,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts have no words and stay; null ids don't matter; a share of exactly a
     twentieth goes; repeated rows are judged each, and alike; an empty table or benchmark changes nothing.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=["_row"]).where(~F.col("contaminated")).select("_row.*")
+    text = F.col("text").cast("string")
+    digest = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b")).alias("_digest")
+    found = decontaminate(docs.select("text", digest), table(spark, sf_dir, "benchmark"), keep=["_digest"])
+    # What a text comes to follows from the text alone, so that only texts go through the search, and digests of those that go come back.
+    gone = materialise(found.where("contaminated").select("_digest").distinct(), "contaminated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest)
+    return rows.join(gone, "_digest", "left_anti").select("_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
