@@ -68,7 +68,13 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """The text model of ``labelled`` (doc_id, text, lang): a column for every language, from about ``sample_rows`` rows; the cells' counts are a grouped sum."""
+    """The text model of ``labelled`` (doc_id, text, lang): a column for every language, from about ``sample_rows`` rows; the cells' counts are a grouped sum.
+
+    Rows are drawn by the hash of their id, or of their text where that is null, so repeated rows are
+    drawn together and count each; of languages equally frequent the first by name comes first
+    among the MOST_LANGUAGES.  Null texts and languages take no part; an empty table gives a
+    model without languages.
+    """
     known = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.select("lang", "text", F.pmod(F.xxhash64(F.lit("language:"), F.coalesce("id", "text")), F.lit(1 << 40)).alias("_draw"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("_draw").alias("low"))
