@@ -1,6 +1,7 @@
 import json
 import random
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import markup
 from tidemark.functions.text import nfkc
 from tidemark.operators import automaton, sectors, segments
+from tidemark.plans import registry
 
 FORM = """만족도 조사
 1. 이 프로그램에 만족하십니까?
@@ -109,6 +111,14 @@ def test_page_tree_and_fields(spark):
     assert days[1] == "2024-03-05" and days[2] is None and days[4] is None
 
 
+def test_pages_are_parsed_in_portions_and_once(spark, sf_dir):
+    pages = pd.Series(["x" * 40, None, "", "y" * 200, "z"])
+    assert [list(p) for p in markup.portions(pages, 100)] == [["x" * 40, None, "", "y" * 200], ["z"]]
+    assert list(markup.portions(pages.iloc[:0], 100)) == []
+    plan = registry.QUERIES["html_fields"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 json_values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=8), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=12)
 
 

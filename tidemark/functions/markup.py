@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,13 +23,23 @@ HOLDS = {"ul", "ol", "table", "select", "dl", "div", "section", "article", "body
 
 
 class _Tree(HTMLParser):
-    """Elements of a page in order, each with its parent, its last descendant and the text directly in it."""
+    """Elements of a page in order, each with its parent, its last descendant and the text directly in it.
 
-    def __init__(self) -> None:
+    With ``as_written`` texts and attributes keep their character references.
+    """
+
+    def __init__(self, as_written: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.as_written = as_written
         self.nodes: list[dict] = []
         self.open: list[int] = []
 
+    def read(self, page: str) -> list[dict]:
+        self.feed(page.replace("&", "&amp;") if self.as_written else page)
+        self.close()
+        self.close_to(0)
+        return self.nodes
+
     def close_to(self, depth: int) -> None:
         for at in self.open[depth:]:
             self.nodes[at]["last"] = len(self.nodes) - 1
@@ -60,23 +71,38 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if self.open:
-            self.nodes[self.open[-1]]["text"] += data
+            raw = self.as_written and self.cdata_elem in self.CDATA_CONTENT_ELEMENTS
+            self.nodes[self.open[-1]]["text"] += data.replace("&amp;", "&") if raw else data
+
+
+#: So many characters of pages are trees at once in a worker, whatever a batch holds.
+PORTION = 1 << 18
+
+
+def portions(pages: pd.Series, most: int) -> Iterator[pd.Series]:
+    """A batch in parts of about ``most`` characters, one page at least."""
+    at = size = 0
+    for end, n in enumerate(pages.str.len().fillna(0), 1):
+        size += n
+        if size >= most or end == len(pages):
+            yield pages.iloc[at:end]
+            at, size = end, 0
 
 
 @F.pandas_udf(T.ArrayType(NODE))
-def page_tree(html: pd.Series) -> pd.Series:
+def page_tree(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The elements of a page, to be selected as a column before other expressions look into it.  Void elements hold nothing, what HTML lets end implicitly ends, stray end tags are passed over, what stays open ends with the page."""
+    for pages in batches:
+        for own in portions(pages, PORTION):
+            yield own.map(lambda page: None if page is None else _Tree().read(page))
 
-    def tree(page):
-        if page is None:
-            return None
-        own = _Tree()
-        own.feed(page)
-        own.close()
-        own.close_to(0)
-        return own.nodes
 
-    return html.map(tree)
+@F.pandas_udf(T.ArrayType(NODE))
+def page_tree_as_written(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``page_tree`` with character references in texts and attributes left as the page writes them."""
+    for pages in batches:
+        for own in portions(pages, PORTION):
+            yield own.map(lambda page: None if page is None else _Tree(as_written=True).read(page))
 
 
 def inner_text(nodes: Column, node: Column) -> Column:
