@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, ranges, text
 from tidemark.operators import questions, queue
+from tidemark.plans.registry import QUERIES
 from tidemark.sources import sinks
 
 T0 = dt.datetime(2026, 1, 1)
@@ -68,3 +69,12 @@ def test_csv_with_a_byte_order_mark(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([(1, 'a"b')], "n long, t string").coalesce(1), str(tmp_path / "out"), bom=True)
     (part,) = (tmp_path / "out").glob("*.csv")
     assert part.read_bytes().decode() == '\ufeffn,t\n1,"a""b"\n'
+
+
+def test_each_pattern_of_a_question_is_tried_once(spark, sf_dir):
+    text = F.col("t")
+    rows = spark.createDataFrame([("이름",), (None,)], "t string")
+    tried = lambda *columns: rows.select(*columns)._jdf.queryExecution().optimizedPlan().toString().count("담당자명")
+    assert tried(questions.detect_categories(text).alias("c")) == 1
+    assert tried(questions.full_question_level(text, F.lit(None).cast("string"), F.lit("radio"), F.lit(True)).alias("l")) == 1
+    assert QUERIES["question_categories"](spark, sf_dir).rdd.getNumPartitions() > 1

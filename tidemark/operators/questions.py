@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.rules import any_contains, first_match, pattern_names
+from tidemark.functions.rules import any_contains, bound, first_match, pattern_names
 from tidemark.functions.text import collapse_spaces
 from tidemark.operators.diagnosis import LEVEL_WORDS
 
@@ -44,19 +43,25 @@ GIVE_WAY = {"respondent_age": ("child_age_range",), "age_range": ("child_age_ran
 
 
 def detect_categories(text: Column) -> Column:
-    """The categories of a question: those whose patterns match, less the ones that give way; without a direct identifier the first kind of opinion takes their place."""
-    plain = collapse_spaces(text)
-    found = pattern_names(text, CATEGORIES)
-    gone = reduce(lambda s, kv: F.when(F.arrays_overlap(found, F.array(*[F.lit(x) for x in kv[1]])), F.array_append(s, F.lit(kv[0]))).otherwise(s), GIVE_WAY.items(), F.array().cast("array<string>"))
-    left = F.array_except(found, gone)
-    direct = F.arrays_overlap(left, F.array(*[F.lit(x) for x in DIRECT])) | plain.rlike(SOLICITED)
-    opinion = first_match([(plain.rlike(pattern), F.lit(name)) for name, pattern in OPINIONS.items()], F.when(plain.rlike(EXCLUDED) & ~plain.rlike(SOLICITED), F.lit("general_opinion")))
-    return F.when(direct | opinion.isNull(), left).otherwise(F.array(opinion))
+    """The categories of a question: those whose patterns match, less the ones that give way; without a direct identifier the first kind of opinion takes their place.
+
+    Texts, what is found and the opinion are bound, so each pattern is tried once for a row.
+    """
+    names = lambda xs: F.array(*[F.lit(x) for x in xs])
+
+    def of(text: Column, plain: Column) -> Column:
+        gone = lambda found: F.array_compact(F.array(*[F.when(F.arrays_overlap(found, names(over)), F.lit(name)) for name, over in GIVE_WAY.items()]))
+        opinion = first_match([(plain.rlike(pattern), F.lit(name)) for name, pattern in OPINIONS.items()], F.when(plain.rlike(EXCLUDED) & ~plain.rlike(SOLICITED), F.lit("general_opinion")))
+        direct = lambda left: F.arrays_overlap(left, names(DIRECT)) | plain.rlike(SOLICITED)
+        chosen = lambda left: bound(opinion, lambda o: F.when(direct(left) | o.isNull(), left).otherwise(F.array(o)))
+        return bound(pattern_names(text, CATEGORIES), lambda found: bound(F.array_except(found, gone(found)), chosen))
+
+    return bound(text, lambda t: bound(collapse_spaces(t), lambda plain: of(t, plain)))
 
 
 def level_of(categories: Column) -> Column:
     """The highest level that one of the categories has, D1 for none."""
-    return first_match([(F.arrays_overlap(categories, F.array(*[F.lit(x) for x in names])), level) for level, names in LEVELS.items()], "D1")
+    return bound(categories, lambda own: first_match([(F.arrays_overlap(own, F.array(*[F.lit(x) for x in names])), level) for level, names in LEVELS.items()], "D1"))
 
 
 def opinion_question(text: Column) -> Column:
@@ -65,13 +70,18 @@ def opinion_question(text: Column) -> Column:
 
 def full_question_level(label: Column, auxiliary: Column, kind: Column, has_personal: Column) -> Column:
     """Level of a question from its opinions, categories, files, requests and words, in that order."""
-    label, personal = F.coalesce(label, F.lit("")), F.coalesce(has_personal, F.lit(False))
-    both = F.trim(F.concat_ws(" ", label, F.coalesce(auxiliary, F.lit(""))))
-    low, found = F.lower(both), detect_categories(both)
-    excluded = collapse_spaces(label).rlike(EXCLUDED) & ~collapse_spaces(label).rlike(SOLICITED)
-    health = ~opinion_question(both) & collapse_spaces(both).rlike(HEALTH)
-    return first_match([
-        (excluded | opinion_question(both), F.lit("D1")), (F.size(found) > 0, level_of(found)), (kind.isin("file", "file_upload") & both.rlike("신분증|id|주민"), F.lit("D5")), (collapse_spaces(both).rlike(SOLICITED), F.lit("D3")),
-        (any_contains(low, LEVEL_WORDS["D5"]), F.lit("D5")), (health | any_contains(low, LEVEL_WORDS["D4"]), F.lit("D4")), (any_contains(low, LEVEL_WORDS["D3"]), F.lit("D3")), (any_contains(low, LEVEL_WORDS["D2"]), F.lit("D2")),
-        (kind.isin("long_text", "short_text") & ~personal, F.lit("D1")), (personal, F.lit("D2")),
-    ], F.lit("D1"))
+    personal = F.coalesce(has_personal, F.lit(False))
+
+    def of(label: Column, both: Column, plain: Column, found: Column) -> Column:
+        low, own = F.lower(both), collapse_spaces(label)
+        excluded = own.rlike(EXCLUDED) & ~own.rlike(SOLICITED)
+        opinion = plain.rlike("|".join(OPINIONS.values()))
+        health = ~opinion & plain.rlike(HEALTH)
+        return first_match([
+            (excluded | opinion, F.lit("D1")), (F.size(found) > 0, level_of(found)), (kind.isin("file", "file_upload") & both.rlike("신분증|id|주민"), F.lit("D5")), (plain.rlike(SOLICITED), F.lit("D3")),
+            (any_contains(low, LEVEL_WORDS["D5"]), F.lit("D5")), (health | any_contains(low, LEVEL_WORDS["D4"]), F.lit("D4")), (any_contains(low, LEVEL_WORDS["D3"]), F.lit("D3")), (any_contains(low, LEVEL_WORDS["D2"]), F.lit("D2")),
+            (kind.isin("long_text", "short_text") & ~personal, F.lit("D1")), (personal, F.lit("D2")),
+        ], F.lit("D1"))
+
+    with_both = lambda l: F.trim(F.concat_ws(" ", l, F.coalesce(auxiliary, F.lit(""))))
+    return bound(F.coalesce(label, F.lit("")), lambda l: bound(with_both(l), lambda both: bound(collapse_spaces(both), lambda plain: bound(detect_categories(both), lambda found: of(l, both, plain, found)))))

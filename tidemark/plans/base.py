@@ -25,3 +25,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt anew to all cores: a small file in one piece would keep what is heavy for each row in one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)

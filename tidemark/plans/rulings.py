@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, forms, text, urls
 from tidemark.operators import cases as case_rules
 from tidemark.operators import collecting, diagnosis, freshness, notices, obligations, outcomes, quality, questions
-from tidemark.plans.base import query, table
+from tidemark.plans.base import query, spread, table
 
 
 def chosen(column: str, values: Mapping[str, str | None], default: str | None = None) -> str:
@@ -116,7 +116,7 @@ SELECT id, array_to_string(got, ',') AS categories, CASE WHEN (regexp_matches(la
   WHEN list_has_any(got, ['gender', 'age_range', 'residence_area']) THEN 'D2' WHEN len(got) > 0 THEN 'D1' WHEN asked THEN 'D3' WHEN kind IN ('long_text', 'short_text') AND NOT personal THEN 'D1' WHEN personal THEN 'D2' ELSE 'D1' END AS level FROM g""")
 def question_categories(spark: SparkSession, d: str) -> DataFrame:
     """What questions made of part names ask for, and how much that risks."""
-    rows = given(spark, d, "part", "p_partkey", QUESTIONS)
+    rows = spread(given(spark, d, "part", "p_partkey", QUESTIONS))
     none = F.lit(None).cast("string")
     return rows.select("id", F.array_join(questions.detect_categories(F.col("label")), ",").alias("categories"), questions.full_question_level(F.col("label"), none, F.col("kind"), F.col("personal")).alias("level"))
 
