@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tidemark.plans import base
 from tidemark.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,3 +43,12 @@ def test_query(spark, sf_dir, oracle, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert rows_of(got.columns, rows) == rows_of(columns, want.fetchall())
+
+
+def test_many_lines_are_dealt_by_their_number(spark, sf_dir, oracle, monkeypatch):
+    monkeypatch.setattr(base, "ROWS_A_TASK", 400)
+    got = QUERIES["evidence_by_three_keys"](spark, sf_dir)
+    want = oracle.execute(ORACLES["evidence_by_three_keys"]).fetchall()
+    assert sorted(map(tuple, got.select("id", "n").collect())) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("REPARTITION_BY_NUM") >= 4  # three ways and the pieces; no more lines in a task as they grow
