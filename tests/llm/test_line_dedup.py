@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tests.llm.cases import clashing, docs
 from tidemark.llm import line_dedup
 
@@ -188,3 +190,23 @@ def test_hot_fingerprints_and_shuffled_joins_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "MOST_BROADCAST_BYTES", 0)
     assert {k: (r.text, r.n_cut) for k, r in run(spark, rows).items()} == want
     assert sum(n == 3 for _, n in want.values()) == 39
+
+
+def test_windows_of_texts_are_those_of_plain_loops():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(("a b c. ", "dd, ", "x\n", "\t\n", "e f  g; ", "h" * 9 + "\n\n")) for _ in range(rng.randrange(12))) for _ in range(50)] + ["a\0b. c d e f", "q. " * 7]
+    got = {r["_id"]: r for r in line_dedup.windows_of(pa.array(range(52)), pa.array(range(52)), [x.encode() for x in texts], 4).to_pylist()}
+    seen = {}
+    for k, text in enumerate(texts):
+        own = [(i, x) for i, x in enumerate(b.decode() for b in line_dedup.bare_lines(text.encode())) if x]
+        ends = [next((e for e in range(i + 1, len(own) + 1) if sum(x.count(" ") + 1 for _, x in own[i:e]) >= 4), None) for i in range(len(own))]
+        ns = [e - i for i, e in enumerate(ends) if e]
+        assert (k in got) == bool(ns)
+        if ns:
+            assert got[k]["ns"] == ns and got[k]["nexts"] == [*ns[1:], None] and got[k]["places"] == [i for i, _ in own]
+            for i, n in enumerate(ns):  # equal windows, and no others, have equal fingerprints, keys and places of them
+                run_of = tuple(x for _, x in own[i : i + n])
+                told = tuple(got[k][c][i] for c in ("fingerprints", "keys", "offs"))
+                assert seen.setdefault(run_of, told) == told
+                assert max(x.count(" ") for x in run_of) == run_of[told[2]].count(" ")
+    assert len({f for f, *_ in seen.values()}) == len(seen)

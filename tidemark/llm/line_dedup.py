@@ -1,17 +1,20 @@
-"""Repeated passages by winnowing over line hashes (DataFrame functions only): window minima, joined positions, matches extended both ways."""
+"""Repeated passages by winnowing over line hashes: window minima (Arrow), joined positions, matches extended both ways (DataFrame functions)."""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rules import first_match
-from tidemark.llm.common import NULL_ID, drop_scratch, materialise, table
+from tidemark.llm.common import NULL_ID, binary_texts, drop_scratch, materialise, table, whole_batches
 
-#: Runs of fewer words stay.  Most runs reach them in so many lines, which compiled expressions add up.
-MIN_RUN_WORDS, FEW_LINES = 25, 8
+#: Runs of fewer words stay.  A task looks at whole documents of about so many bytes at once.
+MIN_RUN_WORDS, BYTES_AT_ONCE = 25, 4 << 20
 #: A line's key: so many bits of its hash below up to MOST_WORDS less its words, so that the least key of a window is a long line's.
 KEY_BITS, MOST_WORDS = 56, 127
 #: Bytes of keys of documents, and of cut intervals, that may be broadcast; more are joined by shuffling the other side.
@@ -23,10 +26,13 @@ LEAST_HOT, MOST_HOT = 200, 20_000
 #: are among them, so that a passage that follows words without a full stop falls in step again within a sentence.
 MARKS = ".!?,;:"
 LINE_ENDS = rf"(?<=\n)(?!\n)|(?<=[{MARKS}]\x20)(?![\x20\n])"
-BREAK, BLANKS = "\0", "\t\r\x0b\f"
+BREAK, TO_SPACES = "\0", bytes.maketrans(b"\t\r\x0b\f\n", b" " * 5)
 #: What stands between the same lines without what ends them but for the mark: line feeds, or the space behind a mark.
 GAPS = rf"\n+|\x20(?<=[{MARKS}]\x20)(?![\x20\n])"
 DOC = ["_id", "_mark"]
+#: A document's lines with words, and its windows from the first line on; an odd number mixes the hashes of a window's lines.
+WINDOWS = "_id long, _mark long, hashes array<long>, places array<int>, fingerprints array<long>, keys array<long>, offs array<int>, ns array<int>, nexts array<int>"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def put(text: Column, old: str, new: str) -> Column:
@@ -40,13 +46,6 @@ def marked(text: Column) -> Column:
     return put(put(put(text, f"{BREAK} ", " "), "\n", f"\n{BREAK}"), f"{BREAK}\n", "\n")
 
 
-def spaced(text: Column) -> Column:
-    """A text with spaces for other ASCII white space than line feeds."""
-    for blank in BLANKS:
-        text = put(text, blank, " ")
-    return text
-
-
 def lines_of(text: Column) -> Column:
     """The lines of a text, with what ends them, so that they join to the text again.
 
@@ -72,71 +71,92 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_mark", F.xxhash64(text))
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """_id, _mark and, of each line with words: hash, without regard to case, outer white space and the kind of inner, words (by single white space), number and key."""
-    full = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
-    parts = F.split(F.lower("text"), GAPS)  # a last empty part has no words
-    odd = reduce(lambda s, c: s | F.contains("text", F.lit(c)), BLANKS[1:], F.contains("text", F.lit(BLANKS[0])))
-    bare = F.when(odd, F.transform(parts, lambda x: F.trim(spaced(x)))).otherwise(F.transform(parts, lambda x: F.trim(x)))
-    described = lambda x, i: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), i.alias("place"))
-    rows = with_key(full).select(*DOC, F.filter(F.transform(bare, described), lambda x: x["words"] > 0).alias("lines"))
-    return rows.select(*DOC, F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"), F.col("lines.place").alias("places"))
+def bare_lines(text: bytes) -> list[bytes]:
+    """The lines of a lower-case text as they are compared, as many as ``lines_of`` gives and maybe an empty one more: without outer white space, any of inner a space."""
+    if b"\0" in text:
+        parts = [x.translate(TO_SPACES) for x in re.split(GAPS.encode(), text)]
+    else:
+        for mark in MARKS.encode():
+            text = text.replace(b"%c " % mark, b"%c \0" % mark)
+        text = text.replace(b"\0 ", b" ").replace(b"\n", b"\n\0").replace(b"\0\n", b"\n")
+        parts = text.translate(TO_SPACES).split(b"\0")
+    return [x.strip(b" ") for x in parts]
 
 
-def line_key(line_hash: Column, words: Column) -> Column:
-    """What windows take the minimum of: the line with most words comes first, then the one with the least hash."""
-    return F.shiftleft(MOST_WORDS - F.least(words, F.lit(MOST_WORDS)).cast("long"), KEY_BITS) + line_hash.bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+def windows_of(ids: pa.Array, marks: pa.Array, texts: list[bytes], min_words: int) -> pa.RecordBatch:
+    """The windows of lower-case texts (WINDOWS); texts without a window are left out.
 
+    A window is the shortest run of lines from one on that has enough words.  A text's last
+    lines have none, so those with one come first.
+    """
+    parts = [bare_lines(x) for x in texts]
+    sizes = np.array([len(x) for x in parts], np.int64)
+    parts = [x for own in parts for x in own]
+    words = np.array([x.count(b" ") + 1 if x else 0 for x in parts], np.int64)
+    hashes = np.empty(len(parts), object)
+    hashes[:] = parts
+    hashes = hash_array(hashes, categorize=False)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = (np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]).astype(np.int32)
+    some = words > 0
+    doc, place, hashes, words = doc[some], place[some], hashes[some], words[some]
+    lines = np.bincount(doc, minlength=len(sizes))
+    summed = np.concatenate([[0], np.cumsum(words)])
+    end = np.searchsorted(summed, summed[:-1] + max(1, min_words))
+    at = np.flatnonzero(end <= np.cumsum(lines)[doc])
+    n, own = end[at] - at, doc[at]
+    keys = ((MOST_WORDS - np.minimum(words, MOST_WORDS)) << KEY_BITS) + (hashes & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
+    found, key, off = n.astype(np.uint64), keys[at], np.zeros(len(at), np.int32)
+    left, k = np.arange(len(at)), 0
+    while len(left):  # line k of all windows that have one
+        line = at[left] + k
+        mixed = (found[left] ^ hashes[line]) * MIX
+        found[left] = mixed ^ (mixed >> np.uint64(32))
+        less = keys[line] < key[left]
+        key[left[less]], off[left[less]] = keys[line[less]], k
+        k += 1
+        left = left[n[left] > k]
+    windows = np.bincount(own, minlength=len(sizes))
+    last = np.ones(len(n), bool)
+    last[:-1] = own[1:] != own[:-1]
+    following = pa.array(np.roll(n, -1).astype(np.int32), mask=last)
+    laid = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+    of_lines = [laid(x, lines) for x in (hashes.view(np.int64), place)]
+    of_windows = [laid(x, windows) for x in (found.view(np.int64), key, off, n.astype(np.int32), following)]
+    out = pa.RecordBatch.from_arrays([ids, marks, *of_lines, *of_windows], names=[c.split()[0] for c in WINDOWS.split(", ")])
+    return out.filter(pa.array(windows > 0))
+
+
+def document_windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """WINDOWS of each document that has one.
+
+    ``hashes`` and ``places`` tell of each line with words; ``keys`` holds the least key of each
+    window's lines, the one with most words and then the least hash, and ``offs`` its place in it;
+    ``ns`` the number of lines, and ``nexts`` that of the window from the line after it, null
+    where the text ends before.
+    """
 
-def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """fingerprint, key, off, _id, _mark, pos, n, next: for each line the window from it on, the shortest run that has enough words, of n lines.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_batches(batches, BYTES_AT_ONCE):
+            yield windows_of(batch.column(0), batch.column(1), binary_texts(batch.column(2)), min_words)
 
-    ``key`` is the least key of the window's lines and ``off`` its place in it.  ``next`` is the
-    number of lines that the window from the line after it takes, null where the text ends
-    before, and so are fingerprint and key.  Lines are exploded first, so that sums over
-    FEW_LINES are compiled code; windows of more lines, which are short ones, go on with the
-    part of the arrays that they can need.  No row is filtered here: a filter would be pushed
-    below the sums and add them up again for itself.
-    """
-    most = max(1, min_words)
-    depth = min(most, FEW_LINES)
-    rows = lines.withColumn("keys", F.zip_with("hashes", "words", line_key)).select(*DOC, "hashes", "words", "keys", F.posexplode("words").alias("pos", "_1"))
-    for k in range(2, depth + 2):
-        rows = rows.withColumn(f"_{k}", F.col(f"_{k - 1}") + F.coalesce(F.get("words", F.col("pos") + (k - 1)), F.lit(0)))
-    n = first_match([(F.col(f"_{k}") >= most, F.lit(k)) for k in range(1, depth + 2)])
-    following = first_match([(F.col(f"_{k + 1}") - F.col("_1") >= most, F.lit(k)) for k in range(1, depth + 1)])
-    more = F.size("words") > F.col("pos") + (depth + 1)
-    told = rows.select(*DOC, "hashes", "words", "keys", "pos", n.alias("_n"), following.alias("_next"), more.alias("_more"))
-    open_ = (F.col("_n").isNull() | F.col("_next").isNull()) & F.col("_more")
-    part = lambda c, n: F.slice(c, F.col("pos") + 1, n)
-    told = told.select(
-        *DOC, "pos", "_n", "_next", F.when(F.col("_n").isNotNull(), F.xxhash64(part("hashes", F.col("_n")))).alias("_f"),
-        F.when(F.col("_n").isNotNull(), part("keys", F.col("_n"))).alias("_q"),
-        F.when(open_, part("words", most + 1)).alias("_w"), F.when(open_, part("hashes", most)).alias("_h"), F.when(open_, part("keys", most)).alias("_p"),
-    )
-    step = most + 1  # a sum holds the words above and the number of lines below it
-    added = lambda s, w: F.when(s >= most * step, s).otherwise(s + w.cast("long") * step + 1)
-    summed = lambda at: F.aggregate(F.slice("_w", at + 1, most), F.lit(0).cast("long"), added, lambda s: F.when(s >= most * step, (s % step).cast("int")))
-    told = told.select(*DOC, "pos", "_f", "_q", "_h", "_p", F.coalesce("_n", summed(0)).alias("n"), F.coalesce("_next", summed(1)).alias("next"))
-    told = told.select(
-        *DOC, "pos", "n", "next", F.coalesce("_f", F.when(F.col("n").isNotNull(), F.xxhash64(F.slice("_h", 1, F.col("n"))))).alias("fingerprint"),
-        F.coalesce("_q", F.when(F.col("n").isNotNull(), F.slice("_p", 1, F.col("n")))).alias("_q"),
-    )
-    told = told.withColumn("key", F.array_min("_q"))
-    return told.select("fingerprint", "key", (F.array_position("_q", F.col("key")) - 1).cast("int").alias("off"), *DOC, "pos", "n", "next")
+    full = with_key(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''"))
+    return full.select(*DOC, F.lower("text").alias("text")).mapInArrow(run, WINDOWS)
 
 
 def with_partners(windows: DataFrame) -> DataFrame:
-    """The windows whose selected line, their minimum, is selected in another place as well: fingerprints matched.
+    """fingerprint, _id, _mark, pos, n, next of the windows whose selected line, their minimum, is selected in another place as well: fingerprints matched.
 
     Equal windows select lines at equal places in them, so no repeated one is lost.  Each key is
     reduced to its least and greatest place where it stands before anything is shuffled.
     """
-    place = F.xxhash64(*DOC, F.col("pos") + F.col("off"))
-    several = windows.groupBy("key").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("key")
+    each = lambda *names: windows.select(*DOC, F.posexplode(F.arrays_zip(*names)).alias("pos", "_w"))
+    place = F.xxhash64(*DOC, F.col("pos") + F.col("_w.offs"))
+    several = each("keys", "offs").select(F.col("_w.keys").alias("key"), place.alias("_p")).groupBy("key").agg(F.min("_p").alias("_a"), F.max("_p").alias("_b")).where("_a <> _b").select("key")
     several = materialise(several, "line-selected")
     few = several.count() * SELECTED_BYTES <= MOST_BROADCAST_BYTES
-    out = windows.join(F.broadcast(several) if few else several, "key", "left_semi")
+    told = each("keys", "fingerprints", "ns", "nexts").select(F.col("_w.fingerprints").alias("fingerprint"), F.col("_w.keys").alias("key"), *DOC, "pos", F.col("_w.ns").alias("n"), F.col("_w.nexts").alias("next"))
+    out = told.join(F.broadcast(several) if few else several, "key", "left_semi")
     return out.select("fingerprint", *DOC, "pos", "n", "next")
 
 
@@ -158,18 +178,6 @@ def later(rows: DataFrame, at: str, name: str) -> DataFrame:
     return out
 
 
-def repeated_windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """_id, _mark, pos, n, next, later: the windows that stand in several places.
-
-    Winnowing brings windows together by their selected lines; such a match is then extended
-    back to the window's first line and on to its last, by the hash of all of it.
-    """
-    windows = materialise(shortest_windows(lines, min_words), "line-windows").where("fingerprint is not null")
-    out = later(with_partners(windows), "pos", "line")
-    drop_scratch(windows)
-    return out
-
-
 def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     """_id, _mark and the disjoint intervals of lines [from, to) that repeat an earlier place, of ``min_words`` words at least.
 
@@ -188,7 +196,7 @@ def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFra
     each = each.select(*DOC, "hashes", "places", "s", F.explode(F.sequence(end, F.greatest(end, last))).alias("to"))
     fingerprint = F.when(to > end, F.xxhash64(F.slice("hashes", pos + 1, to - pos)))
     laid = each.select(*DOC, fingerprint.alias("fingerprint"), F.get("places", pos).alias("from"), (F.get("places", to - 1) + 1).alias("to"), F.col("s.later").alias("later"))
-    laid = materialise(laid, "line-windows")
+    laid = materialise(laid, "line-laid")
     longer = later(laid.where("fingerprint is not null").drop("later"), "from", "line-longer")
     intervals = laid.where("fingerprint is null").drop("fingerprint").unionByName(longer).where("later").select(*DOC, "from", "to").distinct()
     order = Window.partitionBy(*DOC).orderBy("from", "to")
@@ -211,8 +219,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     each; an empty table gives no rows; columns named like a new one are replaced.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_cut", "runs", *DOC)])
-    lines = materialise(hashed_lines(docs), "line-hashes")
-    found = repeated_windows(lines, min_words)
+    lines = materialise(document_windows(docs, min_words), "line-windows")
+    # Winnowing brings windows together by their selected lines; such a match is then extended back
+    # to the window's first line and on to its last, by the hash of all of it.
+    found = later(with_partners(lines), "pos", "line")
     runs = materialise(repeated_runs(found, lines, min_words), "line-runs")
     drop_scratch(lines, found)
     few = (runs.agg(F.sum(F.size("runs") * RUN_BYTES + KEY_BYTES)).first()[0] or 0) <= MOST_BROADCAST_BYTES
