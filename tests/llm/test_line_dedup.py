@@ -210,3 +210,57 @@ def test_windows_of_texts_are_those_of_plain_loops():
                 assert seen.setdefault(run_of, told) == told
                 assert max(x.count(" ") for x in run_of) == run_of[told[2]].count(" ")
     assert len({f for f, *_ in seen.values()}) == len(seen)
+
+
+def test_no_python_runs_on_executors(spark, monkeypatch):
+    plans, write = [], line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: plans.append(df) or write(df, name))
+    rng = random.Random(4)
+    shared = passage(rng)
+    rows = spark.createDataFrame([(k, f"{passage(rng, 1)}\n{shared}", "a") for k in range(3)], "doc_id long, text string, lang string")
+    plans.append(line_dedup.keep_first_passages(spark.createDataFrame(rows.toPandas())))
+    told = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert len(told) > 3 and not [x for x in told if re.search("Arrow|Pandas|Python(?!RDD)|BatchEval", x)]
+
+
+def short_lines(rng, n):
+    words = lambda k: " ".join(rng.choice(("ab", "cd", "ef")) for _ in range(k))
+    return "".join(words(rng.choice((1, 1, 1, 1, 2, 3, 24))) + rng.choice((". ", "\n", ", ", "\n \n")) for _ in range(n))
+
+
+def test_windows_are_those_of_texts_in_hand(spark):
+    rng = random.Random(17)
+    texts = [short_lines(rng, rng.randrange(1, 45)) for _ in range(60)] + ["a.\n" * 40, "a.\n" * 24, "a b. " * 13, "x " * 30]
+    for most in (1, 4, 25, 40):
+        want = {r["_id"]: r for r in line_dedup.windows_of(pa.array(range(len(texts))), pa.array(range(len(texts))), [x.encode() for x in texts], most).to_pylist()}
+        lines = line_dedup.hashed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        places = {r["_id"]: r.places or list(range(len(r.hashes))) for r in lines.collect()}
+        got = {(r["_id"], r.pos): r for r in line_dedup.shortest_windows(lines, most).where("n is not null").collect()}
+        assert {(k, i): n for k, r in want.items() for i, n in enumerate(r["ns"])} == {at: r.n for at, r in got.items()}
+        selected, told = {}, {}
+        for k, r in want.items():
+            own = [x for x in line_dedup.bare_lines(texts[k].encode()) if x]
+            assert places[k] == r["places"]
+            for i, (n, following) in enumerate(zip(r["ns"], r["nexts"])):
+                w = got[k, i]
+                assert n + w.several - 1 == max(n, len(own) - i if following is None else following)
+                assert 0 <= w.off < n and selected.setdefault(tuple(own[i : i + n]), (w.key, w.off)) == (w.key, w.off)
+                for j in range(w.several):
+                    run_of, f = tuple(own[i : i + n + j]), w.hashed[w["at"] - 1 + j]
+                    assert told.setdefault(run_of, f) == f
+        assert len(set(told.values())) == len(told)
+
+
+def test_runs_of_short_lines_go_as_by_brute_force(spark):
+    rng = random.Random(23)
+    rows = [(k, short_lines(rng, rng.randrange(40))) for k in range(30)]
+    for k in range(30, 60):  # parts of earlier texts, at the end or before other lines
+        a = rng.choice(rows)[1]
+        at = rng.randrange(len(a) + 1)
+        rows.append((k, short_lines(rng, 3) + a[at : at + rng.randrange(400)] + (short_lines(rng, 12) if rng.random() < 0.5 else "")))
+    want, several = brute(rows), 0
+    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        parts, cut = want.get((r.doc_id, rows[r.doc_id][1]), ([], set()))
+        assert cut_of(r) == cut and r.n_lines == len(parts) and (r.text or "") == "".join(x for i, x in enumerate(parts) if i not in cut), r.doc_id
+        several += bool(cut)
+    assert several > 5

@@ -1,20 +1,18 @@
-"""Repeated passages by winnowing over line hashes: window minima (Arrow), joined positions, matches extended both ways (DataFrame functions)."""
+"""Repeated passages by winnowing over line hashes (DataFrame functions only): window minima, joined positions, matches extended both ways."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pandas.util import hash_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, binary_texts, drop_scratch, materialise, table, whole_batches
+from tidemark.functions.rules import first_match
+from tidemark.llm.common import NULL_ID, drop_scratch, materialise, table
+from tidemark.llm.plain_windows import bare_lines, windows_of  # noqa: F401  for tests alone
 
-#: Runs of fewer words stay.  A task looks at whole documents of about so many bytes at once.
-MIN_RUN_WORDS, BYTES_AT_ONCE = 25, 4 << 20
+#: Runs of fewer words stay.  Compiled expressions follow a run over so many lines, and over one more; what goes on longer, of short lines, is rare.
+MIN_RUN_WORDS, FEW_LINES = 25, 8
 #: A line's key: so many bits of its hash below up to MOST_WORDS less its words, so that the least key of a window is a long line's.
 KEY_BITS, MOST_WORDS = 56, 127
 #: Bytes of keys of documents, and of cut intervals, that may be broadcast; more are joined by shuffling the other side.
@@ -26,43 +24,37 @@ LEAST_HOT, MOST_HOT = 200, 20_000
 #: are among them, so that a passage that follows words without a full stop falls in step again within a sentence.
 MARKS = ".!?,;:"
 LINE_ENDS = rf"(?<=\n)(?!\n)|(?<=[{MARKS}]\x20)(?![\x20\n])"
-BREAK, TO_SPACES = "\0", bytes.maketrans(b"\t\r\x0b\f\n", b" " * 5)
-#: What stands between the same lines without what ends them but for the mark: line feeds, or the space behind a mark.
-GAPS = rf"\n+|\x20(?<=[{MARKS}]\x20)(?![\x20\n])"
+#: The same ends with what stands before them, and what stands between the same lines without what ends them but for the
+#: mark: line feeds, or the space behind a mark.  Both begin with a class of characters, which a search passes over fast.
+ENDS = rf"[{MARKS}\n](?:(?<=\n)(?!\n)|\x20(?![\x20\n]))"
+GAPS = rf"[\n\x20](?:(?<=\n)\n*|(?<=[{MARKS}]\x20)(?![\x20\n]))"
+BREAK, BLANKS = "\0", "\t\r\x0b\f"
 DOC = ["_id", "_mark"]
-#: A document's lines with words, and its windows from the first line on; an odd number mixes the hashes of a window's lines.
-WINDOWS = "_id long, _mark long, hashes array<long>, places array<int>, fingerprints array<long>, keys array<long>, offs array<int>, ns array<int>, nexts array<int>"
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def put(text: Column, old: str, new: str) -> Column:
-    return F.replace(text, F.lit(old), F.lit(new))
-
-
-def marked(text: Column) -> Column:
-    """A text with BREAK behind each line's end."""
-    for mark in MARKS:
-        text = put(text, f"{mark} ", f"{mark} {BREAK}")
-    return put(put(put(text, f"{BREAK} ", " "), "\n", f"\n{BREAK}"), f"{BREAK}\n", "\n")
+def spaced(text: Column) -> Column:
+    """A text with spaces for other ASCII white space than line feeds."""
+    for blank in BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
 
 
 def lines_of(text: Column) -> Column:
     """The lines of a text, with what ends them, so that they join to the text again.
 
-    Plain replacements set a mark behind each end, which takes a small part of the time of
-    LINE_ENDS; that one serves the texts that hold the mark themselves.
+    A mark behind each end and a split by it take a small part of the time of LINE_ENDS; that
+    one serves the texts that hold the mark themselves.
     """
     text = F.coalesce(text, F.lit(""))
-    return F.array_remove(F.when(F.contains(text, F.lit(BREAK)), F.split(text, LINE_ENDS)).otherwise(F.split(marked(text), BREAK)), "")
+    marked = F.regexp_replace(text, ENDS, f"$0{BREAK}")
+    return F.array_remove(F.when(F.contains(text, F.lit(BREAK)), F.split(text, LINE_ENDS)).otherwise(F.split(marked, BREAK)), "")
 
 
 def number_of_lines(text: Column) -> Column:
-    """How many lines ``lines_of`` gives, without splitting where the mark can be counted."""
+    """How many lines ``lines_of`` gives, without splitting: the ends, and one more where words follow the last."""
     text = F.coalesce(text, F.lit(""))
-    # The length goes in beside the marked text: a name in the lambda could mean another column of the same select.
-    counted = lambda x: F.octet_length(x["m"]) - x["n"] + F.when((x["m"] == "") | F.endswith(x["m"], F.lit(BREAK)), 0).otherwise(1)
-    common = F.get(F.transform(F.array(F.struct(marked(text).alias("m"), F.octet_length(text).alias("n"))), counted), 0)  # marked once
-    return F.when(F.contains(text, F.lit(BREAK)), F.size(lines_of(text))).otherwise(common).cast("long")
+    ended = reduce(lambda s, end: s | F.endswith(text, F.lit(end)), ["\n", *[f"{mark} " for mark in MARKS]], text == "")
+    return (F.regexp_count(text, F.lit(ENDS)) + F.when(ended, 0).otherwise(1)).cast("long")
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -71,139 +63,129 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_mark", F.xxhash64(text))
 
 
-def bare_lines(text: bytes) -> list[bytes]:
-    """The lines of a lower-case text as they are compared, as many as ``lines_of`` gives and maybe an empty one more: without outer white space, any of inner a space."""
-    if b"\0" in text:
-        parts = [x.translate(TO_SPACES) for x in re.split(GAPS.encode(), text)]
-    else:
-        for mark in MARKS.encode():
-            text = text.replace(b"%c " % mark, b"%c \0" % mark)
-        text = text.replace(b"\0 ", b" ").replace(b"\n", b"\n\0").replace(b"\0\n", b"\n")
-        parts = text.translate(TO_SPACES).split(b"\0")
-    return [x.strip(b" ") for x in parts]
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """_id, _mark and, of each line with words: hashes, without regard to case, outer white space and the kind of inner, and words (by single white space).
 
+    ``places`` holds the lines' numbers where lines without words stand between them; else it is
+    null, and their places are their numbers.
+    """
+    full = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
+    parts = F.split(F.lower("text"), GAPS)
+    odd = reduce(lambda s, c: s | F.contains("text", F.lit(c)), BLANKS[1:], F.contains("text", F.lit(BLANKS[0])))
+    bare = F.when(odd, F.transform(parts, lambda x: F.trim(spaced(x)))).otherwise(F.transform(parts, lambda x: F.trim(x)))
+    rows = with_key(full).select(*DOC, bare.alias("_bare")).withColumn("_gap", F.array_position("_bare", F.lit("")))
+    places = F.filter(F.transform("_bare", lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+    rows = rows.select(
+        *DOC, F.when(F.col("_gap") > 0, F.array_remove("_bare", "")).otherwise(F.col("_bare")).alias("_lines"),
+        F.when((F.col("_gap") > 0) & (F.col("_gap") < F.size("_bare")), places).alias("places"),
+    )
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    return rows.select(*DOC, F.transform("_lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("_lines", lambda x: spaces(x) + 1).alias("words"), "places")
 
-def windows_of(ids: pa.Array, marks: pa.Array, texts: list[bytes], min_words: int) -> pa.RecordBatch:
-    """The windows of lower-case texts (WINDOWS); texts without a window are left out.
 
-    A window is the shortest run of lines from one on that has enough words.  A text's last
-    lines have none, so those with one come first.
-    """
-    parts = [bare_lines(x) for x in texts]
-    sizes = np.array([len(x) for x in parts], np.int64)
-    parts = [x for own in parts for x in own]
-    words = np.array([x.count(b" ") + 1 if x else 0 for x in parts], np.int64)
-    hashes = np.empty(len(parts), object)
-    hashes[:] = parts
-    hashes = hash_array(hashes, categorize=False)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    place = (np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]).astype(np.int32)
-    some = words > 0
-    doc, place, hashes, words = doc[some], place[some], hashes[some], words[some]
-    lines = np.bincount(doc, minlength=len(sizes))
-    summed = np.concatenate([[0], np.cumsum(words)])
-    end = np.searchsorted(summed, summed[:-1] + max(1, min_words))
-    at = np.flatnonzero(end <= np.cumsum(lines)[doc])
-    n, own = end[at] - at, doc[at]
-    keys = ((MOST_WORDS - np.minimum(words, MOST_WORDS)) << KEY_BITS) + (hashes & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
-    found, key, off = n.astype(np.uint64), keys[at], np.zeros(len(at), np.int32)
-    left, k = np.arange(len(at)), 0
-    while len(left):  # line k of all windows that have one
-        line = at[left] + k
-        mixed = (found[left] ^ hashes[line]) * MIX
-        found[left] = mixed ^ (mixed >> np.uint64(32))
-        less = keys[line] < key[left]
-        key[left[less]], off[left[less]] = keys[line[less]], k
-        k += 1
-        left = left[n[left] > k]
-    windows = np.bincount(own, minlength=len(sizes))
-    last = np.ones(len(n), bool)
-    last[:-1] = own[1:] != own[:-1]
-    following = pa.array(np.roll(n, -1).astype(np.int32), mask=last)
-    laid = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
-    of_lines = [laid(x, lines) for x in (hashes.view(np.int64), place)]
-    of_windows = [laid(x, windows) for x in (found.view(np.int64), key, off, n.astype(np.int32), following)]
-    out = pa.RecordBatch.from_arrays([ids, marks, *of_lines, *of_windows], names=[c.split()[0] for c in WINDOWS.split(", ")])
-    return out.filter(pa.array(windows > 0))
-
-
-def document_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """WINDOWS of each document that has one.
-
-    ``hashes`` and ``places`` tell of each line with words; ``keys`` holds the least key of each
-    window's lines, the one with most words and then the least hash, and ``offs`` its place in it;
-    ``ns`` the number of lines, and ``nexts`` that of the window from the line after it, null
-    where the text ends before.
-    """
+def line_key(line_hash: Column, words: Column) -> Column:
+    """What windows take the minimum of: the line with most words comes first, then the one with the least hash."""
+    return F.shiftleft(MOST_WORDS - F.least(words, F.lit(MOST_WORDS)).cast("long"), KEY_BITS) + line_hash.bitwiseAND(F.lit((1 << KEY_BITS) - 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_batches(batches, BYTES_AT_ONCE):
-            yield windows_of(batch.column(0), batch.column(1), binary_texts(batch.column(2)), min_words)
 
-    full = with_key(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''"))
-    return full.select(*DOC, F.lower("text").alias("text")).mapInArrow(run, WINDOWS)
+def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """_id, _mark, pos, places, key, off, n, hashed, at, several: for each line the window from it on, the shortest run that has enough words, of n lines.
+
+    ``key`` is the least key of the window's lines, and ``off`` its place in it.  From ``at`` on,
+    ``hashed`` holds the fingerprints of the window and of each run that is longer by one line more
+    and has too few words without its first: a window and what it is extended to, line by line;
+    ``several`` is their number.  Lines without a window have a key of -1 and nulls.
+
+    Lines are exploded with the arrays, which compiled expressions read where they are; runs
+    that go on beyond FEW_LINES and one are left to slices, taken behind a filter.  There is no
+    other filter, since it would be pushed below the sums and add them up again for itself.
+    """
+    most, few = max(1, min_words), FEW_LINES + 1
+    rows = lines.select(*DOC, "hashes", "words", "places", F.size("words").alias("_size"), F.posexplode("words").alias("pos", "_w1"))
+    line = lambda c, k: F.get(c, F.col("pos") + (k - 1))
+    rows = rows.withColumn("_s1", F.col("_w1"))
+    for k in range(2, few + 1):  # null past the text's end
+        rows = rows.withColumn(f"_s{k}", F.col(f"_s{k - 1}") + line("words", k))
+    goes_on = F.coalesce(F.col(f"_s{few}") - F.col("_w1") < most, F.lit(False)) & (F.col("_size") > F.col("pos") + few)
+    short = rows.select(
+        *DOC, "hashes", "words", "places", "pos", F.when(~goes_on, first_match([(F.col(f"_s{k}") >= most, F.lit(k)) for k in range(1, few + 1)])).alias("n"),
+        F.coalesce(first_match([(F.col(f"_s{k + 1}") - F.col("_w1") >= most, F.lit(k)) for k in range(1, few)]), F.least(F.col("_size") - F.col("pos"), F.lit(few))).alias("_last"),
+    )
+    short = short.select("*", *[line("hashes", k).alias(f"_x{k}") for k in range(1, few + 1)])
+    short = short.select("*", *[line_key(F.col(f"_x{k}"), line("words", k)).alias(f"_k{k}") for k in range(1, few + 1)], F.col("_x1").alias("_h1"))
+    for k in range(2, few + 1):
+        short = short.withColumn(f"_h{k}", F.xxhash64(f"_h{k - 1}", f"_x{k}"))
+    inside = [F.when(F.col("n") >= k, F.col(f"_k{k}")) for k in range(1, few + 1)]
+    short = short.withColumn("key", F.coalesce(F.least(*inside), F.lit(-1).cast("long")))
+    off = first_match([(F.col(f"_k{k}") == F.col("key"), F.lit(k - 1)) for k in range(1, few + 1)])
+    several = F.greatest(F.col("_last") - F.col("n"), F.lit(0)) + 1
+    short = short.select(*DOC, "pos", "places", "key", off.alias("off"), "n", F.array(*[f"_h{k}" for k in range(1, few + 1)]).alias("hashed"), F.col("n").alias("at"), several.alias("several"))
+    # Runs of many short lines, of ``most`` lines and one at most, from slices; what a run of so many lines is told by hangs on its lines alone.
+    part = lambda c: F.slice(c, F.col("pos") + 1, most + 1).alias(c)
+    long = rows.where(goes_on).select(*DOC, "pos", "places", part("hashes"), part("words"))
+    step = most + 2  # a sum holds the words above and the number of lines below it
+    added = lambda s, w: F.when(s >= most * step, s).otherwise(s + w.cast("long") * step + 1)
+    summed = lambda words: F.aggregate(words, F.lit(0).cast("long"), added, lambda s: F.when(s >= most * step, (s % step).cast("int")))
+    reached = lambda words: F.when(F.array_max(words) == 1, F.when(F.size(words) >= most, most)).otherwise(summed(words))
+    long = long.select("*", reached(F.col("words")).alias("n"), F.coalesce(reached(F.slice("words", 2, most)), F.size("words")).alias("_last"))
+    keys = F.when(F.col("n") > few, F.slice("hashes", 1, F.col("n"))).otherwise(F.zip_with(F.slice("hashes", 1, F.col("n")), F.slice("words", 1, F.col("n")), line_key))
+    long = long.withColumn("_keys", keys).withColumn("key", F.coalesce(F.array_min("_keys"), F.lit(-1).cast("long")))
+    chain = lambda k: F.aggregate(F.slice("hashes", 2, k - 1), F.get("hashes", F.lit(0)), lambda s, x: F.xxhash64(s, x))
+    run = lambda k: F.when(k > few, F.xxhash64(F.slice("hashes", 1, k))).otherwise(chain(k))
+    long = long.select(
+        *DOC, "pos", "places", "key", (F.array_position("_keys", F.col("key")) - 1).cast("int").alias("off"), "n",
+        F.transform(F.sequence("n", F.greatest("n", "_last")), run).alias("hashed"), F.when(F.col("n").isNotNull(), 1).alias("at"), several.alias("several"),
+    )
+    return short.unionByName(long)
 
 
 def with_partners(windows: DataFrame) -> DataFrame:
-    """fingerprint, _id, _mark, pos, n, next of the windows whose selected line, their minimum, is selected in another place as well: fingerprints matched.
+    """fingerprint, _id, _mark, from, to of windows, and of what they extend to, whose selected line, their minimum, is selected in another place as well.
 
     Equal windows select lines at equal places in them, so no repeated one is lost.  Each key is
     reduced to its least and greatest place where it stands before anything is shuffled.
     """
-    each = lambda *names: windows.select(*DOC, F.posexplode(F.arrays_zip(*names)).alias("pos", "_w"))
-    place = F.xxhash64(*DOC, F.col("pos") + F.col("_w.offs"))
-    several = each("keys", "offs").select(F.col("_w.keys").alias("key"), place.alias("_p")).groupBy("key").agg(F.min("_p").alias("_a"), F.max("_p").alias("_b")).where("_a <> _b").select("key")
+    place = F.when(F.col("n").isNotNull(), F.xxhash64(*DOC, F.col("pos") + F.col("off")))
+    several = windows.groupBy("key").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("key")
     several = materialise(several, "line-selected")
     few = several.count() * SELECTED_BYTES <= MOST_BROADCAST_BYTES
-    told = each("keys", "fingerprints", "ns", "nexts").select(F.col("_w.fingerprints").alias("fingerprint"), F.col("_w.keys").alias("key"), *DOC, "pos", F.col("_w.ns").alias("n"), F.col("_w.nexts").alias("next"))
-    out = told.join(F.broadcast(several) if few else several, "key", "left_semi")
-    return out.select("fingerprint", *DOC, "pos", "n", "next")
+    met = windows.join(F.broadcast(several) if few else several, "key")
+    each = met.select(*DOC, "places", "pos", "n", F.posexplode(F.slice("hashed", F.col("at"), F.col("several"))).alias("_more", "fingerprint"))
+    placed = lambda i: F.coalesce(F.get("places", i), i)
+    end = F.col("pos") + F.col("n") + F.col("_more") - 1
+    return each.select("fingerprint", *DOC, placed(F.col("pos")).alias("from"), (placed(end) + 1).alias("to"))
 
 
-def later(rows: DataFrame, at: str, name: str) -> DataFrame:
-    """The rows (fingerprint, _id, _mark, ``at`` and others) whose fingerprint has several, without it, and ``later``: whether it has an earlier place.
+def later(rows: DataFrame) -> DataFrame:
+    """_id, _mark, from, to of the rows (fingerprint, _id, _mark, from, to) whose fingerprint has an earlier place.
 
     First places are found by a grouped minimum.  Very frequent fingerprints, of which there
     can be few, are then broadcast, so that none gathers its places in one task.
     """
-    rows = materialise(rows, f"{name}-marks").where("fingerprint is not null")
-    groups = rows.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min(F.struct(*DOC, at)).alias("_first"))
-    first = materialise(groups.where("_n > 1"), f"{name}-first")
+    rows = materialise(rows, "line-marks")
+    groups = rows.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min(F.struct(*DOC, "from")).alias("_first"))
+    first = materialise(groups.where("_n > 1"), "line-first")
     bound = max(LEAST_HOT, (first.agg(F.sum("_n")).first()[0] or 0) // MOST_HOT)
     hot, cold = first.where(F.col("_n") > bound).drop("_n"), first.where(F.col("_n") <= bound).drop("_n")
-    told = lambda met: met.withColumn("later", F.struct(*DOC, at) > F.col("_first")).drop("_first", "fingerprint")
+    told = lambda met: met.where(F.struct(*DOC, "from") > F.col("_first")).select(*DOC, "from", "to")
     others = rows.join(F.broadcast(hot.select("fingerprint")), "fingerprint", "left_anti")
-    out = materialise(told(rows.join(F.broadcast(hot), "fingerprint")).unionByName(told(others.join(cold, "fingerprint"))), f"{name}-matches")
-    drop_scratch(rows, first)
-    return out
+    return told(rows.join(F.broadcast(hot), "fingerprint")).unionByName(told(others.join(cold, "fingerprint")))
 
 
-def repeated_runs(found: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
-    """_id, _mark and the disjoint intervals of lines [from, to) that repeat an earlier place, of ``min_words`` words at least.
+def united(found: DataFrame) -> DataFrame:
+    """_id, _mark and runs: the disjoint intervals of lines [from, to) that ``found`` covers.
 
     A run with enough words is the union of the windows in it that lose enough by their
-    first or by their last line.  Those that only lose it by the first begin where a
-    shortest window begins that is repeated as well, and end before the next such one ends:
-    matches are extended line by line past their windows so far.
+    first or by their last line.  Of such windows of a document the one that begins later
+    does not end before, so an interval ends where the next window begins behind the end.
     """
-    starts = found.groupBy(*DOC).agg(F.collect_set(F.struct("pos", "n", "next", "later")).alias("starts"))
-    keys = found.select(*DOC).distinct()
-    few = keys.count() * KEY_BYTES <= MOST_BROADCAST_BYTES
-    involved = lines.join(F.broadcast(keys) if few else keys, DOC, "left_semi").select(*DOC, "hashes", "places").join(starts, DOC)
-    pos, end, to = F.col("s.pos"), F.col("s.pos") + F.col("s.n"), F.col("to")
-    last = F.coalesce(F.col("s.pos") + F.col("s.next"), F.size("hashes"))
-    each = involved.select(*DOC, "hashes", "places", F.explode("starts").alias("s"))
-    each = each.select(*DOC, "hashes", "places", "s", F.explode(F.sequence(end, F.greatest(end, last))).alias("to"))
-    fingerprint = F.when(to > end, F.xxhash64(F.slice("hashes", pos + 1, to - pos)))
-    laid = each.select(*DOC, fingerprint.alias("fingerprint"), F.get("places", pos).alias("from"), (F.get("places", to - 1) + 1).alias("to"), F.col("s.later").alias("later"))
-    laid = materialise(laid, "line-laid")
-    longer = later(laid.where("fingerprint is not null").drop("later"), "from", "line-longer")
-    intervals = laid.where("fingerprint is null").drop("fingerprint").unionByName(longer).where("later").select(*DOC, "from", "to").distinct()
-    order = Window.partitionBy(*DOC).orderBy("from", "to")
-    reached = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    grouped = intervals.withColumn("_new", F.when(F.coalesce(F.col("from") <= reached, F.lit(False)), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(order))
-    merged = grouped.groupBy(*DOC, "_g").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    return merged.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    packed = F.shiftleft(F.col("from").cast("long"), 32) + F.col("to")
+    rows = found.groupBy(*DOC).agg(F.sort_array(F.collect_set(packed)).alias("_all"))
+    start, stop = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
+    apart = lambda a, b: F.coalesce(start(b) > stop(a), F.lit(True))
+    firsts = F.filter("_all", lambda x, i: apart(F.get("_all", i - 1), x))
+    lasts = F.filter("_all", lambda x, i: apart(x, F.get("_all", i + 1)))
+    return rows.select(*DOC, F.zip_with(firsts, lasts, lambda a, b: F.struct(start(a).cast("int").alias("from"), stop(b).cast("int").alias("to"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
@@ -219,12 +201,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     each; an empty table gives no rows; columns named like a new one are replaced.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_cut", "runs", *DOC)])
-    lines = materialise(document_windows(docs, min_words), "line-windows")
+    lines = materialise(hashed_lines(docs), "line-hashes")
     # Winnowing brings windows together by their selected lines; such a match is then extended back
-    # to the window's first line and on to its last, by the hash of all of it.
-    found = later(with_partners(lines), "pos", "line")
-    runs = materialise(repeated_runs(found, lines, min_words), "line-runs")
-    drop_scratch(lines, found)
+    # to the window's first line and on to its last, and beyond, by the hash of all of it.
+    runs = materialise(united(later(with_partners(shortest_windows(lines, min_words)))), "line-runs")
+    drop_scratch(lines)
     few = (runs.agg(F.sum(F.size("runs") * RUN_BYTES + KEY_BYTES)).first()[0] or 0) <= MOST_BROADCAST_BYTES
     rows = with_key(docs).join(F.broadcast(runs) if few else runs, DOC, "left").drop(*DOC)
     kept = F.filter(lines_of(F.col("text").cast("string")), lambda _, i: ~F.exists("runs", lambda r: (i >= r["from"]) & (i < r["to"])))
