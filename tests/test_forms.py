@@ -2,14 +2,17 @@ import json
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import markup
 from tidemark.functions.text import nfkc
-from tidemark.operators import automaton, sectors, segments
+from tidemark.operators import automaton, longest, sectors, segments
 from tidemark.plans import registry
 
 FORM = """만족도 조사
@@ -101,6 +104,60 @@ def test_public_bodies_looks_into_a_text_once(spark, sf_dir):
     assert plan.count("ionst") == plan.count("heit") == 1
 
 
+PARTS = [
+    "tion", "keit", "ment", "ings", "ungen", "eaux", "shing", "icense", "opyright", "ndly", "eleu", "ación", "with", "avec", "para", "mit", "intion", "chung", "thand", "kund", "erand", "of", "the", "la", "de", "time", "abheit", "Ünheit", "xyzheit",
+    "ation", "Apache", "MIT License", "rerer", "lement", "ionst", "ioni", "\n", "\n\n", "  ", "é", "a", "b", "c", "ab", "Cab", "bce", "ae",
+]
+
+
+def odd_documents(rng):
+    """Texts in which every rule is met, with and without a name in their first line; with null, blank and repeated ones."""
+    text = lambda: rng.choice(["", "", "\n", " "]) + " ".join(rng.choice(PARTS) for _ in range(rng.choice([1, 2, 3, 6, 30]))) + "."
+    rows = [(k, text()) for k in range(400)] + [(k, text()) for k in rng.sample(range(400), 40)]
+    return rows + [(500, None), (501, ""), (502, " "), (503, "of time"), (503, "the ae\nb"), (None, text()), (None, "of a b c"), (504, "w" * 70 + " " + "v" * 70 + " z"), (505, "\n" + "w" * 70 + " " + "v" * 70)]
+
+
+@pytest.mark.parametrize(("most", "window"), [(automaton.MOST_BYTES, longest.WINDOW_BYTES), (0, longest.WINDOW_BYTES), (0, 0)])
+def test_public_bodies_is_its_sql_on_odd_texts(spark, tmp_path, monkeypatch, most, window):
+    monkeypatch.setattr(automaton, "MOST_BYTES", most)
+    monkeypatch.setattr(longest, "WINDOW_BYTES", window)
+    spark.createDataFrame(odd_documents(random.Random(11)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'; " + registry.ORACLES["public_bodies"])
+    frame = registry.QUERIES["public_bodies"](spark, str(tmp_path))
+    got = [tuple(r) for r in frame.select(*want.columns).collect()]
+    by = lambda r: tuple(map(str, r))
+    assert sorted(got, key=by) == sorted(want.fetchall(), key=by)
+    assert len({r[want.columns.index("subject")] for r in got}) == 7 and len({r[want.columns.index("matched_by")] for r in got}) == 4
+    # Up to WINDOW_BYTES of names no text is taken apart, and a text goes to be searched only where its title has not settled it.
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert bool(window) == ("Generate" not in plan)
+    assert not window or "found(CASE WHEN (NOT coalesce((" in plan
+
+
+def test_a_finder_gives_what_a_plain_search_does(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(40):
+        for name, sizes in (("WIDEST", (2, 5, 64)), ("STEP", (7, 50, 1 << 16)), ("GROUP", (10, 300, 1 << 21))):
+            monkeypatch.setattr(longest, name, rng.choice(sizes))
+        longest._powers.cache_clear()
+        letters = rng.choice(["ab", "abc가나", "a b😀\0"])
+        draw = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: E731, B023
+        words = sorted({draw(rng.randint(1, 9)) for _ in range(rng.choice([0, 1, 5, 120]))}, key=lambda w: (-len(w), w))
+        broad, placelike = ({w for w in words if rng.random() < 0.3} for _ in range(2))
+        texts = [draw(rng.choice([0, 1, 3, 20, 200])) for _ in range(40)]
+        no_broad, no_whole = (np.array([rng.random() < 0.4 for _ in texts]) for _ in range(2))
+        table = pa.table({"entry": pa.array(words, pa.string()), "size": pa.array([len(w) for w in words], pa.int64()), "broad": pa.array([w in broad for w in words], pa.bool_()), "placelike": pa.array([w in placelike for w in words], pa.bool_())})
+        want = []
+        for t, b, w in zip(texts, no_broad, no_whole, strict=True):
+            held = [k for k, e in enumerate(words) if e in t]
+            good = [k for k in held if words[k] not in broad or not (b or (w and words[k] == t))]
+            want.append((good[0], 0) if good else (min([k for k in held if words[k] in placelike], default=len(words)), 1))
+        for few in (True, False):
+            best, tier = longest.Finder(table, few).best(texts, no_broad, no_whole)
+            assert [(k, n) for k, n in zip(best.tolist(), tier.tolist(), strict=True)] == want
+    longest._powers.cache_clear()
+
+
 PAGE = """<html><head><title>A &amp; b</title><meta name="date" content="2024.3.5"></head><body><ul><li>one<li>two <b>bold</ul><p>first<p>second
 <form><label for=m>Your <i>mail</i></label><input id="m" type="EMAIL" required><label>Phone <input type=tel name=t></label><input aria-label="Age" type="number"><textarea placeholder="Say"></textarea>
 <select name="home_town"><option>x<option>y</select><input type="hidden" name="token"><input name="ab"><input aria-label="age"></form><script>var t = "</p>";</script></body></html>"""

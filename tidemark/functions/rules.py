@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -57,6 +58,12 @@ def any_contains(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda s, w: s | F.contains(text, F.lit(w)), words, F.lit(False))
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """Whether ``pattern`` is found in ``text``; where it is a choice of plain words, they are looked for as such."""
+    words = pattern.split("|")
+    return any_contains(text, words) if all(re.fullmatch(r"[\w ]+", w) for w in words) else text.rlike(pattern)
+
+
 def all_of(predicates: Sequence[Column | None]) -> Column:
     """Conjunction of the predicates that are given."""
     return reduce(lambda s, p: s & p, [p for p in predicates if p is not None], F.lit(True))
